@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.llm import distinct, encoding, frequency, frequent, packing, spans, splitting
+from strandframe.llm import distinct, encoding, frequency, frequent, packing, personal, spans, splitting
 from strandframe.operators.observations import counting
 from strandframe.plans.queries import COUNTING
 from strandframe.plans.registry import Registry
@@ -146,3 +146,19 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     """Tokens and items of every container."""
     placed = packing.pack_documents(read_table(spark, d, "documents"), "doc_id", "text", CAPACITY)
     return placed.groupBy("container_id").agg(F.sum("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("items"))
+
+
+def _given(spark: SparkSession, d: str) -> frozenset[str]:
+    return frozenset(r[0] for r in read_table(spark, d, "given_names").where("given_name is not null").collect())  # a fixed table
+
+
+@query()
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every occurrence of personal data in the documents."""
+    return personal.find_personal(read_table(spark, d, "documents"), "doc_id", "text", _given(spark, d))
+
+
+@query()
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The documents with typed placeholders for personal data."""
+    return personal.redact(read_table(spark, d, "documents"), "doc_id", "text", _given(spark, d))
