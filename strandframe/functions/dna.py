@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: Fixed values of the data model: letters by code 0..3, and their complements in the same order.
 LETTERS = "ACGT"
 COMPLEMENTS = "TGCA"
+#: Pairs of first and last letter with which a sequence is lower than its reverse complement.
+LOWER_ENDS = [a + b for a in LETTERS for b in LETTERS if a < COMPLEMENTS[LETTERS.index(b)]]
 
 
 def normalize(seq: Column) -> Column:
@@ -32,8 +34,10 @@ def reverse_complement(seq: Column) -> Column:
 
 
 def canonical(kmer: Column) -> Column:
-    """The smaller of a k-mer and its reverse complement."""
-    return F.least(kmer, reverse_complement(kmer))
+    """The smaller of a k-mer and its reverse complement. The outer letters alone settle many cases, without
+    building the reverse complement: those in which the first is lower than the complement of the last."""
+    outer = F.concat(kmer.substr(1, 1), kmer.substr(-1, 1))
+    return F.when(outer.isin(*LOWER_ENDS), kmer).otherwise(F.least(kmer, reverse_complement(kmer)))
 
 
 def is_canonical(kmer: Column) -> Column:
@@ -41,10 +45,8 @@ def is_canonical(kmer: Column) -> Column:
 
 
 def observed_key(kmer: Column) -> Column:
-    """Key of a k-mer as read: upper case, other characters read as A, then canonical.
-    Only ASCII letters are raised, so the length never changes."""
-    clean = F.regexp_replace(F.translate(kmer, "acgt", "ACGT"), "[^ACGT]", "A")
-    return canonical(clean)
+    """Key of a k-mer as read: upper case, other characters read as A, then canonical."""
+    return canonical(F.regexp_replace(F.upper(kmer), "[^ACGT]", "A"))
 
 
 def child(kmer: Column, base: Column) -> Column:

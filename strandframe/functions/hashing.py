@@ -15,7 +15,8 @@ SHIFT = 47
 
 
 def murmur64a(data: bytes, seed: int) -> int:
-    """The published MurmurHash64A of Austin Appleby, as an unsigned number."""
+    """MurmurHash64A of Austin Appleby, as an unsigned number, in the form that mixes the length into the seed as
+    it is, where the published code first multiplies it."""
     mask = (1 << 64) - 1
     full = len(data) // 8 * 8
     state = seed ^ len(data)

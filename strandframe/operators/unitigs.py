@@ -160,8 +160,9 @@ def unitig_paths(edges: DataFrame, k: int) -> DataFrame:
         cut = checkpointed(cut.select("first", "last", "letters"))
         rings = rings.unionByName(_assemble(_rank(_start(cut)).where("done"), cut))
     whole = rings.select(seq.substr(F.lit(1), F.length(seq) - 1).alias("seq"))
-    turned = whole.select(_lowest_first(seq, k).alias("seq"), _lowest_first(dna.reverse_complement(seq), k).alias("rc"))
-    cycles = turned.select(F.least("seq", "rc").alias("seq")).distinct()
+    # other names than seq: inside a lambda, Spark reads a name as an alias of the same select
+    turned = whole.select(_lowest_first(seq, k).alias("one"), _lowest_first(dna.reverse_complement(seq), k).alias("other"))
+    cycles = turned.select(F.least("one", "other").alias("seq")).distinct()
     return open_paths.withColumn("circular", F.lit(0)).unionByName(cycles.withColumn("circular", F.lit(1)))
 
 
