@@ -1,71 +1,49 @@
 """How often every value occurs, and in how many records, by heavy-light aggregation.
 
-Values that a bounded sample shows to be heavy are broadcast and numbered. Their rows are counted in exact local
-counter arrays, one cell a heavy value, and never travel as text; all other rows are placed by value, once, where
-removing repeats, counting rows and counting records are all local. As no heavy value is among them, no partition
-outgrows the others. A heavy value that the sample misses is counted as rightly as any other, only less evenly.
+Values that a bounded sample shows to be heavy are broadcast and numbered. Rows of a heavy value travel as its
+number, spread evenly over all partitions, and are counted in exact local counters, one for each heavy value and
+record, before the counters are added up. All other rows are placed by value, where removing repeats, counting rows
+and counting records are local; as no heavy value is among them, no partition outgrows the others. Both kinds share
+one exchange. A heavy value that the sample misses is counted as rightly as any other, only less evenly.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.session import checkpointed
-
-#: The sample that finds heavy values: rows that it has at most, about. It has no influence on any count.
+#: Rows that the sample has, about. It decides how rows are placed and has no influence on any count.
 SAMPLE = 100_000
 #: Share of the sample from which a value is heavy, and so 1 / HEAVY values at most.
 HEAVY = 1 / 1000
+#: Parts of the rows of a heavy value.
+SPREAD = 1024
 
 
-def heavy_values(rows: DataFrame, total: int, sample: int = SAMPLE, share: float = HEAVY) -> list[str]:
-    """Values that hold at least a share of a sample of the rows; at most 1 / share of them."""
-    some = rows if total <= sample else rows.sample(sample / total, seed=7)
-    counts = some.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    whole = max(1, min(total, sample))
-    hits = counts.where(F.col("n") >= max(2, share * whole)).orderBy(F.desc("n"), "value").limit(int(1 / share))
+def heavy_values(sample: DataFrame, size: int, share: float = HEAVY) -> list[str]:
+    """Values that hold at least a share of a sample of that size; at most 1 / share of them."""
+    counts = sample.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    hits = counts.where((F.col("n") >= max(2, share * size)) & F.col("value").isNotNull()).orderBy(F.desc("n"), "value").limit(int(1 / share))
     return [r["value"] for r in hits.collect()]
 
 
-def _counters(size: int):
-    """Rows (no, first) to one row (no, n, records) for each heavy number seen: counter arrays of the task."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, records = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        for b in batches:
-            no = b.column("no").to_numpy()
-            np.add.at(n, no, b.column("n").to_numpy())
-            records += np.bincount(no, minlength=size)
-        seen = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(n[seen]), pa.array(records[seen])], ["no", "n", "records"])
-
-    return count
-
-
-def frequencies(rows: DataFrame, total: int | None = None) -> DataFrame:
+def frequencies(rows: DataFrame, sample: DataFrame, size: int) -> DataFrame:
     """(value, n, records) of every value of rows (id, record, value): distinct ids, and distinct records that hold
-    the value. Rows with the same value, record and id are one. A null value is left out; null records are one
-    record, and null ids of one value and record are one id. total, the number of rows, only sets the sample; it is
-    counted if not given."""
-    rows = rows.where(F.col("value").isNotNull()).select("id", "record", "value")
-    values = heavy_values(rows, rows.count() if total is None else total)
+    the value. Rows with the same value, record and id are one. A null value is a value, null records are one
+    record, and null ids of one value and record are one id. An empty table gives no rows. sample is a random part
+    of rows, of about `size` rows, with column value."""
+    values = heavy_values(sample, size)
     numbered = rows.sparkSession.createDataFrame([(v, i) for i, v in enumerate(values)], "value string, no int")
-    marked = rows.join(F.broadcast(numbered), "value", "left")  # at most 1 / HEAVY rows
-
-    light = marked.where("no is null").select("value", "record", "id").repartition("value")
-    light = light.groupBy("value", "record", "id").agg(F.lit(1).alias("_")).groupBy("value", "record").agg(F.count(F.lit(1)).alias("n"))
-    light = light.groupBy("value").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("records"))
-
-    # a record's heavy rows meet by (value number, record, range of ids): small rows, however large the record
-    heavy = marked.where("no is not null").select("no", "record", "id").distinct().groupBy("no", "record").agg(F.count(F.lit(1)).alias("n"))
-    arrays = heavy.select("no", "n").mapInArrow(_counters(max(1, len(values))), "no int, n long, records long")
-    sums = arrays.groupBy("no").agg(F.sum("n").alias("n"), F.sum("records").alias("records"))
-    return light.unionByName(sums.join(F.broadcast(numbered), "no").select("value", "n", "records"))
+    marked = rows.select("id", "record", "value").join(F.broadcast(numbered), "value", "left")  # at most 1 / HEAVY rows
+    heavy = F.col("no").isNotNull()
+    part = F.when(heavy, F.pmod(F.xxhash64("record", "id"), F.lit(SPREAD))).otherwise(F.lit(0)).cast("int")
+    placed = marked.select("no", F.when(~heavy, F.col("value")).alias("value"), part.alias("part"), "record", "id").repartition("no", "value", "part")
+    each = placed.groupBy("no", "value", "part", "record", "id").agg(F.lit(1).alias("one")).groupBy("no", "value", "part", "record").agg(F.count(F.lit(1)).alias("n"))
+    # a light value is whole in its partition; of a heavy one each partition has a counter for each record
+    local = each.groupBy("no", "value", F.when(heavy, F.col("record")).alias("record")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("c"))
+    sums = local.groupBy("no", "value").agg(F.sum("n").alias("n"), F.sum(F.when(heavy, F.lit(1)).otherwise(F.col("c"))).alias("records"))
+    named = sums.join(F.broadcast(numbered.select("no", F.col("value").alias("heavy"))), "no", "left")
+    return named.select(F.coalesce("heavy", "value").alias("value"), "n", F.col("records").cast("long").alias("records"))
 
 
 def marked_frequencies(counts: DataFrame, settings: DataFrame, records: DataFrame, common_share: float) -> DataFrame:

@@ -110,7 +110,9 @@ m as (select n.*, "rows"<coalesce(least,1) rare, blocks>all_blocks*0.1 common fr
 def _p6(spark: SparkSession, d: str) -> DataFrame:
     kmers = read_table(spark, d, "kmers")
     rows = counting(kmers, F.col("obs_id").alias("id"), F.col("block_id").alias("record")).withColumnRenamed("key", "value")
-    counts = frequency.frequencies(rows, kmers.count()).withColumn("grp", F.length("value"))
+    n = kmers.count()
+    some = kmers.sample(min(1.0, frequency.SAMPLE / max(1, n)), seed=7) if n > frequency.SAMPLE else kmers
+    counts = frequency.frequencies(rows, counting(some).withColumnRenamed("key", "value"), min(n, frequency.SAMPLE)).withColumn("grp", F.length("value"))
     settings = read_table(spark, d, "count_settings").groupBy(F.col("kmer_length").alias("grp")).agg(F.max("minimum_coverage").alias("least"))
     blocks = kmers.where(F.length("kmer") == F.col("kmer_length")).groupBy(F.col("kmer_length").alias("grp")).agg(F.count_distinct("block_id").alias("all_records"))
     return frequency.marked_frequencies(counts, settings, blocks, COMMON)

@@ -199,9 +199,11 @@ def test_frequencies(spark):
         n[v] += 1
         records[v].add(rec)
     df = spark.createDataFrame(rows, "id long, record long, grp int, value string")
-    got = {r["value"]: (r["n"], r["records"]) for r in frequency.frequencies(df).collect()}
-    assert got == {v: (n[v], len(records[v])) for v in n}
-    assert frequency.frequencies(df.limit(0)).count() == 0
+    for sample in (df, df.where("value = 'k1'"), df.limit(0)):  # whatever the sample finds, counts are the same
+        got = {r["value"]: (r["n"], r["records"]) for r in frequency.frequencies(df, sample, 20000).collect()}
+        assert got.pop(None) == (1, 1)
+        assert got == {v: (n[v], len(records[v])) for v in n}
+    assert frequency.frequencies(df.limit(0), df.limit(0), 0).count() == 0
 
 
 # ---- encoding ----
