@@ -80,6 +80,8 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, which = batch.column("hash").to_numpy(), code.indices.to_numpy()
         for i, group in enumerate(code.dictionary.to_pylist()):
             rows = np.flatnonzero(which == i)
+            if values.null_count:
+                rows = rows[~values.is_null().to_numpy(zero_copy_only=False)[rows]]
             h, first, n = np.unique(hashes[rows], return_index=True, return_counts=True)
             names = values.take(pa.array(rows[first])).to_numpy(zero_copy_only=False)
             groups.setdefault(group, Sketch()).add(h, n, names)
@@ -118,11 +120,10 @@ def most_frequent(rows: DataFrame, top: int, id: str) -> DataFrame:
     """(grp, value, n, votes, light): the `top` values of each group with the most distinct ids, ties by value, with
     their exact counts n and what the sketch knew: votes <= rows <= votes + light.
 
-    rows has grp (int, may be null), value (string; nulls are left out) and an id, which repeated rows share; rows
-    with a null id are told apart by nothing and count once. Repeated rows only raise the sketch's bounds, so they are
+    rows has grp (int, may be null), value (string; a null value is never among the results) and an id, which
+    repeated rows share; rows with a null id are told apart by nothing and count once. Repeated rows only raise the sketch's bounds, so they are
     removed in the exact count alone. The driver holds counters of the sketch, never rows.
     """
-    rows = rows.where(F.col("value").isNotNull())
     heavy, light = sketch(rows)
     counters = {}
     for r in heavy.collect():  # BUCKETS * SLOTS rows a group at most
