@@ -39,7 +39,7 @@ def assemble(spark: SparkSession, files: list[str], k: int, output: str, minimum
     sinks.write_coverage_distribution(kmers.histogram(vertices), output)
     sinks.write_summary(graph.summary(vertices), graph.degree_matrix(vertices), k, output)
     mutual = checkpointed(unitigs.mutual(unitigs.flow_split(vertices, minimum_coverage)))
-    contigs = unitigs.unitig_paths(unitigs.unitig_edges(mutual), k).where(F.length("seq") >= CONTIG)
+    contigs = unitigs.unitig_paths(mutual, k).where(F.length("seq") >= CONTIG)
     sinks.write_unitigs(contigs, k, f"{output}/unitigs.fasta")
 
 

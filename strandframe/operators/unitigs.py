@@ -68,10 +68,10 @@ def unitig_vertices(mutual_: DataFrame) -> DataFrame:
     return ends.select("v.*").groupBy("kmer").agg(F.bool_or("out").alias("o"), F.bool_or(~F.col("out")).alias("i")).where("o and i").select("kmer")
 
 
-def unitig_edges(mutual_: DataFrame) -> DataFrame:
+def unitig_edges(mutual_: DataFrame, unitigs_: DataFrame) -> DataFrame:
     """Mutual arcs between unitig vertices. Every vertex then has at most one arc in and one out."""
-    u = checkpointed(unitig_vertices(mutual_))
-    return mutual_.join(u.withColumnRenamed("kmer", "src"), "src", "left_semi").join(u.withColumnRenamed("kmer", "dst"), "dst", "left_semi").select("src", "dst")
+    ends = [unitigs_.select(F.col("kmer").alias(c)) for c in ("src", "dst")]
+    return mutual_.join(ends[0], "src", "left_semi").join(ends[1], "dst", "left_semi").select("src", "dst")
 
 
 SEGMENT = "first string, last string, letters string, closed boolean"
@@ -136,10 +136,14 @@ def _assemble(ranked: DataFrame, parts: DataFrame) -> DataFrame:
     return runs.select(F.concat(F.col("a")[0]["n"], F.array_join(F.transform("a", lambda x: x["letters"]), "")).alias("seq"))
 
 
-def unitig_paths(edges: DataFrame, k: int) -> DataFrame:
-    """(seq, circular): each maximal path of `edges` once, on the strand that is lower by letters. A cycle of L
-    vertices gives L+k-1 letters from its lowest k-mer on, and circular = 1."""
-    edges = checkpointed(edges)
+def unitig_paths(mutual_: DataFrame, k: int) -> DataFrame:
+    """(seq, circular): each maximal path of mutual arcs between unitig vertices once, on the strand that is lower by
+    letters; a vertex without such arcs is a path. A cycle of L vertices gives L+k-1 letters from its lowest k-mer
+    on, and circular = 1."""
+    vertices = checkpointed(unitig_vertices(mutual_))
+    edges = checkpointed(unitig_edges(mutual_, vertices))
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("kmer"))
+    alone = vertices.join(ends, "kmer", "left_anti").select(dna.canonical(F.col("kmer")).alias("seq")).distinct()
     all_parts = checkpointed(segments(edges, k))
     parts = all_parts.where(~F.col("closed")).select("first", "last", "letters")
     ranked = _rank(_start(parts))
@@ -163,7 +167,7 @@ def unitig_paths(edges: DataFrame, k: int) -> DataFrame:
     # other names than seq: inside a lambda, Spark reads a name as an alias of the same select
     turned = whole.select(_lowest_first(seq, k).alias("one"), _lowest_first(dna.reverse_complement(seq), k).alias("other"))
     cycles = turned.select(F.least("one", "other").alias("seq")).distinct()
-    return open_paths.withColumn("circular", F.lit(0)).unionByName(cycles.withColumn("circular", F.lit(1)))
+    return open_paths.unionByName(alone).withColumn("circular", F.lit(0)).unionByName(cycles.withColumn("circular", F.lit(1)))
 
 
 def _lowest_first(seq, k: int):
@@ -175,4 +179,4 @@ def assemble(reads: DataFrame, k: int, minimum_coverage: int = 1, minimum_length
     """Unitigs of at least minimum_length letters. strategy: vertices, minimum_coverage -> choice(src, dst)."""
     v = checkpointed(graph.vertices(reads, k))
     m = checkpointed(mutual(strategy(v, minimum_coverage)))
-    return unitig_paths(unitig_edges(m), k).where(F.length("seq") >= minimum_length)
+    return unitig_paths(m, k).where(F.length("seq") >= minimum_length)

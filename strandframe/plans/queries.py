@@ -271,7 +271,7 @@ def unitig_vertices(spark: SparkSession, d: str) -> DataFrame:
 @query(sql=PATHS.join(["with recursive ", " select seq from p"]))
 def unitig_paths(spark: SparkSession, d: str) -> DataFrame:
     m = checkpointed(unitigs.mutual(unitigs.flow_split(_vertices(spark, d))))
-    return unitigs.unitig_paths(unitigs.unitig_edges(m), K).where("circular = 0").select("seq")
+    return unitigs.unitig_paths(m, K).where("circular = 0").select("seq")
 
 
 @query(sql=PATHS.join(["with recursive ", " select seq, length(seq)::int n from p where length(seq)>=100"]))
