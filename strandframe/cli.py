@@ -35,7 +35,7 @@ def assemble(spark: SparkSession, files: list[str], k: int, output: str, minimum
     """Coverage distribution, graph summary and contigs; an existing folder is an error."""
     if Path(output).exists():
         raise FileExistsError(output)
-    vertices = checkpointed(graph.vertices(load(spark, files), k))
+    vertices = checkpointed(graph.vertices(load(spark, files), k, home=True))
     sinks.write_coverage_distribution(kmers.histogram(vertices), output)
     sinks.write_summary(graph.summary(vertices), graph.degree_matrix(vertices), k, output)
     mutual = checkpointed(unitigs.mutual(unitigs.flow_split(vertices, minimum_coverage)))

@@ -31,15 +31,17 @@ def _pieces(k: int, size: int) -> Column:
 
 
 def windows_with_context(reads: DataFrame, k: int, seq: str = "seq", chunk: int = 1024) -> DataFrame:
-    """Columns kmer, before, after: each window with the letters around it, empty at the ends of a read."""
+    """Columns kmer, before, after, home: each window with the letters around it, empty at the ends of a read, and a
+    hash of the piece that it was cut from, which has `chunk` windows at most."""
     out = reads.where(F.length(seq) >= k).select(F.col(seq).alias("s"), F.lit("").alias("l"), F.lit("").alias("r"))
     for size in (chunk * 1024, chunk):
         out = out.select(F.explode(_pieces(k, size)).alias("p")).select("p.s", "p.l", "p.r")
     i = F.col("i")
-    return out.select("s", "l", "r", F.explode(F.sequence(F.lit(1), F.length("s") - k + 1)).alias("i")).select(
+    return out.select("s", "l", "r", F.xxhash64("s").alias("home"), F.explode(F.sequence(F.lit(1), F.length("s") - k + 1)).alias("i")).select(
         F.col("s").substr(i, F.lit(k)).alias("kmer"),
         F.when(i > 1, F.col("s").substr(i - 1, F.lit(1))).otherwise(F.col("l")).alias("before"),
         F.when(i + k <= F.length("s"), F.col("s").substr(i + k, F.lit(1))).otherwise(F.col("r")).alias("after"),
+        "home",
     )
 
 
@@ -61,31 +63,35 @@ def letters_of(mask: Column) -> Column:
     return F.filter(F.array(*[F.lit(x) for x in dna.LETTERS]), lambda x: mask.bitwiseAND(bit(x)) > 0)
 
 
-def vertices(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
-    """(kmer, coverage, parents, children) of canonical k-mers."""
+def vertices(reads: DataFrame, k: int, seq: str = "seq", home: bool = False) -> DataFrame:
+    """(kmer, coverage, parents, children) of canonical k-mers. With home, also the lowest hash of the pieces that
+    hold the k-mer: neighbours mostly share it, which assembly uses to place them together."""
     w = windows_with_context(reads, k, seq)
     rc = dna.reverse_complement(F.col("kmer"))
-    w = w.select("kmer", rc.alias("rc"), bit(F.col("before")).alias("b"), bit(F.col("after")).alias("a"))
+    w = w.select("kmer", rc.alias("rc"), bit(F.col("before")).alias("b"), bit(F.col("after")).alias("a"), "home")
     forward = F.col("kmer") <= F.col("rc")
     oriented = w.select(
         F.least("kmer", "rc").alias("kmer"),
         F.when(forward, F.col("b")).otherwise(mirror(F.col("a"))).alias("p"),
         F.when(forward, F.col("a")).otherwise(mirror(F.col("b"))).alias("c"),
+        "home",
     )
     return oriented.groupBy("kmer").agg(
         F.least(F.count(F.lit(1)), F.lit(MAX_COVERAGE)).cast("int").alias("coverage"),
         F.bit_or("p").cast("int").alias("parents"),
         F.bit_or("c").cast("int").alias("children"),
+        *([F.min("home").alias("home")] if home else []),
     )
 
 
 def oriented(vertices_: DataFrame) -> DataFrame:
     """Each vertex on both strands."""
+    more = [c for c in vertices_.columns if c == "home"]
     turned = F.struct(
         dna.reverse_complement(F.col("kmer")).alias("kmer"), F.col("coverage"),
-        mirror(F.col("children")).alias("parents"), mirror(F.col("parents")).alias("children"),
+        mirror(F.col("children")).alias("parents"), mirror(F.col("parents")).alias("children"), *more,
     )
-    same = F.struct("kmer", "coverage", "parents", "children")
+    same = F.struct("kmer", "coverage", "parents", "children", *more)
     return vertices_.select(F.explode(F.array(same, turned)).alias("v")).select("v.*")
 
 

@@ -1,7 +1,7 @@
 """Unitigs: flow-split choice, marking, and assembly of maximal simple paths and cycles.
 
-Assembly first joins edges inside partitions that are placed by minimizer, where most neighbours meet, and then
-ranks the few remaining segments by pointer doubling. Each round is written to the shared checkpoint folder.
+Assembly first joins edges inside partitions that are placed by the piece of a read that they come from, where most
+neighbours meet, and then ranks the few remaining segments by pointer doubling. Each round is written to the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandframe.functions import dna
@@ -21,10 +21,20 @@ REPEAT = 8
 NOISE = 4
 
 
+def _home(df: DataFrame) -> list[str]:
+    """The column home, where vertices were made with it; it only decides where edges are placed."""
+    return [c for c in df.columns if c == "home"]
+
+
+def _lowest_home(df: DataFrame) -> list[Column]:
+    return [F.min(c).alias(c) for c in _home(df)]
+
+
 def arcs_with_coverage(vertices: DataFrame) -> DataFrame:
     """Oriented arcs (src, dst, src_coverage, dst_coverage)."""
-    o = graph.oriented(vertices).select("kmer", "coverage", F.explode(graph.letters_of(F.col("children"))).alias("base"))
-    out = o.select(F.col("kmer").alias("src"), F.col("coverage").alias("src_coverage"), dna.child(F.col("kmer"), F.col("base")).alias("dst"))
+    more = _home(vertices)
+    o = graph.oriented(vertices).select("kmer", "coverage", *more, F.explode(graph.letters_of(F.col("children"))).alias("base"))
+    out = o.select(F.col("kmer").alias("src"), F.col("coverage").alias("src_coverage"), dna.child(F.col("kmer"), F.col("base")).alias("dst"), *more)
     other = vertices.select(F.col("kmer").alias("key"), F.col("coverage").alias("dst_coverage"))
     return out.withColumn("key", dna.canonical(F.col("dst"))).join(other, "key").drop("key")
 
@@ -38,28 +48,30 @@ def flow_split(vertices: DataFrame, minimum_coverage: int = 1) -> DataFrame:
     grouped = arcs_with_coverage(vertices).groupBy("src").agg(
         F.count_if(strong).alias("strong"),
         F.min(F.when(strong, F.struct("dst", cc.alias("cc"), nc.alias("nc")))).alias("one"),
+        *_lowest_home(vertices),
     )
     fits = (F.col("one.nc") < F.col("one.cc") * REPEAT) & (F.col("one.cc") < F.col("one.nc") * REPEAT)
-    return grouped.where((F.col("strong") == 1) & fits & (F.col("one.nc") >= minimum_coverage)).select("src", F.col("one.dst").alias("dst"))
+    return grouped.where((F.col("strong") == 1) & fits & (F.col("one.nc") >= minimum_coverage)).select("src", F.col("one.dst").alias("dst"), *_home(vertices))
 
 
 def highest_coverage(vertices: DataFrame) -> DataFrame:
     """The other strategy: the child of highest coverage, the first letter on ties."""
-    return arcs_with_coverage(vertices).groupBy("src").agg(F.min_by("dst", F.struct(-F.col("dst_coverage"), "dst")).alias("dst"))
+    return arcs_with_coverage(vertices).groupBy("src").agg(F.min_by("dst", F.struct(-F.col("dst_coverage"), "dst")).alias("dst"), *_lowest_home(vertices))
 
 
 def mutual(choice: DataFrame) -> DataFrame:
     """Chosen arcs whose mirror image is chosen too, (src, dst) on both strands. One aggregation on the canonical
     (k+1)-mer of the arc instead of a self-join."""
     whole = F.concat("src", dna.last_letter(F.col("dst")))
-    e = choice.select(whole.alias("e")).withColumn("rc", dna.reverse_complement(F.col("e")))
+    more = _home(choice)
+    e = choice.select(whole.alias("e"), *more).withColumn("rc", dna.reverse_complement(F.col("e")))
     sides = (
-        e.select(F.least("e", "rc").alias("key"), (F.col("e") <= F.col("rc")).alias("fwd"), (F.col("e") >= F.col("rc")).alias("rev"))
-        .groupBy("key").agg(F.max("fwd").alias("fwd"), F.max("rev").alias("rev")).where("fwd and rev")
+        e.select(F.least("e", "rc").alias("key"), (F.col("e") <= F.col("rc")).alias("fwd"), (F.col("e") >= F.col("rc")).alias("rev"), *more)
+        .groupBy("key").agg(F.max("fwd").alias("fwd"), F.max("rev").alias("rev"), *_lowest_home(choice)).where("fwd and rev")
     )
     strands = F.array_distinct(F.array("key", dna.reverse_complement(F.col("key"))))
     k = F.length("x") - 1
-    return sides.select(F.explode(strands).alias("x")).select(F.col("x").substr(F.lit(1), k).alias("src"), F.col("x").substr(F.lit(2), k).alias("dst"))
+    return sides.select(F.explode(strands).alias("x"), *more).select(F.col("x").substr(F.lit(1), k).alias("src"), F.col("x").substr(F.lit(2), k).alias("dst"), *more)
 
 
 def unitig_vertices(mutual_: DataFrame) -> DataFrame:
@@ -71,7 +83,7 @@ def unitig_vertices(mutual_: DataFrame) -> DataFrame:
 def unitig_edges(mutual_: DataFrame, unitigs_: DataFrame) -> DataFrame:
     """Mutual arcs between unitig vertices. Every vertex then has at most one arc in and one out."""
     ends = [unitigs_.select(F.col("kmer").alias(c)) for c in ("src", "dst")]
-    return mutual_.join(ends[0], "src", "left_semi").join(ends[1], "dst", "left_semi").select("src", "dst")
+    return mutual_.join(ends[0], "src", "left_semi").join(ends[1], "dst", "left_semi").select("src", "dst", *_home(mutual_))
 
 
 SEGMENT = "first string, last string, letters string, closed boolean"
@@ -102,9 +114,11 @@ def _join_locally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def segments(edges: DataFrame, k: int) -> DataFrame:
-    overlap = F.col("src").substr(F.lit(2), F.lit(k - 1))
-    placed = edges.withColumn("_m", dna.minimizer(overlap, k - 1)).repartition("_m").select("src", "dst")
-    return placed.mapInPandas(_join_locally, SEGMENT)
+    """Chains of edges that share a home, or, without one, the lowest hash of the shorter words in their overlap."""
+    width = max(1, k // 2)
+    words = [F.xxhash64(F.col("src").substr(i + 2, width)) for i in range(k - width)]
+    place = F.col("home") if _home(edges) else F.least(*words) if len(words) > 1 else words[0]
+    return edges.select("src", "dst", place.alias("at")).repartition("at").select("src", "dst").mapInPandas(_join_locally, SEGMENT)
 
 
 def _rank(state: DataFrame) -> DataFrame:
@@ -177,6 +191,6 @@ def _lowest_first(seq, k: int):
 
 def assemble(reads: DataFrame, k: int, minimum_coverage: int = 1, minimum_length: int = 100, strategy=flow_split) -> DataFrame:
     """Unitigs of at least minimum_length letters. strategy: vertices, minimum_coverage -> choice(src, dst)."""
-    v = checkpointed(graph.vertices(reads, k))
+    v = checkpointed(graph.vertices(reads, k, home=True))
     m = checkpointed(mutual(strategy(v, minimum_coverage)))
     return unitig_paths(m, k).where(F.length("seq") >= minimum_length)

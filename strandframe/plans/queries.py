@@ -270,7 +270,7 @@ def unitig_vertices(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql=PATHS.join(["with recursive ", " select seq from p"]))
 def unitig_paths(spark: SparkSession, d: str) -> DataFrame:
-    m = checkpointed(unitigs.mutual(unitigs.flow_split(_vertices(spark, d))))
+    m = checkpointed(unitigs.mutual(unitigs.flow_split(graph.vertices(_reads(spark, d), K, home=True))))
     return unitigs.unitig_paths(m, K).where("circular = 0").select("seq")
 
 
