@@ -11,6 +11,7 @@ different candidates, so copies of a document add nothing, and a candidate never
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -62,16 +63,19 @@ WORD_DOT = r"(?:\s(?:dot|DOT|Dot)\s)"
 EMAIL = regex.compile(
     rf"(?:(?<![\p{{L}}\p{{N}}._+%\-])|{ESCAPE})(?P<l>{LOCAL})(?:{SIGN_AT}(?P<d>{LABEL}(?:(?:{SIGN_DOT}|{WORD_DOT}){LABEL})+)|\s(?:at|AT|At)\s(?P<e>{LABEL}(?:(?:{WORD_DOT}|{SIGN_DOT}){LABEL})*{WORD_DOT}{LABEL}))"
 )
-EMAIL_HINT = regex.compile(r"@|＠|%40|&#64;|&#x40;|&commat;|[\[({<_ ](?:at|AT|At)[\])}>_ ]")
+WORD_AT = re.compile(r"[\[({<_ ](?:at|AT|At)[\])}>_ ]")
+SIX_DIGITS = re.compile(r"(?:\d[\s.\-\u2010\u2011\u2013/()]{0,3}){6}")
+DIGIT = re.compile(r"\d")
+ADDRESS_HINT = re.compile(r"[^\W\d_a-z][^\s,]* \d|\d[A-Za-z]?,? (?:[^\W\d_a-z]|[a-zà-ÿ]{3,9}[ ,])")
 
-GAP = r"[ .\-‐‑– ]"
+GAP = r"[ \u00a0\u2009\u202f.\-\u2010\u2011\u2013]"
 PHONE = regex.compile(
     rf"""(?:(?<![\p{{L}}\p{{N}}_+])(?<!\d[.\-/:,(])|{ESCAPE})(?:
       \+\d{{1,3}}{GAP}?(?:\(0\){GAP}?)?(?:\(\d{{1,4}}\){GAP}?)?\d(?:{GAP}?\d){{6,11}}
     | 00[1-9]\d{GAP}(?:\(0\){GAP}?)?\d(?:{GAP}?\d){{6,11}}
     | \(0?\d{{2,4}}\){GAP}?\d{{3,5}}(?:{GAP}?\d){{2,6}}
     | 0\d(?:{GAP}\d{{2}}){{4}}
-    | 0\d{{2,4}}[ .\-/‑]\d{{3,8}}(?:{GAP}\d{{3,4}}){{0,2}}
+    | 0\d{{2,4}}[ .\-/\u2011]\d{{3,8}}(?:{GAP}\d{{3,4}}){{0,2}}
     | (?:1{GAP})?[2-9]\d{{2}}{GAP}[2-9]\d{{2}}{GAP}\d{{4}}
     | 1?[2-9]\d{{2}}[2-9]\d{{6}}
     )(?![\p{{L}}\p{{N}}_])(?!{GAP}\d)(?!/\d)""",
@@ -79,9 +83,9 @@ PHONE = regex.compile(
 )
 IDS = regex.compile(
     ESCAPE.join(("(?:", "|")) + r"""(?<![\p{L}\p{N}_+])(?<!\d[.\-/:,])(?<!\-))(?:
-      (?P<ssn>\d{3}(?P<s>[\ \-])\d{2}(?P=s)\d{4})
-    | (?P<nino>[A-Z]{2}(?P<t>[\ \-]?)\d{2}(?P=t)\d{2}(?P=t)\d{2}(?P=t)[A-D])
-    | (?P<tax>\d{2}\ \d{3}\ \d{3}\ \d{3})
+      (?P<ssn>\d{3}(?P<s>[\ \u00a0\-\u2010\u2011])\d{2}(?P=s)\d{4})
+    | (?P<nino>[A-Z]{2}(?P<t>[\ \u00a0\-\u2010\u2011]?)\d{2}(?P=t)\d{2}(?P=t)\d{2}(?P=t)[A-D])
+    | (?P<tax>\d{2}(?P<w>[\ \u00a0])\d{3}(?P=w)\d{3}(?P=w)\d{3})
     | (?P<dni>\d{8}-?[A-Z])
     | (?P<pass>[A-Z]{1,2}\d{7,9})
     | (?P<nine>\d{9})
@@ -91,7 +95,7 @@ IDS = regex.compile(
 )
 CITY = r"\p{Lu}[\p{L}'’\-]+"
 ADDRESS = regex.compile(
-    rf"""(?:(?<![\p{{L}}\p{{N}}_./\-–])|{ESCAPE})(?:
+    rf"""(?:(?<![\p{{L}}\p{{N}}_./\-\u2013])|{ESCAPE})(?:
       (?:(?:Flat|Apt\.?|Apartment|Unit|Suite|Room)\ \d+[A-Za-z]?,?\ )?\d{{1,5}}[A-Za-z]?\ (?:\p{{Lu}}[\p{{L}}'’\-]*\ ){{1,3}}(?P<en>{STREETS})\b\.?(?!\ \p{{Lu}}[\p{{Ll}}]+\b(?<!\ (?:Apt|Unit|Suite|Flat|Room|North|South|East|West)))
     | \d{{1,5}}[A-Za-z]?(?:\ (?:bis|ter|quater))?,?\ (?:{VOIES})\ (?:(?:de\ la|de\ l['’]|de|du|des|d['’]|la|le|les)\ ?)?\p{{Lu}}[\p{{L}}'’\-]*(?:\ \p{{Lu}}[\p{{L}}'’\-]*)*
     | \p{{Lu}}[\p{{L}}\-]*(?:{STRASSEN})\ \d{{1,4}}[a-z]?
@@ -105,12 +109,12 @@ WORD = r"\p{Lu}(?:[\p{L}]|['’](?=\p{Lu}))+"
 WHOLE = rf"(?:(?:al|el|bin)-)?{WORD}(?:-{WORD})*"
 NAME = regex.compile(
     rf"""(?:(?<![\p{{L}}\p{{N}}_@./\\$%\-])(?<!\p{{L}}['’])|{ESCAPE})(?:
-      (?P<run>(?:{WHOLE}|\p{{Lu}}\.)(?:[  ]+(?:(?:{PARTICLES})[  ]+)*(?:{WHOLE}|\p{{Lu}}\.))+)
+      (?P<run>(?:{WHOLE}|\p{{Lu}}\.)(?:[ \u00a0]+(?:(?:{PARTICLES})[ \u00a0]+)*(?:{WHOLE}|\p{{Lu}}\.))+)
     | (?P<turned>{WHOLE},[ ]+(?:{WHOLE}|\p{{Lu}}\.)(?:[ ]+\p{{Lu}}\.)*)
     )(?![\p{{L}}\p{{N}}_(@/]|\.[\p{{L}}\p{{N}}]|-[\p{{L}}])""",
     regex.X,
 )
-HAN = regex.compile(rf"(?:(?<![\p{{Han}}\p{{Hiragana}}\p{{Katakana}}\p{{L}}])|{ESCAPE})\p{{Han}}{{1,4}}[ 　・]\p{{Han}}{{1,4}}(?![\p{{Han}}\p{{Hiragana}}\p{{Katakana}}\p{{L}}])")
+HAN = regex.compile(rf"(?:(?<![\p{{Han}}\p{{Hiragana}}\p{{Katakana}}\p{{L}}])|{ESCAPE})\p{{Han}}{{1,4}}[ \u3000・]\p{{Han}}{{1,4}}(?![\p{{Han}}\p{{Hiragana}}\p{{Katakana}}\p{{L}}])")
 CUT = regex.compile(r"[\p{L}\p{M}]+|\d+|[^\s\p{L}\p{M}\d]")
 
 
@@ -141,33 +145,36 @@ def _mail(line: str) -> Iterator[tuple[int, int]]:
 def candidates(line: str, given: frozenset[str]) -> list[tuple[int, int, str, bool, list[str]]]:
     """(start, end, kind, protected by form, terms) of one line; candidates don't overlap."""
     out: list[tuple[int, int, str, bool, list[str]]] = []
-    taken = bytearray(len(line))
+
+    taken = bytearray()
 
     def put(start: int, end: int, kind: str, sure: bool, *terms: str) -> None:
+        if not taken:
+            taken.extend(bytes(len(line)))
         if not any(taken[start:end]):
             taken[start:end] = b"\1" * (end - start)
             out.append((start, end, kind, sure, [*_beside(line, start, end), *terms]))
 
-    if EMAIL_HINT.search(line):
+    if any(x in line for x in ("@", "%40", "＠", "&")) or ("at" in line or "AT" in line or "At" in line) and WORD_AT.search(line):
         for a, b in _mail(line):
             put(a, b, "email", True)
-    digits = sum(c.isdigit() for c in line)
-    if digits:
+    digit = DIGIT.search(line)
+    if digit and ADDRESS_HINT.search(line):
         for m in ADDRESS.finditer(line):
             put(m.start(), m.end(), "address", True)
-    if digits >= 6:
+    if digit and SIX_DIGITS.search(line):
         for m in IDS.finditer(line):
-            form = m.lastgroup if m.lastgroup not in ("s", "t") else ("ssn" if m["ssn"] else "nino")
+            form = next(k for k in ("ssn", "nino", "tax", "dni", "pass", "nine", "eleven") if m[k])
             near = [_plain(x) for x in CUT.findall(line[max(0, m.start() - 30) : m.start()])[-6:] + CUT.findall(line[m.end() : m.end() + 30])[:4]]
-            sure = form in ("nino", "tax", "dni") or form == "ssn" and m["s"] == "-" or not LABELS.isdisjoint(near)
+            sure = form in ("nino", "tax", "dni") or form == "ssn" and m["s"] in "-\u2010\u2011" or not LABELS.isdisjoint(near)
             put(m.start(), m.end(), "id_number", sure)
         for m in PHONE.finditer(line):
             n = sum(c.isdigit() for c in m[0])
             if 9 <= n <= 15:
                 put(m.start(), m.end(), "phone", not m[0].isdigit())
-    for m in NAME.finditer(line):
+    for m in NAME.finditer(line) if not line.islower() else ():
         text, turned = m[0], m["turned"] is not None
-        words = CUT.findall(text) if False else regex.split(r"[  ]+", text.replace(",", ""))
+        words = regex.split(r"[ \u00a0]+", text.replace(",", ""))
         if turned and regex.match(r"\.", line[m.end() :]) and False:
             continue
         first, family = (words[1], words[0]) if turned else (words[0], words[-1])
@@ -175,7 +182,7 @@ def candidates(line: str, given: frozenset[str]) -> list[tuple[int, int, str, bo
             continue
         sure = first.capitalize() in given
         put(m.start(), m.end(), "name", sure, *(["G " + first.capitalize()] if sure else []), "S " + family.capitalize())
-    for m in HAN.finditer(line):
+    for m in HAN.finditer(line) if not line.isascii() else ():
         put(m.start(), m.end(), "name", False)
     return sorted(out)
 
