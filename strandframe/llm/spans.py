@@ -3,9 +3,9 @@
 Recompression: rounds that replace runs of one symbol and then pairs of symbols by new symbols. A name is a fixed
 hash of what it replaces, so equal text gets equal symbols everywhere without a table of names, and all rounds of a
 record are one pass over it. Which symbols a text has is only unsure near its ends; each symbol keeps the interval
-of characters that forces it. A window's sign is its highest symbol that the window alone forces, so equal windows
-have equal signs, wherever they lie; the characters that force it are part of the sign. Signs are few, a sign that one record alone has rules its windows out, and the
-windows of the others are compared as text.
+of characters that forces it. A window's sign is its highest symbol that the window alone forces, with the
+characters that force it, so equal windows have equal signs, wherever they lie. A sign that only one record has rules
+its windows out, by a filter of bounded size; the windows that are left are compared as wholes.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandframe.session import checkpointed
+
 #: Characters of a window.
 WIDTH = 40
 #: Rounds of renaming; by then no symbol is short enough to lie in a window.
@@ -24,6 +26,9 @@ ROUNDS = 12
 #: Characters handled at once; longer records are cut into overlapping parts, which changes no sign.
 PART = 1 << 18
 
+#: log2 of the bits of the largest filter: 16 MB.
+MOST_BITS = 27
+
 FAR = 1 << 40
 #: Odd base of prefix hashes.
 BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -126,60 +131,101 @@ def signs(codes: np.ndarray, owner: np.ndarray, begin: np.ndarray, end: np.ndarr
     return out
 
 
-def _occurrences(width: int):
-    """Rows (rec, text) to (sign, rec, pos, text): runs of windows with one sign, and the characters they cover."""
+def _parts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tuple[int, int, str]]]:
+    """(rec, offset, text) in groups of about PART characters; parts of a long text overlap by width - 1."""
+    held, size = [], 0
+    for b in batches:
+        for rec, text in zip(b.column("rec"), b.column("text"), strict=True):
+            rec, text = rec.as_py(), text.as_py()
+            for at in range(0, len(text) - width + 1, PART):
+                piece = text[at : at + PART + width - 1]
+                held.append((rec, at, piece))
+                size += len(piece)
+                if size >= PART:
+                    yield held
+                    held, size = [], 0
+    if held:
+        yield held
+
+
+def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Runs of windows with one sign: sign, rec, position of the first, text of all."""
+    for held in _parts(batches, width):
+        whole = "".join(p for _, _, p in held)
+        sizes = np.array([len(p) for _, _, p in held])
+        codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        end = np.cumsum(sizes)
+        begin = end - sizes
+        owner = np.repeat(np.arange(len(held)), sizes)
+        sign = signs(codes, owner, begin, end, width)
+        new = np.ones(len(sign), bool)
+        new[1:] = (sign[1:] != sign[:-1]) | (owner[1:] != owner[:-1])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(sign)) - 1
+        use = sign[first] > 0
+        first, last = first[use], last[use]
+        rec, shift = (np.array([h[i] for h in held], np.int64)[owner[first]] for i in (0, 1))
+        yield sign[first], rec, first - begin[owner[first]] + shift, whole, first, last
+
+
+def _spots(sign: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a sign in a filter of `size` bits, a power of two."""
+    return (sign & np.uint64(size - 1)).astype(np.int64), (sign >> np.uint64(32) & np.uint64(size - 1)).astype(np.int64)
+
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, str]]]:
-        held, size = [], 0
+def sign_filter(shared: DataFrame) -> np.ndarray:
+    """A Bloom filter of column sign, as an array of bytes: 16 bits a sign, within MOST_BITS whatever their number.
+    It only lets windows pass that are compared afterwards, so a full one costs time and changes no result."""
+    size = 1 << min(MOST_BITS, max(16, (16 * shared.count()).bit_length()))
+
+    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for rec, text in zip(b.column("rec"), b.column("text"), strict=True):
-                rec, text = rec.as_py(), text.as_py()
-                for at in range(0, max(1, len(text) - width + 1), PART):
-                    piece = text[at : at + PART + width - 1]
-                    held.append((rec, at, piece))
-                    size += len(piece)
-                    if size >= PART:
-                        yield held
-                        held, size = [], 0
-        if held:
-            yield held
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in parts(batches):
-            whole = "".join(p for _, _, p in held)
-            sizes = np.array([len(p) for _, _, p in held])
-            codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
-            end = np.cumsum(sizes)
-            begin = end - sizes
-            owner = np.repeat(np.arange(len(held)), sizes)
-            sign = signs(codes, owner, begin, end, width)
-            new = np.ones(len(sign), bool)
-            new[1:] = (sign[1:] != sign[:-1]) | (owner[1:] != owner[:-1])
-            first = np.flatnonzero(new)
-            last = np.append(first[1:], len(sign)) - 1
-            use = sign[first] > 0
-            first, last = first[use], last[use]
-            text = owner[first]
-            rec, shift = (np.array([h[i] for h in held], np.int64)[text] for i in (0, 1))
-            slices = [whole[a : b + width] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(sign[first].view(np.int64)), pa.array(rec), pa.array(first - begin[text] + shift), pa.array(slices, pa.string())],
-                ["sign", "rec", "pos", "text"],
-            )
-
-    return find
+            bits = np.unique(np.concatenate(_spots(b.column("sign").to_numpy().view(np.uint64), size)))
+            yield pa.RecordBatch.from_arrays([pa.array(bits >> 3), pa.array(np.int64(1) << (bits & 7))], ["at", "bits"])
+
+    table = shared.mapInArrow(spots, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(size >> 3, np.uint8)
+    out[table.column("at").to_numpy()] = table.column("bits").to_numpy().astype(np.uint8)
+    return out
 
 
 def shared_windows(records: DataFrame, width: int = WIDTH) -> DataFrame:
     """(rec, pos) of all windows of `width` characters that another record has too. records has rec (long) and
-    text; nulls and texts under the width have none, texts of the same rec are one record."""
+    text; nulls and texts under the width have none, texts of the same rec are one record.
+
+    Windows whose sign passes the filter are compared by two 64-bit hashes of their text. Both sides of the last
+    join are plain exchanges of written rows, so that adaptive execution can split a window that a third of all
+    records has.
+    """
     rows = records.where(F.col("rec").isNotNull() & (F.length("text") >= width)).select("rec", "text").distinct()
-    found = rows.mapInArrow(_occurrences(width), "sign long, rec long, pos long, text string")
-    ends = lambda df, key: df.groupBy(key).agg(F.min("rec").alias("a"), F.max("rec").alias("b")).where("a < b").select(key)
-    likely = found.join(ends(found, "sign"), "sign", "left_semi")
-    starts = F.explode(F.sequence(F.lit(0), F.length("text") - width))
-    windows = likely.select("rec", "pos", "text", starts.alias("i")).select("rec", (F.col("pos") + F.col("i")).alias("pos"), F.col("text").substr(F.col("i") + 1, F.lit(width)).alias("window"))
-    return windows.join(ends(windows, "window"), "window", "left_semi").select("rec", "pos")
+
+    def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sign, rec, *_ in _runs(batches, width):
+            yield pa.RecordBatch.from_arrays([pa.array(sign.view(np.int64)), pa.array(rec)], ["sign", "rec"])
+
+    signs_ = checkpointed(_in_two(rows.mapInArrow(first_pass, "sign long, rec long"), "sign"))
+    allowed = rows.sparkSession.sparkContext.broadcast(sign_filter(signs_))
+
+    def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = allowed.value
+        for sign, rec, pos, whole, first, last in _runs(batches, width):
+            keep = np.ones(len(sign), bool)
+            for at in _spots(sign, len(table) << 3):
+                keep &= (table[at >> 3] >> (at & 7) & 1).astype(bool)
+            slices = [whole[a : b + width] for a, b in zip(first[keep].tolist(), last[keep].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(rec[keep]), pa.array(pos[keep]), pa.array(slices, pa.string())], ["rec", "pos", "text"])
+
+    likely = rows.mapInArrow(second_pass, "rec long, pos long, text string")
+    windows = likely.select("rec", "pos", "text", F.explode(F.sequence(F.lit(0), F.length("text") - width)).alias("i"))
+    window = F.col("text").substr(F.col("i") + 1, F.lit(width))
+    windows = checkpointed(windows.select("rec", (F.col("pos") + F.col("i")).alias("pos"), F.xxhash64(window).alias("h"), F.xxhash64(F.lit(1), window).alias("g")))
+    common = checkpointed(_in_two(windows, "h", "g"))
+    return windows.join(common, ["h", "g"], "left_semi").select("rec", "pos")
+
+
+def _in_two(df: DataFrame, *key: str) -> DataFrame:
+    """Keys that two different records have; map tasks send one row a key."""
+    return df.groupBy(*key).agg(F.min("rec").alias("a"), F.max("rec").alias("b")).where("a < b").select(*key)
 
 
 def shared_spans(records: DataFrame, width: int = WIDTH) -> DataFrame:
