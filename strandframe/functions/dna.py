@@ -87,6 +87,21 @@ def letter_at(kmer: Column, index: Column) -> Column:
     return kmer.substr(index + 1, F.lit(1))
 
 
+def set_letter(seq: Column, index: Column, base: Column) -> Column:
+    """The sequence with another letter at a position from 0."""
+    return F.overlay(seq, base, index + 1, F.lit(1))
+
+
+def mock(k: int) -> Column:
+    """The k-mer of A only."""
+    return F.repeat(F.lit(LETTERS[0]), k)
+
+
+def random_kmer(k: int, seed: int = 42) -> Column:
+    """A random k-mer for each row."""
+    return F.concat(*[F.lit(LETTERS).substr((F.rand(seed + i) * 4).cast("int") + 1, F.lit(1)) for i in range(k)])
+
+
 def lower_range(seq: Column, start: int, end: int) -> Column:
     """Lower case for positions start..end, from 0, both inclusive."""
     return F.concat(seq.substr(1, start), F.lower(seq.substr(start + 1, end - start + 1)), seq.substr(F.lit(end + 2), F.length(seq)))

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandframe.functions import dna
+
 #: Seeds of k-mer hashes and of path signatures, and the multiplier and shift of the hash.
 KMER_SEED = 0xCAA9CFCF
 SIGNATURE_SEED = 0xD948C134
@@ -38,3 +40,8 @@ def murmur64a_column(text: Column, seed: int) -> Column:
         return values.map(lambda v: None if v is None else str(murmur64a(v.encode(), seed)))
 
     return digest(text).cast("decimal(20,0)")
+
+
+def canonical_hash(kmer: Column) -> Column:
+    """Hash of the canonical form of a k-mer, with the zero byte that ends it."""
+    return murmur64a_column(F.concat(dna.canonical(kmer), F.lit("\0")), KMER_SEED)

@@ -155,3 +155,8 @@ def dangling_arcs(vertices_: DataFrame) -> DataFrame:
     """Arcs whose end isn't a vertex; a data check that gives no rows."""
     ends = arcs(vertices_).withColumn("kmer", dna.canonical(F.col("dst")))
     return ends.join(vertices_.select("kmer"), "kmer", "left_anti").select("src", "dst")
+
+
+def without_flags(vertices_: DataFrame, flags: int, column: str = "flags") -> DataFrame:
+    """Vertices that have none of the given flag bits; a null flag column has none."""
+    return vertices_.where(F.coalesce(F.col(column), F.lit(0)).bitwiseAND(F.lit(flags)) == 0)

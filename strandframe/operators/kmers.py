@@ -61,3 +61,8 @@ def with_minimizer(kmers: DataFrame, k: int, stores: int, width: int = 19) -> Da
 def partition_by_minimizer(kmers: DataFrame, k: int, partitions: int, width: int = 19) -> DataFrame:
     """Rows placed so that k-mers of one minimizer share a partition."""
     return with_minimizer(kmers, k, partitions, width).repartition(partitions, "minimizer")
+
+
+def partition_by_hash(kmers: DataFrame, partitions: int, kmer: str = "kmer") -> DataFrame:
+    """Rows placed by the canonical form of the k-mer, so that both strands share a partition."""
+    return kmers.repartition(partitions, dna.canonical(F.col(kmer)))

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandframe.functions import containers as ct
-from strandframe.functions import dna, stats
+from strandframe.functions import codec, dna, stats
 from strandframe.operators import graph, kmers, ordered, sequences, skew, unitigs
 from strandframe.operators.observations import counting
 from strandframe.plans.registry import Registry
 from strandframe.session import checkpointed, read_table
+from strandframe.sources.sequences import of_format
 
 REG = Registry()
 query = REG.add
@@ -102,6 +103,46 @@ def kmer_moves(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(sql=f"with {R} select read_id, s seq, (length(s)*2//8+1)::int bytes, case when length(s)>2 then 'T'||substr(s,2) else s end changed from r")
+def codec_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    s = F.col("seq")
+    out = _reads(spark, d).withColumn("data", codec.packed(s))
+    changed = F.when(F.length(s) > 2, dna.set_letter(s, F.lit(0), F.lit("T"))).otherwise(s)
+    return out.select("read_id", codec.unpacked(F.col("data"), F.length(s)).alias("seq"), F.octet_length("data").alias("bytes"), changed.alias("changed"))
+
+
+@query(sql="select file, count(*) reads from sequence_reads where regexp_matches(file, '\\.(fq|fastq)(\\.gz)?$') group by 1")
+def fastq_files(spark: SparkSession, d: str) -> DataFrame:
+    return of_format(read_table(spark, d, "sequence_reads"), "fastq").groupBy("file").agg(F.count(F.lit(1)).alias("reads"))
+
+
+@query(sql="select visit_id, main_kmer, flags from vertex_neighborhoods where coalesce(flags,0)&5=0")
+def unused_vertices(spark: SparkSession, d: str) -> DataFrame:
+    return graph.without_flags(read_table(spark, d, "vertex_neighborhoods"), 5).select("visit_id", "main_kmer", "flags")
+
+
+@query(sql="select kmer_length, count(*) n, count(distinct main_kmer) kmers, min(coverage_depth) low, max(coverage_depth) high, round(avg(coverage_depth),6) mean from vertex_neighborhoods where coverage_depth>=2 group by 1")
+def covered_visits(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "vertex_neighborhoods").where("coverage_depth >= 2").groupBy("kmer_length")
+    c = F.col("coverage_depth")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("main_kmer").alias("kmers"), F.min(c).alias("low"), F.max(c).alias("high"), F.round(F.avg(c), 6).alias("mean"))
+
+
+@query(sql="select read_id, file, seq, loaded_at from (select *, row_number() over (partition by read_id order by loaded_at) n from sequence_reads) where n=1")
+def first_loads(spark: SparkSession, d: str) -> DataFrame:
+    """Each read as it was loaded first."""
+    rows = read_table(spark, d, "sequence_reads").select("read_id", "file", "seq", "loaded_at")
+    one = F.min_by(F.struct("file", "seq", "loaded_at"), "loaded_at").alias("r")
+    return rows.groupBy("read_id").agg(one).select("read_id", "r.file", "r.seq", "r.loaded_at")
+
+
+@query(sql="select file, count(*) reads from (select file from sequence_reads union all select file from input_streams union all select file from store_entries) group by 1")
+def merged_inputs(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of all inputs by file."""
+    names = [read_table(spark, d, t).select("file") for t in ("sequence_reads", "input_streams", "store_entries")]
+    return names[0].union(names[1]).union(names[2]).groupBy("file").agg(F.count(F.lit(1)).alias("reads"))
+
+
 @query(sql="select file, count(*) reads, coalesce(sum(length(seq)),0)::bigint bases from sequence_reads group by 1")
 def dataset_summary(spark: SparkSession, d: str) -> DataFrame:
     return sequences.dataset_summary(read_table(spark, d, "sequence_reads"))

@@ -8,6 +8,8 @@ line, while a record's beginning always has its identifier, its sequence and a '
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,13 +28,25 @@ class InputNotSupported(ValueError):
 
 
 def format_of(path: str) -> str:
-    """'fastq' or 'fasta' by suffix."""
-    for kind, suffixes in (("fastq", FASTQ_SUFFIXES), ("fasta", FASTA_SUFFIXES)):
+    """Name of the format by suffix: 'fastq' or 'fasta', or one added by register_format."""
+    for kind, (suffixes, _) in FORMATS.items():
         if path.endswith(suffixes):
             return kind
     raise InputNotSupported(path)
 
 
+def of_format(df: DataFrame, kind: str, file: str = "file") -> DataFrame:
+    """Rows whose file name has a suffix of the format."""
+    pattern = "(" + "|".join(re.escape(x) for x in FORMATS[kind][0]) + ")$"
+    return df.where(F.col(file).rlike(pattern))
+
+
+def file_sizes(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file, bytes) of input files, from their metadata."""
+    meta = spark.read.format("binaryFile").load(paths)
+    return meta.select(F.col("path").alias("file"), F.col("length").alias("bytes"))
+
+
 def _named(df: DataFrame) -> DataFrame:
     return df.select(F.col("_metadata.file_path").alias("file"), F.col("value"))
 
@@ -80,9 +94,16 @@ def read_sequences(spark: SparkSession, paths: list[str]) -> DataFrame:
         by.setdefault(format_of(path), []).append(path)
     if not by:
         raise InputNotFound("no input files")
-    readers = {"fasta": read_fasta, "fastq": read_fastq}
-    parts = [readers[kind](spark, own) for kind, own in sorted(by.items())]
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return reduce(DataFrame.unionByName, [FORMATS[kind][1](spark, own) for kind, own in sorted(by.items())])
+
+
+#: Suffixes and reader of each format.
+FORMATS = {"fastq": (FASTQ_SUFFIXES, read_fastq), "fasta": (FASTA_SUFFIXES, read_fasta)}
+
+
+def register_format(kind: str, suffixes: tuple[str, ...], reader: Callable[[SparkSession, list[str]], DataFrame]) -> None:
+    """Adds a format; reader gives (file, name, seq)."""
+    FORMATS[kind] = (suffixes, reader)
 
 
 def looks_like_identifier(line: str) -> bool:

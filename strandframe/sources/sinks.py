@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.functions.hashing import KMER_SEED, SIGNATURE_SEED, murmur64a, murmur64a_column
+from strandframe.functions.hashing import KMER_SEED, SIGNATURE_SEED, canonical_hash, murmur64a, murmur64a_column
 from strandframe.functions import dna
 
 
@@ -47,7 +47,7 @@ def path_name(seq: str, k: int) -> int:
 def fasta_records(paths: DataFrame, k: int, width: int = 80) -> DataFrame:
     """One column value: header with name, length, circular flag and signature, then lines of `width` letters."""
     ends = F.least(dna.canonical(F.col("seq").substr(F.lit(1), F.lit(k))), dna.canonical(F.right("seq", F.lit(k))))
-    name = murmur64a_column(F.concat(ends, F.lit("\0")), KMER_SEED)
+    name = canonical_hash(ends)
     signature = F.lower(F.conv(murmur64a_column(F.col("seq"), SIGNATURE_SEED).cast("string"), 10, 16))
     header = F.format_string(">path_%s length=%d circular=%d signature=%s", name.cast("string"), F.length("seq"), "circular", signature)
     body = F.regexp_replace("seq", f"(.{{{width}}})(?=.)", "$1\n")

@@ -9,8 +9,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from strandframe.functions import dna, stats
-from strandframe.functions.hashing import KMER_SEED, MULTIPLIER, murmur64a
+from strandframe.functions import codec, dna, stats
+from strandframe.functions.hashing import KMER_SEED, MULTIPLIER, canonical_hash, murmur64a
 from strandframe.operators import graph, kmers, ordered, skew, unitigs
 from strandframe.plans.queries import REG
 from strandframe.sources import sequences as src
@@ -54,6 +54,22 @@ def test_dna_functions(spark):
         assert one(spark, f(F.lit(None).cast("string"))) is None
 
 
+@settings(max_examples=50, deadline=None)
+@given(st.text(alphabet="ACGT", max_size=60))
+def test_codec(seq):
+    data = codec.pack(seq)
+    assert codec.unpack(data, len(seq)) == seq and len(data) == len(seq) * 2 // 8 + 1
+
+
+def test_more_kmers(spark):
+    assert one(spark, dna.set_letter(F.lit("ACGT"), F.lit(2), F.lit("T"))) == "ACTT" and one(spark, dna.mock(5)) == "AAAAA"
+    made = [r[0] for r in spark.range(20).select(dna.random_kmer(9)).collect()]
+    assert len(set(made)) > 10 and all(set(x) <= set("ACGT") and len(x) == 9 for x in made)
+    two = spark.createDataFrame([(p,) for p in ("TTTACG", rc("TTTACG"))], "kmer string")
+    assert kmers.partition_by_hash(two, 16).select(F.spark_partition_id()).distinct().count() == 1
+    assert {str(r[0]) for r in two.select(canonical_hash(F.col("kmer"))).collect()} == {str(murmur64a(b"CGTAAA\0", KMER_SEED))}
+
+
 def test_murmur():
     # published test value of the hash: SMHasher's verification code for this variant
     def published(data, seed):
@@ -232,6 +248,10 @@ def test_formats():
     assert [src.format_of(x) for x in ("a.fa", "a.fasta.gz", "a.fq", "a.fastq.gz")] == ["fasta", "fasta", "fastq", "fastq"]
     with pytest.raises(src.InputNotSupported):
         src.format_of("a.txt")
+    with pytest.raises(src.InputNotFound):
+        src.read_sequences(None, [])
+    src.register_format("plain", (".txt",), lambda spark, paths: None)
+    assert src.format_of("a.txt") == "plain" and src.FORMATS.pop("plain")
     assert src.looks_like_identifier("@1424:1:1:2886:1915/1\n") and not src.looks_like_identifier("@" + "I" * 120) and not src.looks_like_identifier("ACGT")
 
 
