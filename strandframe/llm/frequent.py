@@ -121,8 +121,9 @@ def most_frequent(rows: DataFrame, top: int, id: str) -> DataFrame:
     their exact counts n and what the sketch knew: votes <= rows <= votes + light.
 
     rows has grp (int, may be null), value (string; a null value is never among the results) and an id, which
-    repeated rows share; rows with a null id are told apart by nothing and count once. Repeated rows only raise the sketch's bounds, so they are
-    removed in the exact count alone. The driver holds counters of the sketch, never rows.
+    repeated rows share; rows with a null id are told apart by nothing and count once. Repeated rows only raise the
+    sketch's bounds, so they are removed in the exact count alone. The driver holds counters of the sketch, never
+    rows.
     """
     heavy, light = sketch(rows)
     counters = {}
