@@ -28,13 +28,15 @@ def build_session(app: str = "strandframe", master: str | None = None, shuffle_p
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the one that the cluster names in spark.checkpoint.dir, else,
-    only where that is unset (local tests), a temporary folder."""
+    """The folder for checkpoints: the one that the cluster names in spark.checkpoint.dir. Only a local session
+    without that setting, as in tests, gets a temporary folder; on a cluster it would be seen by one machine only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not named and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = named or tempfile.mkdtemp(prefix="strandframe-")
     context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get()
