@@ -31,32 +31,45 @@ def _lowest_home(df: DataFrame) -> list[Column]:
 
 
 def arcs_with_coverage(vertices: DataFrame) -> DataFrame:
-    """Oriented arcs (src, dst, src_coverage, dst_coverage)."""
+    """Oriented arcs (src, code, src_coverage, dst_coverage); code is that of the letter that dst adds."""
     more = _home(vertices)
-    o = graph.oriented(vertices).select("kmer", "coverage", *more, F.explode(graph.letters_of(F.col("children"))).alias("base"))
-    out = o.select(F.col("kmer").alias("src"), F.col("coverage").alias("src_coverage"), dna.child(F.col("kmer"), F.col("base")).alias("dst"), *more)
+    codes = F.filter(F.array(*[F.lit(i) for i in range(4)]), lambda i: F.getbit(F.col("children"), i) == 1)
+    o = graph.oriented(vertices).select("kmer", "coverage", *more, F.explode(codes).alias("code"))
+    key = dna.canonical(_next(F.col("kmer"), F.col("code")))
+    out = o.select(F.col("kmer").alias("src"), "code", F.col("coverage").alias("src_coverage"), key.alias("key"), *more)
     other = vertices.select(F.col("kmer").alias("key"), F.col("coverage").alias("dst_coverage"))
-    return out.withColumn("key", dna.canonical(F.col("dst"))).join(other, "key").drop("key")
+    # keys of vertices are unique, so hash tables of a partition stay as small as the partition
+    return out.join(other.hint("shuffle_hash"), "key").drop("key")
+
+
+def _next(kmer: Column, code: Column) -> Column:
+    return dna.child(kmer, dna.letter(code))
 
 
 def flow_split(vertices: DataFrame, minimum_coverage: int = 1) -> DataFrame:
     """choice(src, dst): the arc taken from each oriented vertex, if any. With c the coverage of the source, a
     candidate is taken if it is the only one of coverage >= c div 4, and neither coverage reaches 8 times the
-    other. (No other candidate can then have the same coverage.)"""
+    other. (No other candidate can then have the same coverage.)
+
+    Where one candidate is that strong, the maximum over strong candidates is the candidate's own value; numbers
+    only, so that the aggregate stays a hash aggregate.
+    """
     cc, nc = F.col("src_coverage").cast("long"), F.col("dst_coverage").cast("long")
     strong = nc >= F.floor(cc / NOISE)
+    one = lambda x: F.max(F.when(strong, x))
     grouped = arcs_with_coverage(vertices).groupBy("src").agg(
-        F.count_if(strong).alias("strong"),
-        F.min(F.when(strong, F.struct("dst", cc.alias("cc"), nc.alias("nc")))).alias("one"),
-        *_lowest_home(vertices),
+        F.count_if(strong).alias("strong"), one(F.col("code")).alias("code"), one(cc).alias("cc"), one(nc).alias("nc"), *_lowest_home(vertices)
     )
-    fits = (F.col("one.nc") < F.col("one.cc") * REPEAT) & (F.col("one.cc") < F.col("one.nc") * REPEAT)
-    return grouped.where((F.col("strong") == 1) & fits & (F.col("one.nc") >= minimum_coverage)).select("src", F.col("one.dst").alias("dst"), *_home(vertices))
+    fits = (F.col("nc") < F.col("cc") * REPEAT) & (F.col("cc") < F.col("nc") * REPEAT) & (F.col("nc") >= minimum_coverage)
+    return grouped.where((F.col("strong") == 1) & fits).select("src", _next(F.col("src"), F.col("code")).alias("dst"), *_home(vertices))
 
 
-def highest_coverage(vertices: DataFrame) -> DataFrame:
+def highest_coverage(vertices: DataFrame, minimum_coverage: int = 1) -> DataFrame:
     """The other strategy: the child of highest coverage, the first letter on ties."""
-    return arcs_with_coverage(vertices).groupBy("src").agg(F.min_by("dst", F.struct(-F.col("dst_coverage"), "dst")).alias("dst"), *_lowest_home(vertices))
+    rank = F.col("dst_coverage").cast("long") * 4 + (3 - F.col("code"))
+    best = arcs_with_coverage(vertices).groupBy("src").agg(F.max(rank).alias("r"), *_lowest_home(vertices))
+    code = (3 - F.col("r") % 4).cast("int")
+    return best.where(F.floor(F.col("r") / 4) >= minimum_coverage).select("src", _next(F.col("src"), code).alias("dst"), *_home(vertices))
 
 
 def mutual(choice: DataFrame) -> DataFrame:
