@@ -36,7 +36,9 @@ def with_register(df: DataFrame, value: Column, precision: int = PRECISION) -> D
 
 def registers(df: DataFrame, groups: list[str], value: str, precision: int = PRECISION) -> DataFrame:
     """(groups..., register, rank): the mergeable partial result. Null values aren't counted; null groups are
-    groups. Map tasks send at most one row for each group and register."""
+    groups. Map tasks send at most one row for each group and register. Groups can't be named register or rank."""
+    if clash := {"register", "rank"} & {*groups}:
+        raise ValueError(f"reserved names: {sorted(clash)}")
     rows = with_register(df.where(F.col(value).isNotNull()).select(*groups, value), F.col(value), precision)
     return rows.groupBy(*groups, "register").agg(F.max("rank").alias("rank"))
 

@@ -125,8 +125,9 @@ def most_frequent(rows: DataFrame, top: int, id: str) -> DataFrame:
     sketch's bounds, so they are removed in the exact count alone. The driver holds counters of the sketch, never
     rows.
     """
+    rows = rows.select("grp", "value", id)
     heavy, light = sketch(rows)
-    counters = {}
+    counters: dict = {}
     for r in heavy.collect():  # BUCKETS * SLOTS rows a group at most
         counters.setdefault(r["grp"], []).append((r["votes"], r["light"], r["value"]))
     cells: dict = {}

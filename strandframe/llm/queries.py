@@ -84,6 +84,18 @@ def p4_distinct(spark: SparkSession, d: str) -> DataFrame:
     return distinct.distinct_by_all(rows, ["day", "dataset", "kernel"], "key")
 
 
+P4_ROWS = """select emitted_at::date "day", dataset, kernel, ('0x'||substr(h,1,3))::int register, max(case when x=0 then 53 else 53-length(bin(x)) end)::tinyint "rank" from
+(select *, ('0x'||substr(h,4,13))::bigint x from (select emitted_at, dataset, kernel, md5(least(k,reverse(translate(k,'ACGT','TGCA')))) h from
+(select emitted_at, dataset, kernel, regexp_replace(upper(kmer),'[^ACGT]','A','g') k from kmers where length(kmer)=kmer_length))) group by all"""
+
+
+@query(sql=P4_ROWS)
+def p4_registers(spark: SparkSession, d: str) -> DataFrame:
+    """The partial results by day, dataset and kernel; those of any two sets of rows merge by the larger rank."""
+    rows = counting(read_table(spark, d, "kmers"), F.to_date("emitted_at").alias("day"), "dataset", "kernel")
+    return distinct.registers(rows, ["day", "dataset", "kernel"], "key")
+
+
 def _grouped(spark: SparkSession, d: str) -> DataFrame:
     rows = counting(read_table(spark, d, "kmers"), "obs_id", F.col("kmer_length").alias("grp"))
     return rows.withColumnRenamed("key", "value")

@@ -187,7 +187,7 @@ def test_most_frequent(spark, monkeypatch, size):
     true = defaultdict(Counter)
     for i, _, g, v in {r for r in rows if r[3]}:
         true[g][v] += 1
-    df = spark.createDataFrame(rows, "id long, record long, grp int, value string").selectExpr("*", "1 as n", "2 as votes", "3 as cell")
+    df = spark.createDataFrame(rows, "id long, record long, grp int, value string").selectExpr("*", "1 as n", "2 as votes", "3 as cell", "4 as no", "5 as g", "6 as v")
     got = defaultdict(dict)
     for r in frequent.most_frequent(df, 5, "id").collect():
         got[r["grp"]][r["value"]] = r["n"]
