@@ -252,12 +252,12 @@ def protected(found: DataFrame) -> DataFrame:
     near = lambda side: F.coalesce(part(side + "2"), part(side + "1"), F.lit(0.0))
     zero = lambda r: F.coalesce(part(r), F.lit(0.0))
     sums = said.groupBy("sign", "kind").agg(
-        near("L").alias("left"), near("R").alias("right"), zero("W").alias("word"), zero("G").alias("given"), zero("S").alias("family"), F.max((F.col("role") == "S").cast("int")).alias("cased")
+        near("L").alias("left"), near("R").alias("right"), zero("G").alias("given"), zero("S").alias("family"), F.max((F.col("role") == "S").cast("int")).alias("cased"),
+        (zero("L2") + zero("R2") + zero("W")).alias("exact"),  # a bare number has nothing of its own: two words must agree
     )
     is_name = (F.col("left") + F.col("right") + F.col("given") + F.col("family") >= NAME_BITS) & (F.greatest("right", "family") >= NAME_KEY_BITS)
     uncased = F.col("left") + F.col("right") >= OTHER_BITS
-    other = F.col("left") + F.col("right") + F.col("word") >= OTHER_BITS
-    passed = F.when(F.col("kind") != "name", other).when(F.col("cased") == 1, is_name).otherwise(uncased)
+    passed = F.when(F.col("kind") != "name", F.col("exact") >= OTHER_BITS).when(F.col("cased") == 1, is_name).otherwise(uncased)
     # what follows is a join on a sign that a third of all rows may have, so both sides are spread
     good = sums.where(passed).select("sign", salts.alias("salt"))
     weighed = found.where(open_).withColumn("salt", F.pmod(F.hash("id", "start"), F.lit(SALTS)).cast("int")).join(good, ["sign", "salt"], "left_semi")
