@@ -107,10 +107,13 @@ def signs(codes: np.ndarray, owner: np.ndarray, begin: np.ndarray, end: np.ndarr
         if not (nxt.high - nxt.low <= width).any():
             break
         rounds.append(nxt)
-    for s in reversed(rounds):
+    # intervals of middle length first: they hold enough text to be rare and lie in many windows, so signs are few
+    tries = [(s, width * 2 // 5, width * 7 // 10) for s in reversed(rounds)] + [(s, 0, width) for s in reversed(rounds)]
+    for s, least, most in tries:
         if not open_.any():
             break
-        fits = s.high - s.low <= width
+        interval = s.high - s.low
+        fits = (interval >= least) & (interval <= most)
         name, low, high = s.name[fits], s.low[fits], s.high[fits]
         text = s.owner[fits]
         first, last = np.maximum(high - width, begin[text]), np.minimum(low, end[text] - width)
