@@ -186,10 +186,11 @@ def minimizer_partition(spark: SparkSession, d: str) -> DataFrame:
     return kmers.partition_by_minimizer(kmers.count(_reads(spark, d), K), K, 64).select("kmer", "minimizer")
 
 
-@query(sql="with n as (select read_id, loaded_at, row_number() over (order by read_id, loaded_at)-1 i from sequence_reads) select read_id, loaded_at, ((i//64)%7)::int store_index, ((i//64)//7*64+i%64)::bigint index_in_store from n")
+@query(sql="with n as (select *, row_number() over (order by read_id, loaded_at)-1 i from sequence_reads) select * exclude (i), ((i//64)%7)::int store_index, ((i//64)//7*64+i%64)::bigint index_in_store from n")
 def block_round_robin(spark: SparkSession, d: str) -> DataFrame:
-    rows = read_table(spark, d, "sequence_reads").select("read_id", "loaded_at")
-    return ordered.block_round_robin(rows, ["read_id", "loaded_at"], 64, 7).select("read_id", "loaded_at", "store_index", "index_in_store")
+    """All columns of the reads, dealt to stores in blocks."""
+    rows = ordered.block_round_robin(read_table(spark, d, "sequence_reads"), ["read_id", "loaded_at"], 64, 7)
+    return rows.drop("row_index")
 
 
 @query(sql="select main_kmer, count(*) visits, count(distinct kmer_length) lengths from vertex_neighborhoods group by 1")

@@ -182,6 +182,22 @@ def test_ordered(spark):
     assert Counter(r["store_index"] for r in dealt) == dict(enumerate(ordered.store_sizes(500, 3, 16)))
     assert len({(r["store_index"], r["index_in_store"]) for r in dealt}) == 500
     assert ordered.row_index(df.limit(0), ["a"]).count() == 0
+    gaps = spark.createDataFrame([(1, 5), (2, None), (3, 2)], "a int, v int")
+    assert [r["t"] for r in ordered.running_total(gaps, ["a"], "v", "t").orderBy("a").collect()] == [5, 5, 7]
+    assert [r["t"] for r in ordered.running_total(gaps, ["a"], "v", "t", inclusive=False).orderBy("a").collect()] == [0, 5, 5]
+
+
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_row_index_of_wide_rows(spark, coalesce):
+    """Every row keeps its columns and gets a number of its own, with repeated rows and whatever adaptive execution does."""
+    df = spark.range(40000).selectExpr("id div 3 as a", "repeat(sha2(cast(id as string), 256), 5) as wide", "id")
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+        got = ordered.row_index(df, ["a"]).selectExpr("count(*) n", "count(distinct row_index) d", "max(row_index) high", "count_if(row_index div 3 = a) right", "count(distinct wide) w").first()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert tuple(got) == (40000, 40000, 39999, 40000, 40000)
 
 
 @pytest.mark.parametrize("parts", ["1", "2", "7", "40"])
@@ -192,6 +208,7 @@ def test_totals_by_key(spark, parts):
         key = rng.choice(["hot"] * 20 + ["b", "c", None, ""])
         rows.append((key, rng.choice([1, 1, 1, 1, 2, 3, None]) if key == "hot" else rng.randrange(40), i if rng.random() < 0.95 else None, rng.choice([None, 1, 5])))
     rows += [r for r in rows if r[2] is not None][:400]
+    rows += [("hot", 2, 5, 3)] * 700 + [("hot", 3, None, 5)] * 600  # one row repeated very often, and rows without an id
     want = {}
     seen = set()
     for k, s, r, m in rows:
@@ -218,10 +235,29 @@ def test_totals_by_key(spark, parts):
 
 
 def test_skew_is_spread(spark):
-    """A key with nearly all rows goes to many partitions, none much larger than the others."""
-    df = spark.range(40000).selectExpr("if(id % 50 = 0, concat('k', id), 'hot') as k", "id div 10 as s", "id as r")
-    placed = df.repartitionByRange(8, "k", "s", "r").groupBy(F.spark_partition_id()).count().collect()
-    assert len(placed) == 8 and max(r["count"] for r in placed) < 2 * 40000 / 8
+    """A key with nearly all rows, most of them without an id and many the same, goes to many partitions, none much
+    larger than the others."""
+    df = spark.range(40000).selectExpr("if(id % 50 = 0, concat('k', id), 'hot') as k", "1 as s", "case when id % 3 = 0 then null when id % 3 = 1 then 7 else id end as r")
+    fold = skew._fold
+    acc = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        n = 0
+        for b in batches:
+            n += b.num_rows
+        acc.add(int(n > 2 * 40000 / 8))
+        return iter(())
+
+    skew._fold = counted
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert skew.totals_by_key(df, "k", "s", "r").count() == 0 and acc.value == 0
+    finally:
+        skew._fold = fold
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = {r["key"]: r["rows"] for r in skew.totals_by_key(df, "k", "s", "r").where("key = 'hot'").collect()}
+    ids = [None if i % 3 == 0 else 7 if i % 3 == 1 else i for i in range(40000) if i % 50]
+    assert got == {"hot": ids.count(None) + len(set(ids) - {None})}
 
 
 # ---- formats ----
