@@ -7,7 +7,7 @@ sampled and coalesced differently each time.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandframe.session import checkpointed
@@ -16,14 +16,15 @@ from strandframe.session import checkpointed
 PLACE_BITS = 33
 
 
-def _placed(df: DataFrame, order: list[str]) -> DataFrame:
-    """df with _place, which grows with the order: the number of the range partition and that of the row in it."""
+def placed(df: DataFrame, order: list[str]) -> DataFrame:
+    """df, written, with _place, which grows with the order: the number of the range partition and that of the row in
+    it, from 0."""
     return checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()))
 
 
-def _offsets(placed: DataFrame, amount) -> DataFrame:
+def _offsets(rows: DataFrame, amount: Column) -> DataFrame:
     """(_part, _offset): the amount of all partitions before each; one row a partition, the only thing broadcast."""
-    sums = placed.groupBy(F.shiftright("_place", PLACE_BITS).alias("_part")).agg(amount.alias("_sum"))
+    sums = rows.groupBy(F.shiftright("_place", PLACE_BITS).alias("_part")).agg(amount.alias("_sum"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     return sums.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).cast("long").alias("_offset"))
 
@@ -31,19 +32,19 @@ def _offsets(placed: DataFrame, amount) -> DataFrame:
 def running_total(df: DataFrame, order: list[str], value: str, out: str, inclusive: bool = True) -> DataFrame:
     """df with the running total of `value` in the order of `order`, as long; a null value adds nothing. `order`
     should be unique for a defined result among ties. An empty table stays empty."""
-    placed = _placed(df, order).withColumn("_part", F.shiftright("_place", PLACE_BITS))
+    rows = placed(df, order).withColumn("_part", F.shiftright("_place", PLACE_BITS))
     amount = F.coalesce(F.col(value), F.lit(0))
     within = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    joined = placed.join(F.broadcast(_offsets(placed, F.sum(amount))), "_part", "left")
+    joined = rows.join(F.broadcast(_offsets(rows, F.sum(amount))), "_part", "left")
     return joined.withColumn(out, (F.col("_offset") + F.coalesce(F.sum(amount).over(within), F.lit(0))).cast("long")).drop("_part", "_place", "_offset")
 
 
 def row_index(df: DataFrame, order: list[str], out: str = "row_index") -> DataFrame:
     """Number of each row from 0 in the order of `order`, each number once, ties in any order. The rows are exchanged
     once: their place in the written partition and the sizes of the partitions before it make the number."""
-    placed = _placed(df, order).withColumn("_part", F.shiftright("_place", PLACE_BITS))
+    rows = placed(df, order).withColumn("_part", F.shiftright("_place", PLACE_BITS))
     within = F.col("_place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
-    joined = placed.join(F.broadcast(_offsets(placed, F.count(F.lit(1)))), "_part", "left")
+    joined = rows.join(F.broadcast(_offsets(rows, F.count(F.lit(1)))), "_part", "left")
     return joined.withColumn(out, F.col("_offset") + within).drop("_part", "_place", "_offset")
 
 
