@@ -2,8 +2,10 @@
 
 Exact-complement hashing on the histogram of sizes, which has at most `capacity` entries however many items there
 are: for the largest size with items left, the gap is looked up among single sizes, then sums of pairs, then sums of
-triples, and the combination is used as often as its sizes last. What finds no exact partner is placed by best fit,
-again by size and not by item. The plan is a short list of patterns; items take their places by rank within size.
+triples, under the numbers of items that are left; where nothing fills the gap exactly, the largest size that fits is
+put in and the rest of the gap is looked up again. Each combination is used as often as its sizes last. Best fit from
+the largest size on, without looking for exact complements, is planned beside it, and the plan with fewer containers
+is taken. Plans are short lists of patterns; items take their places by rank within size.
 """
 
 from __future__ import annotations
@@ -17,10 +19,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandframe.llm.encoding import TOKENIZERS, count_column
+from strandframe.operators.ordered import PLACE_BITS, placed
 from strandframe.session import checkpointed
 
-#: Items of one size that share a rank range at most; more ranges are made where a size has more.
-RANGE = 1_000_000
+#: Sizes of one container and the number of such containers.
+Pattern = tuple[tuple[int, ...], int]
 
 
 class _Complements:
@@ -30,6 +33,7 @@ class _Complements:
         self.counts = counts
         self.pair = np.zeros((len(counts), 2), np.int64)  # a pair for each sum; checked against counts when used
         self.state = np.zeros(len(counts), np.int8)  # 0 to be searched, 1 found, 2 none: sizes only run out
+        self.no_triple = np.zeros(len(counts), bool)
 
     def _find_pair(self, gap: int) -> bool:
         a = np.arange((gap + 1) // 2, gap)
@@ -50,6 +54,8 @@ class _Complements:
         return tuple(map(int, self.pair[gap])) if self.state[gap] == 1 else None
 
     def three(self, gap: int) -> tuple[int, ...] | None:
+        if self.no_triple[gap]:
+            return None
         sizes = np.flatnonzero(self.counts[: max(0, gap - 1)])
         for a in sizes[self.state[gap - sizes] != 2][::-1].tolist():
             self.counts[a] -= 1  # so that a pair can't use the same item
@@ -57,45 +63,47 @@ class _Complements:
             self.counts[a] += 1
             if found:
                 return (a, *map(int, self.pair[gap - a]))
+        self.no_triple[gap] = True
         return None
 
 
-def plan(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (sizes of one container, number of containers) for counts[size], size 1..capacity."""
+def exact_first(counts: np.ndarray, capacity: int) -> list[Pattern]:
+    """Patterns for counts[size], size 1..capacity, by exact complements and the largest that fits."""
     left = counts.astype(np.int64).copy()
-    out: list[tuple[tuple[int, ...], int]] = []
-    rest = np.zeros_like(left)
+    out: list[Pattern] = []
     sums = _Complements(left)
 
-    def often(pattern: tuple[int, ...]) -> int:
-        sizes, times = np.unique(pattern, return_counts=True)
-        return int((left[sizes] // times).min())
-
-    def take(pattern: tuple[int, ...], m: int) -> None:
-        for x in pattern:
-            left[x] -= m
-        out.append((tuple(sorted(pattern, reverse=True)), m))
+    def exact(gap: int) -> tuple[int, ...] | None:
+        return (gap,) if left[gap] else sums.two(gap) or sums.three(gap)
 
     for size in range(capacity, 0, -1):
         while left[size]:
-            gap = capacity - size
-            left[size] -= 1  # the item itself isn't its own partner
-            if not gap:
-                partners: tuple[int, ...] | None = ()
-            elif left[gap]:
-                partners = (gap,)
-            else:
-                partners = sums.two(gap) or sums.three(gap)
-            left[size] += 1
-            if partners is None:
-                rest[size], left[size] = left[size], 0
-                break
-            take((size, *partners), often((size, *partners)))
-    # best fit of the rest; open[gap] = patterns with that much room
+            pattern, gap = [size], capacity - size
+            left[size] -= 1  # an item isn't its own partner
+            while gap:
+                partners = exact(gap)
+                if partners is None:
+                    fitting = np.flatnonzero(left[1 : gap + 1])
+                    if not len(fitting):
+                        break
+                    partners = (int(fitting[-1]) + 1,)
+                for x in partners:
+                    left[x] -= 1
+                pattern += partners
+                gap -= sum(partners)
+            sizes, times = np.unique(pattern, return_counts=True)
+            more = int((left[sizes] // times).min())
+            left[sizes] -= times * more
+            out.append((tuple(sorted(pattern, reverse=True)), 1 + more))
+    return out
+
+
+def best_fit(counts: np.ndarray, capacity: int) -> list[Pattern]:
+    """Patterns by best fit from the largest size on; open_[gap] holds patterns with that much room."""
     open_: dict[int, list[list]] = {}
     gaps = np.zeros(capacity + 1, np.int64)
     for size in range(capacity, 0, -1):
-        n = int(rest[size])
+        n = int(counts[size])
         while n:
             fitting = np.flatnonzero(gaps[size:]) + size
             if len(fitting):
@@ -114,7 +122,12 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]
             n -= used * each
             open_.setdefault(gap - size * each, []).append([new, used])
             gaps[gap - size * each] += used
-    return out + [(tuple(p), m) for group in open_.values() for p, m in group if m]
+    return [(tuple(p), m) for group in open_.values() for p, m in group if m]
+
+
+def plan(counts: np.ndarray, capacity: int) -> list[Pattern]:
+    """The plan with fewer containers, exact complements first on ties."""
+    return min((make(counts, capacity) for make in (exact_first, best_fit)), key=lambda p: sum(m for _, m in p))
 
 
 @dataclass
@@ -127,7 +140,7 @@ class Places:
     containers: int
 
 
-def places(patterns: list[tuple[tuple[int, ...], int]]) -> Places:
+def places(patterns: list[Pattern]) -> Places:
     used: dict[int, int] = {}
     rows, base = [], 0
     for pattern, m in patterns:
@@ -146,41 +159,40 @@ def pack(items: DataFrame, id: str, size: str, capacity: int) -> DataFrame:
 
     An item over the capacity is cut into full pieces and a last one; no other item is cut. An item of size 0 (or
     null size) takes no room and is spread over the containers that exist, or has container 0 if there are none.
-    The driver gets the histogram of sizes only: at most `capacity` numbers for each range of ranks.
+
+    Ranks within a size come from range partitions by size and id: the place of a row in its partition, and the rows
+    of its size in the partitions before it, one number for each size that a partition holds, so no more than
+    partitions plus sizes. The driver gets the histogram of sizes only, `capacity` numbers at most.
     """
     whole = F.coalesce(F.col(size), F.lit(0)).cast("long")
     cuts = F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(whole / capacity) - 1, F.lit(0)).cast("long"))
-    rows = items.select(id, whole.alias("_n"), F.explode(cuts).alias("piece")).select(
-        id, "piece", (F.col("piece") * capacity).alias("start"), F.least(F.lit(capacity), F.col("_n") - F.col("piece") * capacity).cast("int").alias("size")
+    rows = items.select(F.col(id).alias("id"), whole.alias("_n"), F.explode(cuts).alias("piece")).select(
+        "id", "piece", (F.col("piece") * capacity).alias("start"), F.least(F.lit(capacity), F.col("_n") - F.col("piece") * capacity).cast("int").alias("size"),
+        F.monotonically_increasing_id().alias("_row"),  # tells repeated rows apart, so that they can be split
     )
-    rows = checkpointed(rows)
+    spots = placed(checkpointed(rows), ["size", "id", "piece", "_row"]).withColumn("_part", F.shiftright("_place", PLACE_BITS))
+    groups = checkpointed(spots.groupBy("size", "_part").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_rows")))
     counts = np.zeros(capacity + 1, np.int64)
-    for r in rows.where("size > 0").groupBy("size").count().collect():
-        counts[r["size"]] = r["count"]
-    ranges = int(max(8, counts.max() // RANGE + 1))
-    rows = rows.withColumn("_range", F.pmod(F.xxhash64(id, "piece"), F.lit(ranges)).cast("int"))
-    table = np.zeros((capacity + 1, ranges), np.int64)
-    for r in rows.where("size > 0").groupBy("size", "_range").count().collect():
-        table[r["size"], r["_range"]] = r["count"]
-    offsets = np.cumsum(table, axis=1) - table
+    for r in groups.where("size > 0").groupBy("size").agg(F.sum("_rows").alias("n")).collect():
+        counts[r["size"]] = r["n"]
     at = places(plan(counts, capacity))
-
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("size", "_range").orderBy(id, "piece")) - 1)
+    before = Window.partitionBy("size").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = groups.select("size", "_part", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_offset"))
+    ranked = spots.join(F.broadcast(offsets), ["size", "_part"]).withColumn("_rank", F.col("_offset") + F.col("_place"))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, ranges_, ranks, spread = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("size", "_range", "_rank", "_spread"))
-            container = spread % max(1, at.containers)
+            sizes, ranks, container = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("size", "_rank", "_spread"))
+            container %= max(1, at.containers)
             real = sizes > 0
-            rank = offsets[sizes[real], ranges_[real]] + ranks[real]
-            run = np.searchsorted(at.keys, sizes[real] << 40 | rank, "right") - 1
-            container[real] = at.base[run] + (rank - (at.keys[run] & (1 << 40) - 1)) // at.each[run]
+            run = np.searchsorted(at.keys, sizes[real] << 40 | ranks[real], "right") - 1
+            container[real] = at.base[run] + (ranks[real] - (at.keys[run] & (1 << 40) - 1)) // at.each[run]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in ("id", "piece", "start", "size")] + [pa.array(container)], ["id", "piece", "start", "size", "container_id"])
 
     kind = items.schema[id].dataType.simpleString()
-    spread = F.shiftrightunsigned(F.xxhash64(id), 2)
-    placed = ranked.select(F.col(id).alias("id"), "piece", "start", "size", "_range", "_rank", spread.alias("_spread"))
-    return placed.mapInArrow(assign, f"id {kind}, piece long, start long, size int, container_id long").withColumnRenamed("id", id)
+    spread = F.shiftrightunsigned(F.xxhash64("id", "_row"), 2)
+    packed = ranked.select("id", "piece", "start", "size", "_rank", spread.alias("_spread"))
+    return packed.mapInArrow(assign, f"id {kind}, piece long, start long, size int, container_id long").withColumnRenamed("id", id)
 
 
 def pack_documents(documents: DataFrame, id: str, text: str, capacity: int = 2048, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:

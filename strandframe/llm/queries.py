@@ -107,13 +107,23 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return frequent.most_frequent(_grouped(spark, d), TOP, "obs_id").select(F.col("grp").alias("kmer_length"), F.col("value").alias("kmer"))
 
 
-@query()
-def p5_counts(spark: SparkSession, d: str) -> DataFrame:
-    """The same keys with exact counts and the sketch's bounds."""
+def _p5(spark: SparkSession, d: str) -> DataFrame:
     top = frequent.most_frequent(_grouped(spark, d), TOP, "obs_id")
     return top.select(F.col("grp").alias("kmer_length"), F.col("value").alias("kmer"), "n", F.col("votes").alias("at_least"), (F.col("votes") + F.col("light")).alias("at_most"))
 
 
+@query(sql=f"with {COUNTING}, n as (select kmer_length, key, count(*) n from c group by all) select kmer_length, key kmer, n, true bounded from (select *, row_number() over (partition by kmer_length order by n desc, key) r from n) where r<={TOP}")
+def p5_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The same keys with exact counts, and whether the sketch's upper bound holds."""
+    return _p5(spark, d).select("kmer_length", "kmer", "n", (F.col("n") <= F.col("at_most")).alias("bounded"))
+
+
+@query()
+def p5_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """The same keys with the sketch's bounds on their rows, repeats included."""
+    return _p5(spark, d).select("kmer_length", "kmer", "at_least", "at_most")
+
+
 P6 = f"""with {COUNTING}, n as (select length(key)::int kmer_length, key kmer, count(*) "rows", count(distinct block_id) blocks from c group by all),
 b as (select kmer_length, count(distinct block_id) all_blocks from c group by 1), s as (select kmer_length, max(minimum_coverage) least from count_settings where kmer_length is not null group by 1),
 m as (select n.*, "rows"<coalesce(least,1) rare, blocks>all_blocks*0.1 common from n left join b using (kmer_length) left join s using (kmer_length))"""
@@ -162,6 +172,19 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return placed.groupBy("container_id").agg(F.sum("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("items"))
 
 
+@query(sql="select count(*) documents, count_if(coalesce(text,'')='') empty, 0::bigint overfull, 0::bigint cut_needlessly from documents")
+def p8_rules(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the containers: every document is placed, an empty one with no tokens; no container holds more
+    than its capacity; of a document in several pieces all but the last are as large as a container."""
+    rows = packing.pack_documents(read_table(spark, d, "documents"), "doc_id", "text", CAPACITY)
+    first, full = F.col("piece") == 0, F.col("n_tokens") == CAPACITY
+    whole = rows.groupBy("doc_id").agg(F.count_if(first).alias("d"), F.count_if(first & (F.col("n_tokens") == 0)).alias("e"), (F.count(F.lit(1)) - F.count_if(full)).alias("short"))
+    marks = whole.select(F.col("d"), F.col("e"), F.lit(0).alias("o"), (F.col("short") > F.col("d")).cast("int").alias("c"))
+    sums = rows.groupBy("container_id").agg(F.sum("n_tokens").alias("s")).select(F.lit(0), F.lit(0), (F.col("s") > CAPACITY).cast("int"), F.lit(0))
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long")
+    return marks.union(sums).agg(total("d").alias("documents"), total("e").alias("empty"), total("o").alias("overfull"), total("c").alias("cut_needlessly"))
+
+
 def _given(spark: SparkSession, d: str) -> frozenset[str]:
     return frozenset(r[0] for r in read_table(spark, d, "given_names").where("given_name is not null").collect())  # a fixed table
 

@@ -281,7 +281,21 @@ def test_plan(sizes):
             min(fit, key=lambda b: b[0])[0] -= x
         else:
             bins.append([40 - x])
-    assert n <= len(bins) + 1
+    assert n <= len(bins)
+
+
+@pytest.mark.parametrize("draw", [lambda r: r.integers(1, 2049, 50000), lambda r: np.clip(r.lognormal(6.5, 1, 50000).astype(int), 1, 2048), lambda r: r.integers(500, 1100, 50000)])
+def test_fill(draw):
+    """As full as best fit decreasing, item by item."""
+    sizes = draw(np.random.default_rng(5))
+    gaps, n = np.zeros(2049, np.int64), 0
+    for x in np.sort(sizes)[::-1]:
+        fit = gaps[x:].nonzero()[0]
+        gap = int(fit[0]) + x if len(fit) else 2048
+        n += not len(fit)
+        gaps[gap] -= bool(len(fit))
+        gaps[gap - x] += 1
+    assert sum(m for _, m in packing.plan(np.bincount(sizes, minlength=2049), 2048)) <= n
 
 
 def test_pack(spark):
