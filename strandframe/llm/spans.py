@@ -4,8 +4,11 @@ Recompression: rounds that replace runs of one symbol and then pairs of symbols
 hash of what it replaces, so equal text gets equal symbols everywhere without a table of names, and all rounds of a
 record are one pass over it. Which symbols a text has is only unsure near its ends; each symbol keeps the interval
 of characters that forces it. A window's sign is its highest symbol that the window alone forces, with the
-characters that force it, so equal windows have equal signs, wherever they lie. A sign that only one record has rules
-its windows out, by a filter of bounded size; the windows that are left are compared as wholes.
+characters that force it, so equal windows have equal signs, wherever they lie.
+
+Windows that follow each other and have one sign are a run. Records are parsed once, into a table of runs. Runs whose
+sign only one record has share nothing. Of the others, equal runs are told apart once, by their text: a run that two
+records have is shared as a whole, and only what is left, the ends of shared spans, is compared window by window.
 """
 
 from __future__ import annotations
@@ -14,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandframe.session import checkpointed
+from strandframe.session import written
 
 #: Characters of a window.
 WIDTH = 40
@@ -26,8 +29,10 @@ ROUNDS = 12
 #: Characters handled at once; longer records are cut into overlapping parts, which changes no sign.
 PART = 1 << 18
 
-#: log2 of the bits of the largest filter: 16 MB.
-MOST_BITS = 27
+#: Windows of a run at most; longer ones, as in a repeated letter, are cut.
+RUN = 256
+#: Positions of a record whose spans are merged at once, before those at the borders are.
+BLOCK = 1 << 20
 
 FAR = 1 << 40
 #: Odd base of prefix hashes.
@@ -151,7 +156,7 @@ def _parts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tuple
         yield held
 
 
-def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, ...]]:
+def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Runs of windows with one sign: sign, rec, position of the first, text of all."""
     for held in _parts(batches, width):
         whole = "".join(p for _, _, p in held)
@@ -164,81 +169,76 @@ def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.nd
         new = np.ones(len(sign), bool)
         new[1:] = (sign[1:] != sign[:-1]) | (owner[1:] != owner[:-1])
         first = np.flatnonzero(new)
-        last = np.append(first[1:], len(sign)) - 1
-        use = sign[first] > 0
-        first, last = first[use], last[use]
-        rec, shift = (np.array([h[i] for h in held], np.int64)[owner[first]] for i in (0, 1))
-        yield sign[first], rec, first - begin[owner[first]] + shift, whole, first, last
-
-
-def _spots(sign: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of a sign in a filter of `size` bits, a power of two."""
-    return (sign & np.uint64(size - 1)).astype(np.int64), (sign >> np.uint64(32) & np.uint64(size - 1)).astype(np.int64)
-
-
-def sign_filter(shared: DataFrame) -> np.ndarray:
-    """A Bloom filter of column sign, as an array of bytes: 16 bits a sign, within MOST_BITS whatever their number.
-    It only lets windows pass that are compared afterwards, so a full one costs time and changes no result."""
-    size = 1 << min(MOST_BITS, max(16, (16 * shared.count()).bit_length()))
-
-    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            bits = np.unique(np.concatenate(_spots(b.column("sign").to_numpy().view(np.uint64), size)))
-            yield pa.RecordBatch.from_arrays([pa.array(bits >> 3), pa.array(np.int64(1) << (bits & 7))], ["at", "bits"])
-
-    table = shared.mapInArrow(spots, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(size >> 3, np.uint8)
-    out[table.column("at").to_numpy()] = table.column("bits").to_numpy().astype(np.uint8)
-    return out
+        size = np.diff(np.append(first, len(sign)))
+        first, size = first[sign[first] > 0], size[sign[first] > 0]
+        cuts = (size - 1) // RUN + 1
+        nth = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        size = np.minimum(np.repeat(size, cuts) - nth * RUN, RUN)
+        first = np.repeat(first, cuts) + nth * RUN
+        of = owner[first]
+        rec, shift = (np.array([h[i] for h in held], np.int64)[of] for i in (0, 1))
+        texts = [whole[a:b] for a, b in zip(first.tolist(), (first + size + width - 1).tolist(), strict=True)]
+        columns = (sign[first].view(np.int64), rec, first - begin[of] + shift, pa.array(texts, pa.string()))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sign", "rec", "pos", "text"])
+
+
+def _in_two(df: DataFrame, *key: str, low: str = "rec", high: str = "rec") -> DataFrame:
+    """Keys that two different records have; map tasks send one row a key."""
+    return df.groupBy(*key).agg(F.min(low).alias("a"), F.max(high).alias("b")).where("a < b").select(*key)
 
 
-def shared_windows(records: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(rec, pos) of all windows of `width` characters that another record has too. records has rec (long) and
-    text; nulls and texts under the width have none, texts of the same rec are one record.
+def shared_stretches(records: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(rec, first, last): stretches of positions at which windows of `width` characters start that another record has
+    too; they may touch or overlap. records has rec (long) and text; nulls and texts under the width have none, texts
+    of the same rec are one record.
 
-    Windows whose sign passes the filter are compared by two 64-bit hashes of their text. Both sides of the last
-    join are plain exchanges of written rows, so that adaptive execution can split a window that a third of all
-    records has.
+    Texts of runs with the same sign and windows are compared by 64 and 128 bits of hash. Joins are on written rows
+    and plain keys, so that adaptive execution can split a run or window that a third of all records has.
     """
     rows = records.where(F.col("rec").isNotNull() & (F.length("text") >= width)).select("rec", "text").distinct()
+    runs = written(rows.mapInArrow(lambda b: _runs(b, width), "sign long, rec long, pos long, text string"))
+    signs_ = written(_in_two(runs.select("sign", "rec"), "sign"))
+    last = F.length("text") - width
+    likely = written(runs.join(signs_, "sign", "left_semi").select("sign", F.xxhash64("text").alias("id"), "rec", "pos", "text"))
+    texts = written(likely.groupBy("sign", "id").agg(F.min("rec").alias("a"), F.max("rec").alias("b"), F.first("text").alias("text")))
+    own = F.col("a") == F.col("b")  # in one record only
+    whole = texts.where(~own).select("sign", "id", F.array(F.struct(F.lit(0).alias("i"), last.alias("j"))).alias("at"))
+
+    near = texts.join(texts.where(own).select("sign").distinct(), "sign", "left_semi")
+    window = F.col("text").substr(F.col("i") + 1, F.lit(width))
+    windows = near.select("sign", "id", "a", "b", "text", F.explode(F.sequence(F.lit(0), last)).alias("i")).select(
+        "sign", "id", "a", "b", "i", F.xxhash64(window).alias("h"), F.xxhash64(F.lit(1), window).alias("g")
+    )
+    common = _in_two(windows, "h", "g", low="a", high="b")
+    hits = windows.where(own).join(common, ["h", "g"], "left_semi").groupBy("sign", "id").agg(F.collect_set("i").alias("w"))  # RUN at most
+    some = hits.select("sign", "id", F.arrays_zip(_ends("w", -1).alias("i"), _ends("w", 1).alias("j")).alias("at"))
+    places = likely.select("sign", "id", "rec", "pos").join(whole.unionByName(some), ["sign", "id"])
+    return places.select("rec", "pos", F.explode("at").alias("s")).select("rec", (F.col("pos") + F.col("s.i")).alias("first"), (F.col("pos") + F.col("s.j")).alias("last"))
 
-    def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sign, rec, *_ in _runs(batches, width):
-            yield pa.RecordBatch.from_arrays([pa.array(sign.view(np.int64)), pa.array(rec)], ["sign", "rec"])
-
-    signs_ = checkpointed(_in_two(rows.mapInArrow(first_pass, "sign long, rec long"), "sign"))
-    allowed = rows.sparkSession.sparkContext.broadcast(sign_filter(signs_))
-
-    def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = allowed.value
-        for sign, rec, pos, whole, first, last in _runs(batches, width):
-            keep = np.ones(len(sign), bool)
-            for at in _spots(sign, len(table) << 3):
-                keep &= (table[at >> 3] >> (at & 7) & 1).astype(bool)
-            slices = [whole[a : b + width] for a, b in zip(first[keep].tolist(), last[keep].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(rec[keep]), pa.array(pos[keep]), pa.array(slices, pa.string())], ["rec", "pos", "text"])
 
-    likely = rows.mapInArrow(second_pass, "rec long, pos long, text string")
-    windows = likely.select("rec", "pos", "text", F.explode(F.sequence(F.lit(0), F.length("text") - width)).alias("i"))
-    window = F.col("text").substr(F.col("i") + 1, F.lit(width))
-    windows = checkpointed(windows.select("rec", (F.col("pos") + F.col("i")).alias("pos"), F.xxhash64(window).alias("h"), F.xxhash64(F.lit(1), window).alias("g")))
-    common = checkpointed(_in_two(windows, "h", "g"))
-    return windows.join(common, ["h", "g"], "left_semi").select("rec", "pos")
+def _ends(numbers: str, step: int) -> Column:
+    """The numbers of a set whose neighbour on one side isn't in it, in order."""
+    return F.array_sort(F.filter(numbers, lambda x: ~F.array_contains(F.col(numbers), x + step)))
 
 
-def _in_two(df: DataFrame, *key: str) -> DataFrame:
-    """Keys that two different records have; map tasks send one row a key."""
-    return df.groupBy(*key).agg(F.min("rec").alias("a"), F.max("rec").alias("b")).where("a < b").select(*key)
+def _merge(spots: DataFrame, group: Column, width: int) -> DataFrame:
+    """Stretches of a group united where their windows touch."""
+    own = Window.partitionBy("rec", "group").orderBy("first")
+    so_far = own.rowsBetween(Window.unboundedPreceding, -1)
+    new = F.coalesce(F.col("first") > F.max("last").over(so_far) + width, F.lit(True)).cast("int")
+    runs = spots.select("rec", "first", "last", group.alias("group")).withColumn("new", new).withColumn("no", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("rec", "group", "no").agg(F.min("first").alias("first"), F.max("last").alias("last")).select("rec", "group", "first", "last")
 
 
 def shared_spans(records: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(rec, span_start, span_length): the longest stretches of positions, from 0, that lie in shared windows."""
-    own = Window.partitionBy("rec").orderBy("pos")
-    spots = shared_windows(records, width)
-    new = F.coalesce(F.col("pos") > F.lag("pos").over(own) + width, F.lit(True)).cast("int")
-    runs = spots.withColumn("new", new).withColumn("no", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy("rec", "no").agg(F.min("pos").alias("a"), (F.max("pos") + width).alias("b"))
-    return spans.select("rec", F.col("a").cast("int").alias("span_start"), (F.col("b") - F.col("a")).cast("int").alias("span_length"))
+    """(rec, span_start, span_length): the longest stretches of positions, from 0, that lie in shared windows. Merged
+    by blocks of a record first; only what reaches a border of a block meets its neighbours."""
+    inside = _merge(shared_stretches(records, width), F.floor(F.col("first") / BLOCK), width)
+    begin = F.col("group") * BLOCK
+    border = (F.col("first") <= begin + RUN + width) | (F.col("last") + width >= begin + BLOCK)
+    spans = _merge(inside, F.when(border, F.lit(-1).cast("long")).otherwise(F.col("group")), width)
+    size = F.col("last") + width - F.col("first")
+    return spans.select("rec", F.col("first").cast("int").alias("span_start"), size.cast("int").alias("span_length"))
 
 
 def shared_share(records: DataFrame, width: int = WIDTH) -> DataFrame:

@@ -116,15 +116,18 @@ def test_spans(spark):
     assert share[905]["n_chars"] == 0 and share[906]["share"] == 0.0 and share[901]["share"] == 1.0
 
 
-@pytest.mark.parametrize("bits", [3, 27])
-def test_long_records_and_full_filter(monkeypatch, spark, bits):
-    monkeypatch.setattr(spans, "MOST_BITS", bits)
+@pytest.mark.parametrize("block", [64, 1000, 1 << 20])
+def test_long_records(monkeypatch, spark, block):
+    monkeypatch.setattr(spans, "BLOCK", block)
     rng = random.Random(8)
     text = "".join(rng.choice("ACGT") for _ in range(spans.PART + 5000))
     at = spans.PART - 700
     df = spark.createDataFrame([(1, text), (2, "C" + text[at : at + 2900]), (3, text[:39])], "rec long, text string")
     first = at if text[at - 1] != "C" else at - 1
     assert {tuple(r) for r in spans.shared_spans(df).collect()} == {(1, first, 2900 + at - first), (2, 1 - (at - first), 2900 + at - first)}
+    same = [(1, "A" * 3000), (2, "C" * 50 + "A" * 700 + "G"), (3, "AT" * 400)]
+    df = spark.createDataFrame(same, "rec long, text string")
+    assert {tuple(r) for r in spans.shared_spans(df).collect()} == plain_spans(same, 40)
 
 
 # ---- distinct ----
