@@ -1,12 +1,13 @@
 """Personal data in free text: where it is, and the text with typed placeholders.
 
 Information-theoretic sanitisation. Forms give candidates: anything that may be a mailbox, a telephone number, an
-identity number, an address or a person's name. What a candidate reveals is estimated from the corpus: for the words
-beside it, for its own words and for its shape, the number of different candidates that they occur with, and how many
-of these are protected entities by form alone (a listed given name with a family name, a number under an
-unmistakable format). The pointwise mutual information of a term and a protected entity, in bits, is what the term
-discloses; a candidate whose terms together pass the threshold of its kind is replaced. All counts are over
-different candidates, so copies of a document add nothing, and a candidate never counts as evidence for itself.
+identity number, an address or a person's name. What a candidate reveals is estimated from the corpus, for every kind
+alike: for its form, for the words beside it and for its own words, the number of different candidates that they occur
+with, and how many of these are protected entities. The pointwise mutual information of a term and a protected entity,
+in bits, is what the term discloses; a candidate whose terms together pass the threshold of its kind is generalised to
+its kind. Anchors of the estimate are an unmistakable format or a label beside a number, and a listed given name;
+the form of an anchor is a term like any other, which what stands beside it may outweigh. All counts are over different
+candidates, so copies of a document add nothing, and a candidate never counts as evidence for itself.
 """
 
 from __future__ import annotations
@@ -19,13 +20,17 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.session import checkpointed
+from strandframe.session import written
 
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 #: Different candidates that a term needs, besides the one it is evidence for, to say anything.
 SUPPORT = 3
 #: Share of capitalised runs and of numbers that would be protected if nothing were known about them.
 PRIOR = 1 / 32
+#: The same for candidates of an unmistakable form, before any of that form were counted.
+FORM_PRIOR = 1 / 2
+#: Capitalised words of one name at most; longer runs are cut and their parts judged.
+LONGEST = 8
 #: Bits that a name needs in all, the bits that its family name or what follows it must give, and the bits that any
 #: other candidate needs, of which a name without letter case is one.
 NAME_BITS, NAME_KEY_BITS, OTHER_BITS = 6.0, 2.0, 4.0
@@ -114,6 +119,8 @@ NAME = regex.compile(
     )(?![\p{{L}}\p{{N}}_(@/]|\.[\p{{L}}\p{{N}}]|-[\p{{L}}])""",
     regex.X,
 )
+WORDS = regex.compile(r"[^ \u00a0]+")
+PARTICLE = regex.compile(PARTICLES)
 HAN = regex.compile(rf"(?:(?<![\p{{Han}}\p{{Hiragana}}\p{{Katakana}}\p{{L}}])|{ESCAPE})\p{{Han}}{{1,4}}[ \u3000・]\p{{Han}}{{1,4}}(?![\p{{Han}}\p{{Hiragana}}\p{{Katakana}}\p{{L}}])")
 CUT = regex.compile(r"[\p{L}\p{M}]+|\d+|[^\s\p{L}\p{M}\d]")
 
@@ -142,6 +149,41 @@ def _mail(line: str) -> Iterator[tuple[int, int]]:
         yield m.start(), m.end()
 
 
+def _names(m: regex.Match, given: frozenset[str]) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, first name, family name) of what may be names in a run of capitalised words: what is left when an
+    article at its beginning and words that name a number are cut off. A run of more than LONGEST words is cut before
+    its listed given names, and what is still longer after every LONGEST words."""
+    words = [(m.start() + x.start(), m.start() + x.end(), x[0].rstrip(",")) for x in WORDS.finditer(m[0])]
+    if m["turned"] is not None:
+        plain = [w for *_, w in words]
+        if not any(w in ORGANISATIONS or _label(w) for w in plain):
+            yield m.start(), m.end(), plain[1], plain[0]
+        return
+    if words[0][2] == "The":
+        del words[0]
+    parts: list[list[tuple[int, int, str]]] = [[]]
+    long = sum(w[0].isupper() for *_, w in words) > LONGEST
+    for x in words:
+        listed, last = x[2].capitalize() in given, parts[-1][-1][2] if parts[-1] else ""
+        if _label(x[2]):
+            parts.append([])
+            continue
+        if long and parts[-1] and (listed and last.capitalize() not in given or sum(w[0].isupper() for *_, w in parts[-1]) >= LONGEST):
+            parts.append([])
+        parts[-1].append(x)
+    for part in parts:
+        while part and PARTICLE.fullmatch(part[-1][2]):
+            part.pop()
+        while part and PARTICLE.fullmatch(part[0][2]):
+            del part[0]
+        if len(part) > 1 and not any(w in ORGANISATIONS for *_, w in part):
+            yield part[0][0], part[-1][1], part[0][2], part[-1][2]
+
+
+def _label(word: str) -> bool:
+    return len(word) > 2 and word.lower() in LABELS
+
+
 def candidates(line: str, given: frozenset[str]) -> list[tuple[int, int, str, bool, list[str]]]:
     """(start, end, kind, protected by form, terms) of one line; candidates don't overlap."""
     out: list[tuple[int, int, str, bool, list[str]]] = []
@@ -157,31 +199,26 @@ def candidates(line: str, given: frozenset[str]) -> list[tuple[int, int, str, bo
 
     if any(x in line for x in ("@", "%40", "＠", "&")) or ("at" in line or "AT" in line or "At" in line) and WORD_AT.search(line):
         for a, b in _mail(line):
-            put(a, b, "email", True)
+            put(a, b, "email", True, "F sign" if "@" in line[a:b] else "F written")
     digit = DIGIT.search(line)
     if digit and ADDRESS_HINT.search(line):
         for m in ADDRESS.finditer(line):
-            put(m.start(), m.end(), "address", True)
+            put(m.start(), m.end(), "address", True, "F street" if m["en"] else "F other")
     if digit and SIX_DIGITS.search(line):
         for m in IDS.finditer(line):
             form = next(k for k in ("ssn", "nino", "tax", "dni", "pass", "nine", "eleven") if m[k])
             near = [_plain(x) for x in CUT.findall(line[max(0, m.start() - 30) : m.start()])[-6:] + CUT.findall(line[m.end() : m.end() + 30])[:4]]
-            sure = form in ("nino", "tax", "dni") or form == "ssn" and m["s"] in "-\u2010\u2011" or not LABELS.isdisjoint(near)
-            put(m.start(), m.end(), "id_number", sure)
+            own, labelled = form in ("nino", "tax", "dni") or form == "ssn" and m["s"] in "-\u2010\u2011", not LABELS.isdisjoint(near)
+            put(m.start(), m.end(), "id_number", own or labelled, *([f"F {form} {labelled}"] if own or labelled else []))
         for m in PHONE.finditer(line):
             n = sum(c.isdigit() for c in m[0])
             if 9 <= n <= 15:
-                put(m.start(), m.end(), "phone", not m[0].isdigit())
+                sure = not m[0].isdigit()
+                put(m.start(), m.end(), "phone", sure, *(["F " + regex.sub(r"[^+(0-9]", "-", m[0])[:2].rstrip("123456789")] if sure else []))
     for m in NAME.finditer(line) if not line.islower() else ():
-        text, turned = m[0], m["turned"] is not None
-        words = regex.split(r"[ \u00a0]+", text.replace(",", ""))
-        if turned and regex.match(r"\.", line[m.end() :]) and False:
-            continue
-        first, family = (words[1], words[0]) if turned else (words[0], words[-1])
-        if words[0] == "The" or len(words) > 5 or any(w in ORGANISATIONS or len(w) > 2 and w.lower() in LABELS for w in words):
-            continue
-        sure = first.capitalize() in given
-        put(m.start(), m.end(), "name", sure, *(["G " + first.capitalize()] if sure else []), "S " + family.capitalize())
+        for start, end, first, family in _names(m, given):
+            sure = first.capitalize() in given
+            put(start, end, "name", sure, *(["G " + first.capitalize()] if sure else []), "S " + family.capitalize())
     for m in HAN.finditer(line) if not line.isascii() else ():
         put(m.start(), m.end(), "name", False)
     return sorted(out)
@@ -222,6 +259,10 @@ def occurrences(documents: DataFrame, id: str, text: str, given: frozenset[str])
     return rows.mapInArrow(find, f"id {kind}, version long, start int, size int, kind string, sure boolean, text string, terms array<string>")
 
 
+def _all_salts() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+
+
 def disclosure(found: DataFrame) -> DataFrame:
     """(kind, term, n, p): for each term the different candidates that it occurs with, and how many of them are
     protected by form. Both aggregations combine before they shuffle."""
@@ -230,38 +271,43 @@ def disclosure(found: DataFrame) -> DataFrame:
     return pairs.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("n"), F.count_if("sure").alias("p"))
 
 
-def bits(n: Column, p: Column) -> Column:
-    """Pointwise mutual information, with SUPPORT candidates at the prior added; null for too few candidates."""
-    k = float(SUPPORT + 1)
-    return F.when(n >= SUPPORT, F.log2((p + k * PRIOR) / (n + k) / PRIOR))
+def bits(n: Column, p: Column, role: Column) -> Column:
+    """Pointwise mutual information, with SUPPORT candidates at the prior added, FORM_PRIOR for a form; null for too few
+    candidates, which for a form none are."""
+    k, form = float(SUPPORT + 1), role == "F"
+    before = F.when(form, F.lit(FORM_PRIOR)).otherwise(F.lit(PRIOR))
+    return F.when(form | (n >= SUPPORT), F.log2((p + before * k) / (n + k) / PRIOR))
 
 
-def protected(found: DataFrame) -> DataFrame:
-    """The candidates that are personal data: those that are so by form, names excepted, and those whose terms
-    disclose enough. Evidence is weighed once for each different candidate with its terms, not for each copy."""
-    sign = F.xxhash64("kind", "text", F.array_join("terms", "\x01"))
-    found = checkpointed(found.withColumn("sign", sign))
-    open_ = (F.col("kind") == "name") | ~F.col("sure")
-    asked = found.where(open_).groupBy("sign").agg(*[F.first(c).alias(c) for c in ("kind", "text", "sure", "terms")])
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    known = disclosure(found).withColumn("salt", salts)
+def weighed(found: DataFrame) -> DataFrame:
+    """(sign, kind, sure, left, right, given, family, form, cased, exact): the bits of each different candidate with its
+    terms, by role; copies are weighed once."""
+    asked = found.groupBy("sign").agg(*[F.first(c).alias(c) for c in ("kind", "text", "sure", "terms")])
+    known = disclosure(found).withColumn("salt", _all_salts())
     terms = asked.select("sign", "kind", "sure", F.explode("terms").alias("term"), F.pmod("sign", F.lit(SALTS)).cast("int").alias("salt"))
-    own = F.col("sure").cast("int")  # a candidate isn't evidence for itself
-    said = terms.join(known, ["kind", "term", "salt"]).select("sign", "kind", F.split("term", " ")[0].alias("role"), bits(F.col("n") - 1, F.col("p") - own).alias("b"))
+    own, role = F.col("sure").cast("int"), F.split("term", " ")[0]  # a candidate isn't evidence for itself
+    said = terms.join(known, ["kind", "term", "salt"]).select("sign", "kind", "sure", role.alias("role"), bits(F.col("n") - 1, F.col("p") - own, role).alias("b"))
     part = lambda r: F.max(F.when(F.col("role") == r, F.col("b")))
     near = lambda side: F.coalesce(part(side + "2"), part(side + "1"), F.lit(0.0))
     zero = lambda r: F.coalesce(part(r), F.lit(0.0))
-    sums = said.groupBy("sign", "kind").agg(
-        near("L").alias("left"), near("R").alias("right"), zero("G").alias("given"), zero("S").alias("family"), F.max((F.col("role") == "S").cast("int")).alias("cased"),
+    return said.groupBy("sign", "kind", "sure").agg(
+        near("L").alias("left"), near("R").alias("right"), zero("G").alias("given"), zero("S").alias("family"), zero("F").alias("form"),
+        F.max((F.col("role") == "S").cast("int")).alias("cased"),
         (zero("L2") + zero("R2") + zero("W")).alias("exact"),  # a bare number has nothing of its own: two words must agree
     )
-    is_name = (F.col("left") + F.col("right") + F.col("given") + F.col("family") >= NAME_BITS) & (F.greatest("right", "family") >= NAME_KEY_BITS)
-    uncased = F.col("left") + F.col("right") >= OTHER_BITS
-    passed = F.when(F.col("kind") != "name", F.col("exact") >= OTHER_BITS).when(F.col("cased") == 1, is_name).otherwise(uncased)
+
+
+def protected(found: DataFrame) -> DataFrame:
+    """The candidates that are personal data: those whose terms disclose enough."""
+    found = written(found.withColumn("sign", F.xxhash64("kind", "text", F.array_join("terms", "\x01"))))
+    beside = F.col("left") + F.col("right")
+    is_name = (beside + F.col("given") + F.col("family") >= NAME_BITS) & (F.greatest("right", "family") >= NAME_KEY_BITS)
+    passed = F.when(F.col("kind") == "name", F.when(F.col("cased") == 1, is_name).otherwise(beside >= OTHER_BITS))
+    passed = passed.when(F.col("sure"), F.col("form") + beside >= OTHER_BITS).otherwise(F.col("exact") >= OTHER_BITS)
     # what follows is a join on a sign that a third of all rows may have, so both sides are spread
-    good = sums.where(passed).select("sign", salts.alias("salt"))
-    weighed = found.where(open_).withColumn("salt", F.pmod(F.hash("id", "start"), F.lit(SALTS)).cast("int")).join(good, ["sign", "salt"], "left_semi")
-    return found.where(~open_).unionByName(weighed.select(*found.columns)).select("id", "version", "start", "size", "kind")
+    good = weighed(found).where(passed).select("sign", _all_salts().alias("salt"))
+    kept = found.withColumn("salt", F.pmod(F.hash("id", "start"), F.lit(SALTS)).cast("int")).join(good, ["sign", "salt"], "left_semi")
+    return kept.select("id", "version", "start", "size", "kind")
 
 
 def find_personal(documents: DataFrame, id: str, text: str, given: frozenset[str]) -> DataFrame:
