@@ -14,6 +14,7 @@ records have is shared as a whole, and only what is left, the ends of shared spa
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +30,14 @@ ROUNDS = 12
 #: Characters handled at once; longer records are cut into overlapping parts, which changes no sign.
 PART = 1 << 18
 
+#: Shared signs that a filter is made of at most, 16 MB for the driver and a filter of 4 MB.
+FILTERED = 1 << 21
 #: Windows of a run at most; longer ones, as in a repeated letter, are cut.
 RUN = 256
 #: Positions of a record whose spans are merged at once, before those at the borders are.
 BLOCK = 1 << 20
 
-FAR = 1 << 40
+FAR = 1 << 30
 #: Odd base of prefix hashes.
 BASE = np.uint64(0xD6E8FEB86659FD93)
 
@@ -60,8 +63,7 @@ class _Symbols:
         """low and high of the symbol before and after each; out of reach where there is none."""
         n = len(self.name)
         joined = self.owner[1:] == self.owner[:-1]
-        before_low, before_high = np.full(n, -FAR), np.full(n, FAR)
-        after_low, after_high = np.full(n, -FAR), np.full(n, FAR)
+        before_low, before_high, after_low, after_high = (np.full(n, far, np.int32) for far in (-FAR, FAR) * 2)
         before_low[1:][joined], before_high[1:][joined] = self.low[:-1][joined], self.high[:-1][joined]
         after_low[:-1][joined], after_high[:-1][joined] = self.low[1:][joined], self.high[1:][joined]
         return before_low, before_high, after_low, after_high
@@ -95,15 +97,22 @@ class _Symbols:
         return _Symbols(name[keep], self.owner[keep], low[keep], high[keep])
 
 
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse."""
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.full(n, BASE)), np.cumprod(np.full(n, np.uint64(pow(int(BASE), -1, 1 << 64))))
+
+
 def signs(codes: np.ndarray, owner: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int) -> np.ndarray:
     """The sign of the window at each character, 0 where no window starts. codes are all texts one after another,
     owner the text of each character, begin and end the bounds of each text."""
     n = len(codes)
-    at = np.arange(n)
+    at = np.arange(n, dtype=np.int32)
     letters = _mix(codes.astype(np.uint64), 7)
+    powers, back = _powers(1 << n.bit_length())
     with np.errstate(over="ignore"):
-        sums = np.r_[np.zeros(1, np.uint64), np.cumsum(letters * np.cumprod(np.full(n, BASE)), dtype=np.uint64)]
-        back = np.cumprod(np.full(n + 1, np.uint64(pow(int(BASE), -1, 1 << 64))))
+        sums = np.r_[np.zeros(1, np.uint64), np.cumsum(letters * powers[:n], dtype=np.uint64)]
     open_ = at + width <= end[owner]
     out = np.zeros(n, np.uint64)
     rounds = [_Symbols(letters, owner, at, at + 1)]
@@ -122,7 +131,8 @@ def signs(codes: np.ndarray, owner: np.ndarray, begin: np.ndarray, end: np.ndarr
         name, low, high = s.name[fits], s.low[fits], s.high[fits]
         text = s.owner[fits]
         first, last = np.maximum(high - width, begin[text]), np.minimum(low, end[text] - width)
-        left = np.r_[0, np.cumsum(open_)]
+        left = np.zeros(n + 1, np.int32)
+        np.cumsum(open_, out=left[1:])
         use = last >= first
         use[use] = left[last[use] + 1] > left[first[use]]
         name, first, last, low, high = (x[use] for x in (name, first, last, low, high))
@@ -160,11 +170,11 @@ def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
     """Runs of windows with one sign: sign, rec, position of the first, text of all."""
     for held in _parts(batches, width):
         whole = "".join(p for _, _, p in held)
-        sizes = np.array([len(p) for _, _, p in held])
+        sizes = np.array([len(p) for _, _, p in held], np.int32)
         codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
-        end = np.cumsum(sizes)
+        end = np.cumsum(sizes, dtype=np.int32)
         begin = end - sizes
-        owner = np.repeat(np.arange(len(held)), sizes)
+        owner = np.repeat(np.arange(len(held), dtype=np.int32), sizes)
         sign = signs(codes, owner, begin, end, width)
         new = np.ones(len(sign), bool)
         new[1:] = (sign[1:] != sign[:-1]) | (owner[1:] != owner[:-1])
@@ -178,7 +188,7 @@ def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
         of = owner[first]
         rec, shift = (np.array([h[i] for h in held], np.int64)[of] for i in (0, 1))
         texts = [whole[a:b] for a, b in zip(first.tolist(), (first + size + width - 1).tolist(), strict=True)]
-        columns = (sign[first].view(np.int64), rec, first - begin[of] + shift, pa.array(texts, pa.string()))
+        columns = (sign[first].view(np.int64), rec, (first - begin[of]).astype(np.int64) + shift, pa.array(texts, pa.string()))
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sign", "rec", "pos", "text"])
 
 
@@ -187,6 +197,35 @@ def _in_two(df: DataFrame, *key: str, low: str = "rec", high: str = "rec") -> Da
     return df.groupBy(*key).agg(F.min(low).alias("a"), F.max(high).alias("b")).where("a < b").select(*key)
 
 
+def _spots(sign: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a sign in a filter of `size` bits, a power of two."""
+    sign = sign.view(np.uint64)
+    return (sign & np.uint64(size - 1)).astype(np.int64), (sign >> np.uint64(32) & np.uint64(size - 1)).astype(np.int64)
+
+
+def _with_signs(runs: DataFrame, signs_: DataFrame) -> DataFrame:
+    """Runs whose sign is in signs_, by an exchange of both. As long as signs_ has FILTERED rows at most, a Bloom filter
+    of 16 bits a sign first takes away most other runs where they are read; beyond that the exchange does it all."""
+    n = signs_.count()
+    if n <= FILTERED:
+        size = 1 << max(16, (16 * n).bit_length())
+        filter_ = np.zeros(size >> 3, np.uint8)
+        for at in _spots(signs_.toArrow().column("sign").to_numpy(), size):
+            np.bitwise_or.at(filter_, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        sent = runs.sparkSession.sparkContext.broadcast(filter_)
+
+        def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = sent.value
+            for b in batches:
+                keep = np.ones(b.num_rows, bool)
+                for at in _spots(b.column("sign").to_numpy(), size):
+                    keep &= (table[at >> 3] >> (at & 7) & 1).astype(bool)
+                yield b.filter(pa.array(keep))
+
+        runs = runs.mapInArrow(likely, runs.schema)
+    return runs.join(signs_, "sign", "left_semi")
+
+
 def shared_stretches(records: DataFrame, width: int = WIDTH) -> DataFrame:
     """(rec, first, last): stretches of positions at which windows of `width` characters start that another record has
     too; they may touch or overlap. records has rec (long) and text; nulls and texts under the width have none, texts
@@ -199,7 +238,7 @@ def shared_stretches(records: DataFrame, width: int = WIDTH) -> DataFrame:
     runs = written(rows.mapInArrow(lambda b: _runs(b, width), "sign long, rec long, pos long, text string"))
     signs_ = written(_in_two(runs.select("sign", "rec"), "sign"))
     last = F.length("text") - width
-    likely = written(runs.join(signs_, "sign", "left_semi").select("sign", F.xxhash64("text").alias("id"), "rec", "pos", "text"))
+    likely = written(_with_signs(runs, signs_).select("sign", F.xxhash64("text").alias("id"), "rec", "pos", "text"))
     texts = written(likely.groupBy("sign", "id").agg(F.min("rec").alias("a"), F.max("rec").alias("b"), F.first("text").alias("text")))
     own = F.col("a") == F.col("b")  # in one record only
     whole = texts.where(~own).select("sign", "id", F.array(F.struct(F.lit(0).alias("i"), last.alias("j"))).alias("at"))
