@@ -55,7 +55,35 @@ def plain_pieces(data: bytes, fastq: bool, limit: int, overlap: int):
 @given(st.text(alphabet=">@A\n\r+", max_size=120), st.booleans(), st.integers(1, 30), st.integers(0, 5))
 def test_pieces(text, fastq, limit, overlap):
     data = text.encode()
-    assert splitting.pieces(data, fastq, limit, overlap) == plain_pieces(data, fastq, limit, overlap)
+    assert splitting.pieces(data, "fastq" if fastq else "fasta", limit, overlap) == plain_pieces(data, fastq, limit, overlap)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="# \n-ab<>/éx1.", max_size=150), st.sampled_from(sorted(splitting.TREES)), st.integers(4, 40), st.integers(0, 3), st.booleans())
+def test_pieces_of_any_tree(text, kind, limit, overlap, across):
+    """Pieces are within the limit, cover the item in order, and never cut a character."""
+    data, at = text.encode(), 0
+    got = splitting.pieces(data, kind, limit, overlap, across)
+    assert bool(got) == (len(data) > limit)
+    for a, b in got:
+        assert a <= at < b <= a + limit
+        data[a:b].decode()
+        at = b
+    assert not got or at == len(data)
+
+
+def cut(text, kind, limit, across=True):
+    data = text.encode()
+    return [data[a:b].decode(errors="replace") for a, b in splitting.pieces(data, kind, limit, 0, across)]
+
+
+def test_trees():
+    text = "# A\nx\n\ny\n# B\n## C\n- one\n- two\n  - 2b\n- three\n## D\nz\n# E\ne\n"
+    assert cut(text, "text", 34) == ["# A\nx\n\ny\n# B\n", "## C\n- one\n- two\n  - 2b\n- three\n", "## D\nz\n# E\ne\n"]
+    assert cut(text, "text", 34, across=False) == ["# A\nx\n\ny\n", "# B\n", "## C\n- one\n- two\n  - 2b\n- three\n", "## D\nz\n", "# E\ne\n"]
+    page = "<div><p>one</p><p>two<br>three</p><ul><li>a</li><li>b</li></ul></div><p>end</p>"
+    assert cut(page, "markup", 40) == ["<div><p>one</p><p>two<br>three</p>", "<ul><li>a</li><li>b</li></ul></div>", "<p>end</p>"]
+    assert cut("é" * 10, "text", 7) == ["ééé"] * 3 + ["é"] and cut("日本", "text", 2) != []
 
 
 def test_split_edges(spark):
@@ -116,9 +144,10 @@ def test_spans(spark):
     assert share[905]["n_chars"] == 0 and share[906]["share"] == 0.0 and share[901]["share"] == 1.0
 
 
-@pytest.mark.parametrize("block", [64, 1000, 1 << 20])
-def test_long_records(monkeypatch, spark, block):
+@pytest.mark.parametrize(("block", "filtered"), [(64, 0), (1000, 1 << 20), (1 << 20, 1 << 20)])
+def test_long_records(monkeypatch, spark, block, filtered):
     monkeypatch.setattr(spans, "BLOCK", block)
+    monkeypatch.setattr(spans, "FILTERED", filtered)
     rng = random.Random(8)
     text = "".join(rng.choice("ACGT") for _ in range(spans.PART + 5000))
     at = spans.PART - 700
