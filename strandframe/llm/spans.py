@@ -228,13 +228,13 @@ def _with_signs(runs: DataFrame, signs_: DataFrame) -> DataFrame:
 
 def shared_stretches(records: DataFrame, width: int = WIDTH) -> DataFrame:
     """(rec, first, last): stretches of positions at which windows of `width` characters start that another record has
-    too; they may touch or overlap. records has rec (long) and text; nulls and texts under the width have none, texts
-    of the same rec are one record.
+    too; they may touch or overlap, each is there once. records has rec (long) and text; nulls and texts under the
+    width have none, texts of the same rec are one record and repeated rows change nothing.
 
     Texts of runs with the same sign and windows are compared by 64 and 128 bits of hash. Joins are on written rows
     and plain keys, so that adaptive execution can split a run or window that a third of all records has.
     """
-    rows = records.where(F.col("rec").isNotNull() & (F.length("text") >= width)).select("rec", "text").distinct()
+    rows = records.where(F.col("rec").isNotNull() & (F.length("text") >= width)).select("rec", "text")
     runs = written(rows.mapInArrow(lambda b: _runs(b, width), "sign long, rec long, pos long, text string"))
     signs_ = written(_in_two(runs.select("sign", "rec"), "sign"))
     last = F.length("text") - width
@@ -252,7 +252,8 @@ def shared_stretches(records: DataFrame, width: int = WIDTH) -> DataFrame:
     hits = windows.where(own).join(common, ["h", "g"], "left_semi").groupBy("sign", "id").agg(F.collect_set("i").alias("w"))  # RUN at most
     some = hits.select("sign", "id", F.arrays_zip(_ends("w", -1).alias("i"), _ends("w", 1).alias("j")).alias("at"))
     places = likely.select("sign", "id", "rec", "pos").join(whole.unionByName(some), ["sign", "id"])
-    return places.select("rec", "pos", F.explode("at").alias("s")).select("rec", (F.col("pos") + F.col("s.i")).alias("first"), (F.col("pos") + F.col("s.j")).alias("last"))
+    found = places.select("rec", "pos", F.explode("at").alias("s")).select("rec", (F.col("pos") + F.col("s.i")).alias("first"), (F.col("pos") + F.col("s.j")).alias("last"))
+    return found.distinct()
 
 
 def _ends(numbers: str, step: int) -> Column:
