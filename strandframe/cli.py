@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from strandframe.functions import dna
 from strandframe.operators import graph, kmers, unitigs
-from strandframe.session import build_session, checkpointed
+from strandframe.session import build_session, written
 from strandframe.sources import sinks
 from strandframe.sources.sequences import read_sequences
 
@@ -35,11 +35,10 @@ def assemble(spark: SparkSession, files: list[str], k: int, output: str, minimum
     """Coverage distribution, graph summary and contigs; an existing folder is an error."""
     if Path(output).exists():
         raise FileExistsError(output)
-    vertices = checkpointed(graph.vertices(load(spark, files), k, home=True))
+    vertices = written(graph.word_vertices(load(spark, files), k, home=True))
     sinks.write_coverage_distribution(kmers.histogram(vertices), output)
     sinks.write_summary(graph.summary(vertices), graph.degree_matrix(vertices), k, output)
-    mutual = checkpointed(unitigs.mutual(unitigs.flow_split(vertices, minimum_coverage)))
-    contigs = unitigs.unitig_paths(mutual, k).where(F.length("seq") >= CONTIG)
+    contigs = unitigs.assemble_vertices(vertices, k, minimum_coverage, CONTIG)
     sinks.write_unitigs(contigs, k, f"{output}/unitigs.fasta")
 
 

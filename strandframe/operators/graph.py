@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.functions import dna
+from strandframe.functions import dna, words
 
 #: Coverage saturates here.
 MAX_COVERAGE = 2147483647
@@ -63,35 +63,41 @@ def letters_of(mask: Column) -> Column:
     return F.filter(F.array(*[F.lit(x) for x in dna.LETTERS]), lambda x: mask.bitwiseAND(bit(x)) > 0)
 
 
-def vertices(reads: DataFrame, k: int, seq: str = "seq", home: bool = False) -> DataFrame:
-    """(kmer, coverage, parents, children) of canonical k-mers. With home, also the lowest hash of the pieces that
-    hold the k-mer: neighbours mostly share it, which assembly uses to place them together."""
-    w = windows_with_context(reads, k, seq)
-    rc = dna.reverse_complement(F.col("kmer"))
-    w = w.select("kmer", rc.alias("rc"), bit(F.col("before")).alias("b"), bit(F.col("after")).alias("a"), "home")
-    forward = F.col("kmer") <= F.col("rc")
-    oriented = w.select(
-        F.least("kmer", "rc").alias("kmer"),
-        F.when(forward, F.col("b")).otherwise(mirror(F.col("a"))).alias("p"),
-        F.when(forward, F.col("a")).otherwise(mirror(F.col("b"))).alias("c"),
-        "home",
-    )
-    return oriented.groupBy("kmer").agg(
+def word_vertices(reads: DataFrame, k: int, seq: str = "seq", home: bool = False) -> DataFrame:
+    """(word, coverage, parents, children) of canonical k-mers as words. With home, also the lowest hash of the pieces
+    that hold the k-mer: neighbours mostly share it, which assembly uses to place them together."""
+    if k <= words.MOST:
+        oriented_ = words.windows(reads, k, seq, around=True)
+    else:
+        w = windows_with_context(reads, k, seq)
+        w = w.select("kmer", dna.reverse_complement(F.col("kmer")).alias("rc"), bit(F.col("before")).alias("b"), bit(F.col("after")).alias("a"), "home")
+        forward = F.col("kmer") <= F.col("rc")
+        oriented_ = w.select(
+            F.least("kmer", "rc").alias("word"),
+            F.when(forward, F.col("b")).otherwise(mirror(F.col("a"))).alias("parents"),
+            F.when(forward, F.col("a")).otherwise(mirror(F.col("b"))).alias("children"),
+            "home",
+        )
+    return oriented_.groupBy("word").agg(
         F.least(F.count(F.lit(1)), F.lit(MAX_COVERAGE)).cast("int").alias("coverage"),
-        F.bit_or("p").cast("int").alias("parents"),
-        F.bit_or("c").cast("int").alias("children"),
+        F.bit_or("parents").cast("int").alias("parents"),
+        F.bit_or("children").cast("int").alias("children"),
         *([F.min("home").alias("home")] if home else []),
     )
 
 
+def vertices(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
+    """(kmer, coverage, parents, children) of canonical k-mers."""
+    return word_vertices(reads, k, seq).select(words.of(k).text(F.col("word")).alias("kmer"), "coverage", "parents", "children")
+
+
 def oriented(vertices_: DataFrame) -> DataFrame:
     """Each vertex on both strands."""
-    more = [c for c in vertices_.columns if c == "home"]
     turned = F.struct(
         dna.reverse_complement(F.col("kmer")).alias("kmer"), F.col("coverage"),
-        mirror(F.col("children")).alias("parents"), mirror(F.col("parents")).alias("children"), *more,
+        mirror(F.col("children")).alias("parents"), mirror(F.col("parents")).alias("children"),
     )
-    same = F.struct("kmer", "coverage", "parents", "children", *more)
+    same = F.struct("kmer", "coverage", "parents", "children")
     return vertices_.select(F.explode(F.array(same, turned)).alias("v")).select("v.*")
 
 
@@ -112,10 +118,11 @@ def observed_arcs(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
 
 
 def degree_matrix(vertices_: DataFrame) -> DataFrame:
-    """25 rows (parent_count, child_count, frequency) over both strands, zero cells included."""
-    counted = oriented(vertices_).groupBy(
-        F.bit_count("parents").alias("parent_count"), F.bit_count("children").alias("child_count")
-    ).agg(F.count(F.lit(1)).alias("n"))
+    """25 rows (parent_count, child_count, frequency) over both strands, zero cells included. The other strand of a
+    vertex has the counts in turn, so the strands are united after the aggregation."""
+    one = vertices_.groupBy(F.bit_count("parents").alias("p"), F.bit_count("children").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    sides = F.explode(F.array(*[F.struct(F.col(a).alias("parent_count"), F.col(b).alias("child_count")) for a, b in ("pc", "cp")]))
+    counted = one.select("n", sides.alias("s")).groupBy("s.parent_count", "s.child_count").agg(F.sum("n").alias("n"))
     spark = vertices_.sparkSession
     cells = spark.range(25).select(F.floor(F.col("id") / 5).cast("int").alias("parent_count"), (F.col("id") % 5).cast("int").alias("child_count"))
     return cells.join(counted, ["parent_count", "child_count"], "left").select(

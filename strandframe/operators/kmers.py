@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.functions import dna
+from strandframe.functions import dna, words
 from strandframe.operators.sequences import chunked
 
 
@@ -30,8 +30,12 @@ def extract(reads: DataFrame, k: int, seq: str = "seq", positions: bool = False)
 
 
 def count(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
-    """(kmer, coverage) of canonical k-mers."""
-    return extract(reads, k, seq).select(dna.canonical(F.col("kmer")).alias("kmer")).groupBy("kmer").agg(F.count(F.lit(1)).alias("coverage"))
+    """(kmer, coverage) of canonical k-mers. Up to 31 letters they are exchanged and grouped as numbers."""
+    total = F.count(F.lit(1)).alias("coverage")
+    if k > words.MOST:
+        return extract(reads, k, seq).select(dna.canonical(F.col("kmer")).alias("kmer")).groupBy("kmer").agg(total)
+    counts = words.windows(reads, k, seq).groupBy("word").agg(total)
+    return counts.select(words.of(k).text(F.col("word")).alias("kmer"), "coverage")
 
 
 def histogram(counts: DataFrame) -> DataFrame:

@@ -1,53 +1,74 @@
 """Unitigs: flow-split choice, marking, and assembly of maximal simple paths and cycles.
 
-Assembly first joins edges inside partitions that are placed by the piece of a read that they come from, where most
-neighbours meet, and then ranks the few remaining segments by pointer doubling. Each round is written to the shared checkpoint folder.
+All steps work on words (numbers up to 31 letters) and on arcs, which are words one letter longer. An arc, read on the
+strand on which it is lower, has two ends: the vertex that it leaves and, on the other strand, the other vertex that it
+leaves. So each step is one aggregation, by arc or by vertex, in place of joins: both coverages of an arc meet by arc,
+the candidates of a vertex by vertex, the two choices of an arc by arc, the two sides of a vertex by vertex.
+
+Assembly then chains edges in partitions that are placed by the piece of a read that they come from, where most
+neighbours meet, and ranks the few remaining segments by pointer doubling.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.functions import dna
+from strandframe.functions import dna, words
+from strandframe.functions.words import Text
 from strandframe.operators import graph
-from strandframe.session import checkpointed
+from strandframe.session import checkpointed, written
 
 #: Fixed values of the heuristic: the repeat multiplier (exclusive) and the divisor of the noise threshold.
 REPEAT = 8
 NOISE = 4
+#: Edges chained at once, in numbers of edges.
+CHUNK = 1 << 16
+
+#: vertices (word, coverage, children, parents, home), words and least coverage to the choice (src, code, home).
+Strategy = Callable[[DataFrame, Text, int], DataFrame]
 
 
-def _home(df: DataFrame) -> list[str]:
-    """The column home, where vertices were made with it; it only decides where edges are placed."""
-    return [c for c in df.columns if c == "home"]
+def _by_arc(out: DataFrame, w: Text, *more: str) -> DataFrame:
+    """Rows (src, code, home, more) with arc, on its lower strand, and forward, whether that is the strand of src. Both
+    are true of an arc that is its own reverse complement: then backward is too."""
+    whole = w.with_rc(out.withColumn("x", w.extend(F.col("src"), F.col("code"))), "x", "r", w.k + 1)
+    return whole.select(F.least("x", "r").alias("arc"), (F.col("x") <= F.col("r")).alias("forward"), (F.col("x") >= F.col("r")).alias("backward"), "home", *more)
 
 
-def _lowest_home(df: DataFrame) -> list[Column]:
-    return [F.min(c).alias(c) for c in _home(df)]
+def _number(n: int) -> Column:
+    """Rows numbered 0..n-1 for each row, without any function that leaves generated code."""
+    return F.explode(F.array(*[F.lit(i) for i in range(n)])).alias("i")
 
 
-def arcs_with_coverage(vertices: DataFrame) -> DataFrame:
-    """Oriented arcs (src, code, src_coverage, dst_coverage); code is that of the letter that dst adds."""
-    more = _home(vertices)
-    codes = F.filter(F.array(*[F.lit(i) for i in range(4)]), lambda i: F.getbit(F.col("children"), i) == 1)
-    o = graph.oriented(vertices).select("kmer", "coverage", *more, F.explode(codes).alias("code"))
-    key = dna.canonical(_next(F.col("kmer"), F.col("code")))
-    out = o.select(F.col("kmer").alias("src"), "code", F.col("coverage").alias("src_coverage"), key.alias("key"), *more)
-    other = vertices.select(F.col("kmer").alias("key"), F.col("coverage").alias("dst_coverage"))
-    # keys of vertices are unique, so hash tables of a partition stay as small as the partition
-    return out.join(other.hint("shuffle_hash"), "key").drop("key")
+def _leaving(arcs: DataFrame, w: Text, *more: tuple[str, Column, Column]) -> DataFrame:
+    """Both ends of each arc as (src, code, home) of the strand that leaves it, with named columns of either end; one end
+    of an arc that is its own reverse complement."""
+    both = w.with_rc(arcs, "arc", "r", w.k + 1).select("*", _number(2)).where("i = 0 or arc != r")
+    own = F.when(F.col("i") == 0, F.col("arc")).otherwise(F.col("r"))
+    ends = [F.when(F.col("i") == 0, a).otherwise(b).alias(name) for name, a, b in more]
+    return both.select(own.alias("x"), "home", *ends).select(w.prefix(F.col("x")).alias("src"), w.last(F.col("x")).alias("code"), "home", *[n for n, *_ in more])
 
 
-def _next(kmer: Column, code: Column) -> Column:
-    return dna.child(kmer, dna.letter(code))
+def arcs_with_coverage(vertices: DataFrame, w: Text) -> DataFrame:
+    """Oriented arcs (src, code, home, src_coverage, dst_coverage); code is that of the letter that dst adds. Every arc
+    is sent by both of its vertices, so one aggregation brings their coverages together."""
+    letters = F.col("children").bitwiseOR(F.shiftleft(graph.mirror(F.col("parents")), 4)).alias("letters")
+    each = w.with_rc(vertices, "word", "t").select("word", "t", "coverage", "home", letters, _number(8)).where(F.getbit(F.col("letters"), F.col("i")) == 1)
+    ends = each.select(F.when(F.col("i") < 4, F.col("word")).otherwise(F.col("t")).alias("src"), (F.col("i") % 4).alias("code"), "coverage", "home")
+    side = lambda flag: F.max(F.when(F.col(flag), F.col("coverage"))).alias(flag)
+    arcs = _by_arc(ends, w, "coverage").groupBy("arc").agg(side("forward"), side("backward"), F.min("home").alias("home"))
+    a, b = F.col("forward"), F.col("backward")
+    return _leaving(arcs, w, ("src_coverage", a, b), ("dst_coverage", b, a))
 
 
-def flow_split(vertices: DataFrame, minimum_coverage: int = 1) -> DataFrame:
-    """choice(src, dst): the arc taken from each oriented vertex, if any. With c the coverage of the source, a
+def flow_split(vertices: DataFrame, w: Text, minimum_coverage: int = 1) -> DataFrame:
+    """choice (src, code, home): the arc taken from each oriented vertex, if any. With c the coverage of the source, a
     candidate is taken if it is the only one of coverage >= c div 4, and neither coverage reaches 8 times the
     other. (No other candidate can then have the same coverage.)
 
@@ -57,81 +78,127 @@ def flow_split(vertices: DataFrame, minimum_coverage: int = 1) -> DataFrame:
     cc, nc = F.col("src_coverage").cast("long"), F.col("dst_coverage").cast("long")
     strong = nc >= F.floor(cc / NOISE)
     one = lambda x: F.max(F.when(strong, x))
-    grouped = arcs_with_coverage(vertices).groupBy("src").agg(
-        F.count_if(strong).alias("strong"), one(F.col("code")).alias("code"), one(cc).alias("cc"), one(nc).alias("nc"), *_lowest_home(vertices)
+    grouped = arcs_with_coverage(vertices, w).groupBy("src").agg(
+        F.count_if(strong).alias("strong"), one(F.col("code")).alias("code"), one(cc).alias("cc"), one(nc).alias("nc"), F.min("home").alias("home")
     )
     fits = (F.col("nc") < F.col("cc") * REPEAT) & (F.col("cc") < F.col("nc") * REPEAT) & (F.col("nc") >= minimum_coverage)
-    return grouped.where((F.col("strong") == 1) & fits).select("src", _next(F.col("src"), F.col("code")).alias("dst"), *_home(vertices))
+    return grouped.where((F.col("strong") == 1) & fits).select("src", "code", "home")
 
 
-def highest_coverage(vertices: DataFrame, minimum_coverage: int = 1) -> DataFrame:
+def highest_coverage(vertices: DataFrame, w: Text, minimum_coverage: int = 1) -> DataFrame:
     """The other strategy: the child of highest coverage, the first letter on ties."""
     rank = F.col("dst_coverage").cast("long") * 4 + (3 - F.col("code"))
-    best = arcs_with_coverage(vertices).groupBy("src").agg(F.max(rank).alias("r"), *_lowest_home(vertices))
-    code = (3 - F.col("r") % 4).cast("int")
-    return best.where(F.floor(F.col("r") / 4) >= minimum_coverage).select("src", _next(F.col("src"), code).alias("dst"), *_home(vertices))
-
-
-def mutual(choice: DataFrame) -> DataFrame:
-    """Chosen arcs whose mirror image is chosen too, (src, dst) on both strands. One aggregation on the canonical
-    (k+1)-mer of the arc instead of a self-join."""
-    whole = F.concat("src", dna.last_letter(F.col("dst")))
-    more = _home(choice)
-    e = choice.select(whole.alias("e"), *more).withColumn("rc", dna.reverse_complement(F.col("e")))
-    sides = (
-        e.select(F.least("e", "rc").alias("key"), (F.col("e") <= F.col("rc")).alias("fwd"), (F.col("e") >= F.col("rc")).alias("rev"), *more)
-        .groupBy("key").agg(F.max("fwd").alias("fwd"), F.max("rev").alias("rev"), *_lowest_home(choice)).where("fwd and rev")
-    )
-    strands = F.array_distinct(F.array("key", dna.reverse_complement(F.col("key"))))
-    k = F.length("x") - 1
-    return sides.select(F.explode(strands).alias("x"), *more).select(F.col("x").substr(F.lit(1), k).alias("src"), F.col("x").substr(F.lit(2), k).alias("dst"), *more)
-
-
-def unitig_vertices(mutual_: DataFrame) -> DataFrame:
-    """Oriented k-mers with a mutual parent and a mutual child."""
-    ends = mutual_.select(F.explode(F.array(*[F.struct(F.col(c).alias("kmer"), F.lit(out).alias("out")) for c, out in (("src", True), ("dst", False))])).alias("v"))
-    return ends.select("v.*").groupBy("kmer").agg(F.bool_or("out").alias("o"), F.bool_or(~F.col("out")).alias("i")).where("o and i").select("kmer")
-
+    best = arcs_with_coverage(vertices, w).groupBy("src").agg(F.max(rank).alias("r"), F.min("home").alias("home"))
+    return best.where(F.floor(F.col("r") / 4) >= minimum_coverage).select("src", (3 - F.col("r") % 4).cast("int").alias("code"), "home")
+
+
+def choices(reads: DataFrame, k: int, strategy: Strategy = flow_split, minimum_coverage: int = 1) -> DataFrame:
+    """(src, dst) as text: the arc taken from each oriented vertex of the reads."""
+    w = words.of(k)
+    taken = strategy(graph.word_vertices(reads, k, home=True), w, minimum_coverage)
+    dst = w.suffix(w.extend(F.col("src"), F.col("code")))
+    return taken.select(w.text(F.col("src")).alias("src"), w.text(dst).alias("dst"))
+
+
+def mutual(choice: DataFrame, w: Text) -> DataFrame:
+    """(arc, home) of arcs that both of their ends have chosen."""
+    sides = _by_arc(choice, w).groupBy("arc").agg(F.max("forward").alias("forward"), F.max("backward").alias("backward"), F.min("home").alias("home"))
+    return sides.where("forward and backward").select("arc", "home")
+
+
+def _sides(mutual_: DataFrame, w: Text) -> DataFrame:
+    """(word, ahead, behind, home) of canonical vertices with a mutual arc on both sides: the unitig vertices."""
+    ends = _leaving(mutual_, w, ("arc", F.col("arc"), F.col("arc")))
+    turned = w.with_rc(ends, "src", "t")
+    own = turned.select(F.least("src", "t").alias("word"), F.when(F.col("src") <= F.col("t"), F.col("arc")).alias("a"), F.when(F.col("src") > F.col("t"), F.col("arc")).alias("b"), "home")
+    sides = own.groupBy("word").agg(F.max("a").alias("ahead"), F.max("b").alias("behind"), F.min("home").alias("home"))
+    return sides.where("ahead is not null and behind is not null")
+
+
+def unitig_vertices(reads: DataFrame, k: int, minimum_coverage: int = 1, strategy: Strategy = flow_split) -> DataFrame:
+    """kmer, on both strands, of the vertices with a mutual parent and a mutual child."""
+    w = words.of(k)
+    found = _sides(mutual(strategy(graph.word_vertices(reads, k, home=True), w, minimum_coverage), w), w)
+    kmer = w.text(F.col("word"))
+    return found.select(F.explode(F.array(kmer, dna.reverse_complement(kmer))).alias("kmer"))
+
+
+# ---- chains ----------------------------------------------------------------------------------------------------
+
+_LETTERS = np.frombuffer(dna.LETTERS.encode(), np.uint8)
+
+
+def _chained(src: pa.Array, dst: pa.Array, code: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array, np.ndarray]:
+    """Chains of edges of which no two leave or enter one vertex: first, last, letters of all but the first, closed."""
+    nodes = pa.chunked_array([src, dst]).combine_chunks().dictionary_encode()
+    at = nodes.indices.to_numpy()
+    n, edges = len(nodes.dictionary), len(src)
+    following, letter = np.full(n, -1), np.zeros(n, np.uint8)
+    following[at[:edges]], letter[at[:edges]] = at[edges:], code
+    entered = np.zeros(n, bool)
+    entered[at[edges:]] = True
+    heads = np.flatnonzero((following >= 0) & ~entered)
+    cyclic = following >= 0
+    who, what, lasts = [], [], heads.copy()
+    chain, now = np.arange(len(heads)), heads
+    while len(now):
+        who.append(chain)
+        what.append(letter[now])
+        cyclic[now] = False
+        now = following[now]
+        lasts[chain] = now
+        goes_on = following[now] >= 0
+        chain, now = chain[goes_on], now[goes_on]
+    rings = []
+    for start in np.flatnonzero(cyclic).tolist():
+        if cyclic[start]:
+            rings.append(start)
+            now = start
+            while cyclic[now]:
+                cyclic[now] = False
+                who.append(np.array([len(heads) + len(rings) - 1]))
+                what.append(letter[now : now + 1])
+                now = following[now]
+    owner = np.concatenate(who) if who else np.zeros(0, np.int64)
+    order = np.argsort(owner, kind="stable")
+    text = _LETTERS[np.concatenate(what)[order]] if who else np.zeros(0, np.uint8)
+    firsts = np.concatenate([heads, np.array(rings, np.int64)])
+    ends = np.concatenate([lasts, np.array(rings, np.int64)])
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(firsts)))]).astype(np.int32)
+    letters = pa.StringArray.from_buffers(len(firsts), pa.py_buffer(offsets.tobytes()), pa.py_buffer(text.tobytes()))
+    closed = np.arange(len(firsts)) >= len(heads)
+    return nodes.dictionary.take(pa.array(firsts)), nodes.dictionary.take(pa.array(ends)), letters, closed
+
+
+def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (src, dst, code) to segments, CHUNK edges at once, so that memory doesn't depend on the partition."""
+
+    def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        src, dst = (t[c].combine_chunks() for c in ("src", "dst"))
+        first, last, letters, closed = _chained(src, dst, t["code"].to_numpy().astype(np.uint8))
+        return pa.RecordBatch.from_arrays([first, last, letters, pa.array(closed)], ["first", "last", "letters", "closed"])
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+        if sum(x.num_rows for x in held) >= CHUNK:
+            yield out(held)
+            held = []
+    if held:
+        yield out(held)
 
-def unitig_edges(mutual_: DataFrame, unitigs_: DataFrame) -> DataFrame:
-    """Mutual arcs between unitig vertices. Every vertex then has at most one arc in and one out."""
-    ends = [unitigs_.select(F.col("kmer").alias(c)) for c in ("src", "dst")]
-    return mutual_.join(ends[0], "src", "left_semi").join(ends[1], "dst", "left_semi").select("src", "dst", *_home(mutual_))
 
+def segments(edges: DataFrame, w: Text) -> DataFrame:
+    """(first, last, letters, closed): chains of edges (arc, home), on both strands. Edges of one home, which is one piece
+    of a read, lie together; a chain may also go on into the next home."""
+    steps = _leaving(edges, w).withColumn("dst", w.suffix(w.extend(F.col("src"), F.col("code"))))
+    placed = steps.repartition("home").sortWithinPartitions("home").select("src", "dst", "code")
+    return placed.mapInArrow(_chain, f"first {w.kind}, last {w.kind}, letters string, closed boolean")
 
-SEGMENT = "first string, last string, letters string, closed boolean"
 
-
-def _join_locally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Chains of the edges of one partition; `letters` are the last letters of all vertices but the first."""
-    following: dict[str, str] = {}
-    for b in batches:
-        following.update(zip(b["src"], b["dst"], strict=True))
-    targets, rows = set(following.values()), []
-
-    def follow(start: str) -> tuple[str, str, str, bool]:
-        at, letters = start, []
-        while (step := following.pop(at, None)) is not None:
-            letters.append(step[-1])
-            at = step
-            if at == start:
-                break
-        return start, at, "".join(letters), at == start
-
-    for start in [s for s in following if s not in targets]:
-        rows.append(follow(start))
-    while following:
-        start = next(iter(following))
-        rows.append(follow(start))
-    yield pd.DataFrame(rows, columns=["first", "last", "letters", "closed"])
-
-
-def segments(edges: DataFrame, k: int) -> DataFrame:
-    """Chains of edges that share a home, or, without one, the lowest hash of the shorter words in their overlap."""
-    width = max(1, k // 2)
-    words = [F.xxhash64(F.col("src").substr(i + 2, width)) for i in range(k - width)]
-    place = F.col("home") if _home(edges) else F.least(*words) if len(words) > 1 else words[0]
-    return edges.select("src", "dst", place.alias("at")).repartition("at").select("src", "dst").mapInPandas(_join_locally, SEGMENT)
+# ---- ranks of segments -----------------------------------------------------------------------------------------
 
 
 def _rank(state: DataFrame) -> DataFrame:
@@ -151,33 +218,39 @@ def _rank(state: DataFrame) -> DataFrame:
 
 
 def _start(parts: DataFrame) -> DataFrame:
+    """State of each segment; one that stops, or that no other goes on from, is done."""
     firsts = parts.select(F.col("first").alias("last"), F.lit(True).alias("goes_on"))
+    done = F.col("goes_on").isNull() | F.col("stops")
     return checkpointed(
-        parts.join(firsts, "last", "left").select(F.col("first").alias("n"), F.col("last").alias("nx"), F.lit(1).cast("long").alias("d"), F.col("goes_on").isNull().alias("done"))
+        parts.join(firsts, "last", "left").select(F.col("first").alias("n"), F.col("last").alias("nx"), F.lit(1).cast("long").alias("d"), done.alias("done"))
     )
 
 
-def _assemble(ranked: DataFrame, parts: DataFrame) -> DataFrame:
+def _assemble(ranked: DataFrame, parts: DataFrame, w: Text) -> DataFrame:
     ordered = ranked.select("n", "nx", "d").join(parts.select(F.col("first").alias("n"), "letters"), "n")
     runs = ordered.groupBy("nx").agg(F.array_sort(F.collect_list(F.struct((-F.col("d")).alias("d"), "n", "letters"))).alias("a"))
-    return runs.select(F.concat(F.col("a")[0]["n"], F.array_join(F.transform("a", lambda x: x["letters"]), "")).alias("seq"))
+    return runs.select(F.concat(w.text(F.col("a")[0]["n"]), F.array_join(F.transform("a", lambda x: x["letters"]), "")).alias("seq"))
 
 
 def unitig_paths(mutual_: DataFrame, k: int) -> DataFrame:
-    """(seq, circular): each maximal path of mutual arcs between unitig vertices once, on the strand that is lower by
-    letters; a vertex without such arcs is a path. A cycle of L vertices gives L+k-1 letters from its lowest k-mer
-    on, and circular = 1."""
-    vertices = checkpointed(unitig_vertices(mutual_))
-    edges = checkpointed(unitig_edges(mutual_, vertices))
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("kmer"))
-    alone = vertices.join(ends, "kmer", "left_anti").select(dna.canonical(F.col("kmer")).alias("seq")).distinct()
-    all_parts = checkpointed(segments(edges, k))
-    parts = all_parts.where(~F.col("closed")).select("first", "last", "letters")
+    """(seq, circular): each maximal path of mutual arcs (arc, home) between unitig vertices once, on the strand that is
+    lower by letters; a vertex without such arcs is a path. A cycle of L vertices gives L+k-1 letters from its lowest
+    k-mer on, and circular = 1."""
+    w = words.of(k)
+    sides = _sides(mutual_, w)
+    ends = sides.select("word", "home", F.explode(F.array("ahead", "behind")).alias("arc"))
+    links = ends.groupBy("arc").agg(F.count(F.lit(1)).alias("n"), F.max("word").alias("word"), F.min("home").alias("home"))
+    links = w.with_rc(links, "arc", "r", k + 1)
+    links = written(links.select("arc", "word", "home", ((F.col("n") == 2) | (F.col("arc") == F.col("r"))).alias("edge")))
+    lone = links.where(~F.col("edge")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n = 2")
+    alone = lone.select(w.text(F.col("word")).alias("seq"))
+    all_parts = written(segments(links.where("edge").select("arc", "home"), w))
+    parts = all_parts.where(~F.col("closed")).select("first", "last", "letters", F.lit(False).alias("stops"))
     ranked = _rank(_start(parts))
     seq = F.col("seq")
-    open_paths = _assemble(ranked.where("done"), parts).select(F.least(seq, dna.reverse_complement(seq)).alias("seq")).distinct()
+    open_paths = _assemble(ranked.where("done"), parts, w).select(F.least(seq, dna.reverse_complement(seq)).alias("seq")).distinct()
 
-    rings = all_parts.where("closed").select(F.concat("first", "letters").alias("seq"))
+    rings = all_parts.where("closed").select(F.concat(w.text(F.col("first")), "letters").alias("seq"))
     turning = ranked.where(~F.col("done")).select(F.col("n").alias("first"))
     cyclic = checkpointed(parts.join(turning, "first", "left_semi"))
     size = cyclic.count()
@@ -187,23 +260,64 @@ def unitig_paths(mutual_: DataFrame, k: int) -> DataFrame:
             other = label.select(F.col("n").alias("nx"), F.col("nx").alias("nx2"), F.col("low").alias("low2"))
             label = checkpointed(label.join(other, "nx").select("n", F.col("nx2").alias("nx"), F.least("low", "low2").alias("low")))
         heads = label.where(F.col("n") == F.col("low")).select(F.col("n").alias("last"), F.lit(True).alias("head"))
-        cut = cyclic.join(heads, "last", "left").withColumn("last", F.when(F.col("head"), F.concat(F.lit("end:"), F.col("last"))).otherwise(F.col("last"))).drop("head")
-        cut = checkpointed(cut.select("first", "last", "letters"))
-        rings = rings.unionByName(_assemble(_rank(_start(cut)).where("done"), cut))
-    whole = rings.select(seq.substr(F.lit(1), F.length(seq) - 1).alias("seq"))
-    # other names than seq: inside a lambda, Spark reads a name as an alias of the same select
-    turned = whole.select(_lowest_first(seq, k).alias("one"), _lowest_first(dna.reverse_complement(seq), k).alias("other"))
-    cycles = turned.select(F.least("one", "other").alias("seq")).distinct()
+        cut = cyclic.drop("stops").join(heads, "last", "left").select("first", "last", "letters", F.coalesce("head", F.lit(False)).alias("stops"))
+        cut = checkpointed(cut)
+        rings = rings.unionByName(_assemble(_rank(_start(cut)).where("done"), cut, w))
+    cycles = rings.select(lowest_rotation(seq.substr(F.lit(1), F.length(seq) - 1), F.lit(k)).alias("seq")).distinct()
     return open_paths.unionByName(alone).withColumn("circular", F.lit(0)).unionByName(cycles.withColumn("circular", F.lit(1)))
 
 
-def _lowest_first(seq, k: int):
-    all_kmers = dna.shingles(seq, k)
-    return dna.rotate_path(seq, (F.array_position(all_kmers, F.array_min(all_kmers)) - 1).cast("int"), k)
+# ---- cycles ----------------------------------------------------------------------------------------------------
+
+
+def least_rotation(text: str) -> int:
+    """Where the lowest rotation of a text begins, in time proportional to its length: of two candidates, the one
+    that turns out higher after some equal letters can't have the lowest begin at any of these letters."""
+    n, a, b, same = len(text), 0, 1, 0
+    while a < n and b < n and same < n:
+        x, y = text[(a + same) % n], text[(b + same) % n]
+        if x == y:
+            same += 1
+            continue
+        if x > y:
+            a += same + 1
+        else:
+            b += same + 1
+        b += a == b
+        same = 0
+    return min(a, b)
+
+
+def _turned(path: str, k: int) -> str:
+    """A circular path, of L+k-1 letters, from its lowest k-mer on, on the strand on which that is lower. The k-mers of
+    a cycle of unitig vertices are all different, so the lowest one begins the lowest rotation."""
+    cycle = path[: len(path) - k + 1]
+    if not cycle:
+        return path
+    out = []
+    for strand in (cycle, cycle[::-1].translate(str.maketrans(dna.LETTERS, dna.COMPLEMENTS))):
+        at = least_rotation(strand)
+        whole = strand[at:] + strand[:at]
+        out.append((whole * (len(path) // len(whole) + 1))[: len(path)])
+    return min(out)
+
+
+def lowest_rotation(path: Column, k: Column) -> Column:
+    """Circular paths in their normal form; null stays null."""
+
+    @F.pandas_udf("string")
+    def run(paths: pd.Series, ks: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None else _turned(p, int(n)) for p, n in zip(paths, ks, strict=True)])
+
+    return run(path, k)
+
+
+def assemble(reads: DataFrame, k: int, minimum_coverage: int = 1, minimum_length: int = 100, strategy: Strategy = flow_split) -> DataFrame:
+    """(seq, circular): unitigs of at least minimum_length letters."""
+    return assemble_vertices(graph.word_vertices(reads, k, home=True), k, minimum_coverage, minimum_length, strategy)
 
 
-def assemble(reads: DataFrame, k: int, minimum_coverage: int = 1, minimum_length: int = 100, strategy=flow_split) -> DataFrame:
-    """Unitigs of at least minimum_length letters. strategy: vertices, minimum_coverage -> choice(src, dst)."""
-    v = checkpointed(graph.vertices(reads, k, home=True))
-    m = checkpointed(mutual(strategy(v, minimum_coverage)))
-    return unitig_paths(m, k).where(F.length("seq") >= minimum_length)
+def assemble_vertices(vertices: DataFrame, k: int, minimum_coverage: int = 1, minimum_length: int = 100, strategy: Strategy = flow_split) -> DataFrame:
+    """The same of vertices (word, coverage, parents, children, home)."""
+    w = words.of(k)
+    return unitig_paths(mutual(strategy(vertices, w, minimum_coverage), w), k).where(F.length("seq") >= minimum_length)

@@ -10,7 +10,7 @@ from strandframe.functions import codec, dna, stats
 from strandframe.operators import graph, kmers, ordered, sequences, skew, unitigs
 from strandframe.operators.observations import counting
 from strandframe.plans.registry import Registry
-from strandframe.session import checkpointed, read_table
+from strandframe.session import read_table
 from strandframe.sources.sequences import of_format
 
 REG = Registry()
@@ -297,23 +297,22 @@ def dangling_arcs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql=f"with {CHOICE} select src, dst from ch")
 def flow_split_choice(spark: SparkSession, d: str) -> DataFrame:
-    return unitigs.flow_split(_vertices(spark, d))
+    return unitigs.choices(_reads(spark, d), K)
 
 
 @query(sql=f"with {ARC}, x as (select a.src, a.dst, row_number() over (partition by a.src order by n.cov desc, a.dst) r from arc a join o n on n.k=a.dst) select src, dst from x where r=1")
 def highest_coverage_choice(spark: SparkSession, d: str) -> DataFrame:
-    return unitigs.highest_coverage(_vertices(spark, d))
+    return unitigs.choices(_reads(spark, d), K, unitigs.highest_coverage)
 
 
 @query(sql=f"with {UNITIG} select k kmer from u")
 def unitig_vertices(spark: SparkSession, d: str) -> DataFrame:
-    return unitigs.unitig_vertices(unitigs.mutual(unitigs.flow_split(_vertices(spark, d))))
+    return unitigs.unitig_vertices(_reads(spark, d), K)
 
 
 @query(sql=PATHS.join(["with recursive ", " select seq from p"]))
 def unitig_paths(spark: SparkSession, d: str) -> DataFrame:
-    m = checkpointed(unitigs.mutual(unitigs.flow_split(graph.vertices(_reads(spark, d), K, home=True))))
-    return unitigs.unitig_paths(m, K).where("circular = 0").select("seq")
+    return unitigs.assemble(_reads(spark, d), K, minimum_length=0).where("circular = 0").select("seq")
 
 
 @query(sql=PATHS.join(["with recursive ", " select seq, length(seq)::int n from p where length(seq)>=100"]))

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from strandframe.functions import codec, dna, stats
+from strandframe.functions import codec, dna, stats, words
 from strandframe.functions.hashing import KMER_SEED, MULTIPLIER, canonical_hash, murmur64a
 from strandframe.operators import graph, kmers, ordered, skew, unitigs
 from strandframe.plans.queries import REG
@@ -121,8 +121,40 @@ def test_counts_and_graph(spark, texts):
                 near[s[i : i + k]][1].add(s[i + k])
                 near[s[i + 1 : i + 1 + k]][0].add(s[i])
     mask = lambda x: sum(1 << "ACGT".index(b) for b in x)
-    got = {r["kmer"]: tuple(r)[1:] for r in graph.vertices(df, k).collect()}
-    assert got == {v: (n, mask(near[v][0]), mask(near[v][1])) for v, n in want.items()}
+    wanted = {v: (n, mask(near[v][0]), mask(near[v][1])) for v, n in want.items()}
+    assert {r["kmer"]: tuple(r)[1:] for r in graph.vertices(df, k).collect()} == wanted
+    most, words.MOST = words.MOST, 3  # k-mers as text
+    try:
+        assert {r["kmer"]: tuple(r)[1:] for r in graph.vertices(df, k).collect()} == wanted
+        assert {r["kmer"]: r["coverage"] for r in kmers.count(df, k).collect()} == want
+    finally:
+        words.MOST = most
+
+
+@pytest.mark.parametrize("k", [1, 3, 4, 21, 31, 43])
+def test_words(spark, k):
+    rng = random.Random(k)
+    w = words.of(k)
+    rows = [("".join(rng.choice("ACGT") for _ in range(k)), rng.randrange(4)) for _ in range(40)]
+    df = spark.createDataFrame(rows, "s string, c int").withColumn("word", w.of_text(F.col("s")))
+    df = w.with_rc(df.withColumn("arc", w.extend(F.col("word"), F.col("c"))), "word", "t")
+    df = w.with_rc(df, "arc", "u", k + 1)
+    parts = [F.col("word"), F.col("t"), w.prefix(F.col("arc")), w.suffix(F.col("arc")), w.suffix(F.col("u"))]
+    got = df.select("s", "c", w.last(F.col("arc")), *[w.text(x).alias(f"x{i}") for i, x in enumerate(parts)])
+    for s, c, last, back, turned, before, after, far in got.collect():
+        assert (back, turned, before, after, last, far) == (s, rc(s), s, s[1:] + "ACGT"[c], c, rc(s))
+
+
+def test_long_reads_as_words(spark, monkeypatch):
+    """Reads longer than what is handled at once, characters other than letters, and pieces of a read."""
+    rng = random.Random(6)
+    text = "".join(rng.choice("ACGTN") for _ in range(words.PART + 3000))
+    df = reads_of(spark, text, "AC", None, text[:50])
+    clean = text.replace("N", "A")
+    assert {r["kmer"]: r["coverage"] for r in kmers.count(df, 21).collect()} == plain_counts([clean, clean[:50]], 21)
+    v = graph.vertices(df, 21).agg(F.sum(F.bit_count("parents") + F.bit_count("children"))).first()[0]
+    arcs = {min(clean[i : i + 22], rc(clean[i : i + 22])) for i in range(len(clean) - 21)}
+    assert v == 2 * len(arcs) - sum(a == rc(a) for a in arcs)  # an arc that is its own mirror image has one end
 
 
 def test_chunks_change_nothing(spark):
@@ -160,6 +192,79 @@ def test_unitig_line_and_cycle(spark):
     assert paths(spark, ["ACG", None, ""], k) == [] and paths(spark, ["A" * 40], k) in ([], [("A" * k, 1)])
 
 
+def plain_unitigs(texts, k):
+    """Unitigs by walking, from a plain graph with flow-split choices."""
+    cov = plain_counts(texts, k)
+    near = defaultdict(set)
+    for t in texts:
+        for s in (t, rc(t)):
+            for i in range(len(s) - k):
+                near[s[i : i + k]].add(s[i + 1 : i + 1 + k])
+    of = lambda x: cov[min(x, rc(x))]
+    choice = {}
+    for s, ends in near.items():
+        strong = [d for d in ends if of(d) >= of(s) // 4]
+        if len(strong) == 1 and of(strong[0]) < 8 * of(s) and of(s) < 8 * of(strong[0]):
+            choice[s] = strong[0]
+    mutual = {(s, d) for s, d in choice.items() if choice.get(rc(d)) == rc(s)}
+    marked = {s for s, _ in mutual} & {d for _, d in mutual}
+    step = {s: d for s, d in mutual if s in marked and d in marked}
+    entered, out, seen = set(step.values()), set(), set()
+    for s in sorted(marked - entered):
+        path, at = s, s
+        seen.add(s)
+        while at in step:
+            at = step[at]
+            seen.add(at)
+            path += at[-1]
+        out.add((min(path, rc(path)), 0))
+    for s in sorted(marked - seen):
+        ring, at = [s], step[s]
+        while at != s:
+            ring.append(at)
+            at = step[at]
+        low = ring.index(min(ring))
+        ring = ring[low:] + ring[:low]
+        turned = [rc(x) for x in reversed(ring)]
+        low = turned.index(min(turned))
+        turned = turned[low:] + turned[:low]
+        out.add((min(x[0] + "".join(y[-1] for y in x[1:]) for x in (ring, turned)), 1))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("k", "most"), [(5, 31), (7, 31), (5, 3)])
+def test_unitigs_of_small_graphs(spark, monkeypatch, k, most):
+    """Against walking, over crowded graphs with hairpins, short cycles and branches, as numbers and as text."""
+    monkeypatch.setattr(words, "MOST", most)
+    rng = random.Random(k)
+    for n in range(2):
+        texts = ["".join(rng.choice("ACGT"[: 2 + n % 3]) for _ in range(rng.randrange(k, 40))) for _ in range(6)]
+        ring = "".join(rng.choice("ACGT") for _ in range(rng.randrange(k, 30)))
+        texts.append(ring + ring[:k])
+        assert paths(spark, texts, k) == plain_unitigs(texts, k)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="AC", min_size=1, max_size=30))
+def test_least_rotation(text):
+    at = unitigs.least_rotation(text)
+    assert text[at:] + text[:at] == min(text[i:] + text[:i] for i in range(len(text)))
+
+
+def test_chains_of_cycles_in_parts(spark, monkeypatch):
+    """A cycle and a line whose edges lie in many segments are put together by ranks."""
+    rng = random.Random(11)
+    ring, line = ("".join(rng.choice("ACGT") for _ in range(n)) for n in (300, 400))
+    k, texts = 21, []
+    for whole, size in ((ring + ring, 300), (line, 370)):
+        texts += [whole[i : i + 30] for i in range(0, size, 3)]
+    scattered = lambda e, w: original(e.withColumn("home", F.xxhash64("arc")), w)
+    original = unitigs.segments
+    monkeypatch.setattr(unitigs, "segments", scattered)
+    monkeypatch.setattr(unitigs, "CHUNK", 1)
+    assert paths(spark, texts, k) == plain_unitigs(texts, k) and any(c for _, c in plain_unitigs(texts, k))
+
+
 def test_flow_split(spark):
     rng = random.Random(5)
     left, right = ("".join(rng.choice("ACGT") for _ in range(30)) for _ in range(2))
