@@ -6,7 +6,6 @@ Words that start with '-' are options; every other word is a file, of a format t
 from __future__ import annotations
 
 import argparse
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +32,7 @@ def count(spark: SparkSession, files: list[str], k: int, output: str) -> None:
 
 def assemble(spark: SparkSession, files: list[str], k: int, output: str, minimum_coverage: int = 1) -> None:
     """Coverage distribution, graph summary and contigs; an existing folder is an error."""
-    if Path(output).exists():
+    if sinks.exists(spark, output):
         raise FileExistsError(output)
     vertices = written(graph.word_vertices(load(spark, files), k, home=True))
     sinks.write_coverage_distribution(kmers.histogram(vertices), output)

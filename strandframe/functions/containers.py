@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +30,16 @@ def copy_range(v: Column, start: int, end: int) -> Column:
     return F.slice(v, start + 1, end - start + 1)
 
 
+def any_element(v: Column) -> Column:
+    """Some element of a set; null for an empty one."""
+    return F.get(v, F.lit(0))
+
+
+def sort_by(v: Column, comparator: Callable[[Column, Column], Column]) -> Column:
+    """Sorted by a comparator of two elements: negative, 0 or positive."""
+    return F.array_sort(v, lambda a, b: F.signum(comparator(a, b)).cast("int"))
+
+
 def bit_get(x: Column, i: int) -> Column:
     return F.shiftright(x, i).bitwiseAND(F.lit(1)).cast("int")
 

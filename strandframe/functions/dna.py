@@ -127,6 +127,18 @@ def rotate(text: Column, by: int) -> Column:
     return F.concat(text.substr(cut + 1, length), text.substr(F.lit(1), cut))
 
 
+def reverse_range(text: Column, start: int, end: int) -> Column:
+    """Positions start..end, from 0, both inclusive, in reverse order."""
+    return F.concat(text.substr(1, start), F.reverse(text.substr(start + 1, end - start + 1)), text.substr(F.lit(end + 2), F.length(text)))
+
+
+def swap(text: Column, i: int, j: int) -> Column:
+    """The characters at two positions, from 0, in each other's place; unchanged where the text is too short."""
+    i, j = F.lit(min(i, j)), F.lit(max(i, j))
+    swapped = set_letter(set_letter(text, i, letter_at(text, j)), j, letter_at(text, i))
+    return F.when(F.length(text) > j, swapped).otherwise(text)
+
+
 def rotate_path(seq: Column, rotation: Column, k: int) -> Column:
     """Rotation of a circular path that keeps its k-1 letters of overlap: the cycle proper is all but the last
     k-1 letters. The first k-1 letters of the rotated cycle, repeated as often as a short cycle needs, close it."""
@@ -148,10 +160,12 @@ def shingles(seq: Column, width: Column | int) -> Column:
     )
 
 
-def minimizer(kmer: Column, k: int, width: int = 19) -> Column:
-    """The smallest canonical shingle of a k-mer. It is the same on both strands. Width: 19, or k-3 for shorter k."""
+def minimizer(kmer: Column, k: int, width: int = 19, hashed: bool = False) -> Column:
+    """The smallest canonical shingle of a k-mer, by letters, or its hash and the smallest by that, which spreads k-mers
+    more evenly. It is the same on both strands. Width: 19, or k-3 for shorter k."""
     w = width if k >= width else max(1, k - 3)
-    return F.array_min(F.transform(shingles(kmer, w), canonical))
+    each = F.transform(shingles(kmer, w), lambda x: F.xxhash64(canonical(x)) if hashed else canonical(x))
+    return F.array_min(each)
 
 
 def unit_prefix(value: Column) -> Column:

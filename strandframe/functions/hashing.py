@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from strandframe.functions import dna
+from strandframe.functions.codec import pack
 
 #: Seeds of k-mer hashes and of path signatures, and the multiplier and shift of the hash.
 KMER_SEED = 0xCAA9CFCF
@@ -42,6 +43,21 @@ def murmur64a_column(text: Column, seed: int) -> Column:
     return digest(text).cast("decimal(20,0)")
 
 
+def kmer_hash(kmer: Column) -> Column:
+    """Hash of a k-mer as it is, with the zero byte that ends it."""
+    return murmur64a_column(F.concat(kmer, F.lit("\0")), KMER_SEED)
+
+
+def packed_hash(kmer: Column) -> Column:
+    """Hash of the two-bit form of a k-mer (see codec), by which runs on several machines place it."""
+
+    @F.pandas_udf("string")
+    def digest(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else str(murmur64a(pack(v), KMER_SEED)))
+
+    return digest(kmer).cast("decimal(20,0)")
+
+
 def canonical_hash(kmer: Column) -> Column:
     """Hash of the canonical form of a k-mer, with the zero byte that ends it."""
-    return murmur64a_column(F.concat(dna.canonical(kmer), F.lit("\0")), KMER_SEED)
+    return kmer_hash(dna.canonical(kmer))

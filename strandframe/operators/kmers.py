@@ -56,15 +56,15 @@ def minimum_coverage(counts: DataFrame, least: int = 1) -> DataFrame:
     return counts.where(F.col("coverage") >= least)
 
 
-def with_minimizer(kmers: DataFrame, k: int, stores: int, width: int = 19) -> DataFrame:
+def with_minimizer(kmers: DataFrame, k: int, stores: int, width: int = 19, hashed: bool = False) -> DataFrame:
     """minimizer and store of each k-mer. Neighbours in a sequence mostly share both, as do the two strands."""
-    out = kmers.withColumn("minimizer", dna.minimizer(F.col("kmer"), k, width))
+    out = kmers.withColumn("minimizer", dna.minimizer(F.col("kmer"), k, width, hashed))
     return out.withColumn("store", F.pmod(F.xxhash64("minimizer"), F.lit(stores)).cast("int"))
 
 
-def partition_by_minimizer(kmers: DataFrame, k: int, partitions: int, width: int = 19) -> DataFrame:
+def partition_by_minimizer(kmers: DataFrame, k: int, partitions: int, width: int = 19, hashed: bool = False) -> DataFrame:
     """Rows placed so that k-mers of one minimizer share a partition."""
-    return with_minimizer(kmers, k, partitions, width).repartition(partitions, "minimizer")
+    return with_minimizer(kmers, k, partitions, width, hashed).repartition(partitions, "minimizer")
 
 
 def partition_by_hash(kmers: DataFrame, partitions: int, kmer: str = "kmer") -> DataFrame:

@@ -33,8 +33,10 @@ def chunked(reads_: DataFrame, k: int, seq: str = "seq", chunk: int = 1024) -> D
     return out
 
 
-def dataset_summary(table: DataFrame, file: str = "file", seq: str = "seq") -> DataFrame:
-    """Reads and bases of each file; null sequences count as reads of no bases."""
+def dataset_summary(table: DataFrame, file: str = "file", seq: str = "seq", pair: str = "pair") -> DataFrame:
+    """Reads, bases and paired reads of each file; null sequences count as reads of no bases, a null pair or one of -1
+    as none."""
+    paired = F.count_if(F.coalesce(F.col(pair), F.lit(-1)) != -1)
     return table.groupBy(file).agg(
-        F.count(F.lit(1)).alias("reads"), F.coalesce(F.sum(F.length(seq)), F.lit(0)).cast("long").alias("bases")
+        F.count(F.lit(1)).alias("reads"), F.coalesce(F.sum(F.length(seq)), F.lit(0)).cast("long").alias("bases"), paired.alias("paired")
     )

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from strandframe.functions import containers as ct
 from strandframe.functions import codec, dna, stats
+from strandframe.functions.hashing import KMER_SEED, MULTIPLIER, SHIFT, canonical_hash, kmer_hash
 from strandframe.operators import graph, kmers, ordered, sequences, skew, unitigs
 from strandframe.operators.observations import counting
 from strandframe.plans.registry import Registry
 from strandframe.session import read_table
-from strandframe.sources.sequences import of_format
+from strandframe.sources import sinks
+from strandframe.sources.sequences import of_format, records_of_buffers
 
 REG = Registry()
 query = REG.add
@@ -28,34 +30,71 @@ def rc(x: str) -> str:
     return f"reverse(translate({x},'ACGT','TGCA'))"
 
 
-R = r"r as materialized (select distinct read_id, regexp_replace(upper(regexp_replace(buffer_for_sequence,'[\r\n]+$','')),'[^ACGT]','A','g') s from sequence_reads)"
-KM = f"{R}, km as (select read_id, i::int - 1 pos, substr(s,i::int,{K}) k from r, unnest(range(1,length(s)-{K}+2)) t(i) where length(s)>={K})"
-V = f"{KM}, v as materialized (select least(k,{rc('k')}) key, count(*) cov from km group by 1)"
-O = f"{V}, o as materialized (select key k, cov from v union all select {rc('key')}, cov from v)"
-ARC = (
-    f"{O}, e1 as (select substr(s,i::int,{K}) src, substr(s,(i+1)::int,{K}) dst from r, unnest(range(1,length(s)-{K}+1)) t(i) where length(s)>{K}), "
-    f"arc as materialized (select distinct src,dst from (select src,dst from e1 union all select {rc('dst')},{rc('src')} from e1))"
-)
-CHOICE = (
-    f"{ARC}, x as (select a.src,a.dst,c.cov cc,n.cov nc,c.cov//4 thr from arc a join o c on c.k=a.src join o n on n.k=a.dst), "
-    "w as (select *, count(*) over (partition by src,nc) same, sum((nc>=thr)::int) over (partition by src) strong from x), "
-    "ch as materialized (select src,dst from w where same=1 and nc<8*cc and cc<8*nc and nc>=thr and strong=1)"
-)
-UNITIG = (
-    f"{CHOICE}, mut as materialized (select a.src,a.dst from ch a join ch b on b.src={rc('a.dst')} and b.dst={rc('a.src')}), "
-    "u as materialized (select src k from mut intersect select dst from mut)"
-)
-BITS = "sum(distinct case right(b,1) when 'A' then 1 when 'C' then 2 when 'G' then 4 when 'T' then 8 end)"
-VERTEX = (
-    f"{ARC}, ch1 as (select src k, {BITS.replace('right(b,1)', 'right(dst,1)')} m from arc group by 1), "
-    f"pa1 as (select dst k, {BITS.replace('right(b,1)', 'left(src,1)')} m from arc group by 1), "
-    "vx as materialized (select o.k, o.cov, coalesce(pa1.m,0)::int parents, coalesce(ch1.m,0)::int children from o left join pa1 on pa1.k=o.k left join ch1 on ch1.k=o.k)"
-)
-PATHS = (
-    f"{UNITIG}, edge as materialized (select m.src,m.dst from mut m where m.src in (select k from u) and m.dst in (select k from u)), "
-    "walk(cur,s) as (select k,k from u where k not in (select dst from edge) union all select e.dst, walk.s||right(e.dst,1) from walk join edge e on e.src=walk.cur), "
-    f"p as (select distinct least(s,{rc('s')}) seq from walk where cur not in (select src from edge))"
-)
+READS = r"r as materialized (select distinct read_id, regexp_replace(upper(regexp_replace(buffer_for_sequence,'[\r\n]+$','')),'[^ACGT]','A','g') s from sequence_reads)"
+
+
+class GraphSql:
+    """CTEs of the graph of a table r (read_id, s), each with all that it needs before it."""
+
+    def __init__(self, k: int = K, reads: str = READS, least: int = 1) -> None:
+        bits = "sum(distinct case {} when 'A' then 1 when 'C' then 2 when 'G' then 4 when 'T' then 8 end)"
+        self.reads = reads
+        self.kmers = f"{reads}, km as (select read_id, i::int - 1 pos, substr(s,i::int,{k}) k from r, unnest(range(1,length(s)-{k}+2)) t(i) where length(s)>={k})"
+        self.counts = f"{self.kmers}, v as materialized (select least(k,{rc('k')}) key, count(*) cov from km group by 1)"
+        self.both = f"{self.counts}, o as materialized (select key k, cov from v union all select {rc('key')}, cov from v)"
+        self.arcs = (
+            f"{self.both}, e1 as (select substr(s,i::int,{k}) src, substr(s,(i+1)::int,{k}) dst from r, unnest(range(1,length(s)-{k}+1)) t(i) where length(s)>{k}), "
+            f"arc as materialized (select distinct src,dst from (select src,dst from e1 union all select {rc('dst')},{rc('src')} from e1))"
+        )
+        self.choice = (
+            f"{self.arcs}, x as (select a.src,a.dst,c.cov cc,n.cov nc,c.cov//4 thr from arc a join o c on c.k=a.src join o n on n.k=a.dst), "
+            "w as (select *, count(*) over (partition by src,nc) same, sum((nc>=thr)::int) over (partition by src) strong from x), "
+            f"ch as materialized (select src,dst from w where same=1 and nc<8*cc and cc<8*nc and nc>=thr and strong=1 and nc>={least})"
+        )
+        self.unitig = (
+            f"{self.choice}, mut as materialized (select a.src,a.dst from ch a join ch b on b.src={rc('a.dst')} and b.dst={rc('a.src')}), "
+            "u as materialized (select src k from mut intersect select dst from mut)"
+        )
+        self.vertex = (
+            f"{self.arcs}, ch1 as (select src k, {bits.format('right(dst,1)')} m from arc group by 1), pa1 as (select dst k, {bits.format('left(src,1)')} m from arc group by 1), "
+            "vx as materialized (select o.k, o.cov, coalesce(pa1.m,0)::int parents, coalesce(ch1.m,0)::int children from o left join pa1 on pa1.k=o.k left join ch1 on ch1.k=o.k)"
+        )
+        self.edges = f"{self.unitig}, edge as materialized (select m.src,m.dst from mut m where m.src in (select k from u) and m.dst in (select k from u))"
+        self.paths = (
+            f"{self.edges}, walk(cur,s) as (select k,k from u where k not in (select dst from edge) union all select e.dst, walk.s||right(e.dst,1) from walk join edge e on e.src=walk.cur), "
+            f"p as (select distinct least(s,{rc('s')}) seq from walk where cur not in (select src from edge))"
+        )
+        # from every vertex once around, as long as none is met that is lower than the first
+        self.cycles = (
+            f"{self.edges}, ring(start,cur,s,m,closed) as (select src,src,src,least(src,{rc('src')}),false from edge "
+            f"union all select start, e.dst, case when e.dst=start then s else s||right(e.dst,1) end, least(m, e.dst, {rc('e.dst')}), e.dst=start from ring join edge e on e.src=ring.cur where not closed and e.dst>=start), "
+            "c as (select min(s) seq from ring where closed group by m)"
+        )
+
+
+G = GraphSql()
+R, KM, V, ARC, CHOICE, UNITIG, VERTEX, PATHS = G.reads, G.kmers, G.counts, G.arcs, G.choice, G.unitig, G.vertex, G.paths
+#: The other k of the registered queries, of words that are text, and the coverage asked for there.
+LONG_K, COVERED = 43, 2
+LONG = GraphSql(LONG_K, least=COVERED)
+#: Circular reads: each visited k-mer followed by its own beginning.
+RINGS = GraphSql(reads=f"n as (select distinct regexp_replace(upper(main_kmer),'[^ACGT]','A','g') s from vertex_neighborhoods where length(main_kmer)>={K}), r as materialized (select 0 read_id, s||left(s,{K}) s from n)")
+
+
+def murmur_sql(table: str, text: str, seed: int, out: str) -> str:
+    """CTEs from `table` to `out`, which has its columns and h, MurmurHash64A of an ASCII text and the zero byte after
+    it, as the engine has it."""
+    m, mod, n = f"{MULTIPLIER}::uhugeint", f"{1 << 64}::uhugeint", f"(length({text})+1)"
+    byte = f"greatest(0,ord(substr({text},(i*8+j)::int,1)))::uhugeint"  # 0 beyond the end
+    word = f"list_reduce(list_transform([8,7,6,5,4,3,2,1], lambda j: {byte}), lambda a, b: a*256::uhugeint+b)"
+    return (
+        f"{out}_1 as (select *, list_transform(range(0,{n}//8), lambda i: ({word}*{m})%{mod}) w_, case when {n}%8>0 then (select {word} from (select {n}//8 i)) end t_ from {table}), "
+        f"{out}_2 as (select * exclude (w_), list_reduce(list_transform(w_, lambda x: (xor(x,x>>{SHIFT})*{m})%{mod}), lambda a, b: (xor(a,b)*{m})%{mod}, xor({seed}::uhugeint,{n}::uhugeint)) a_ from {out}_1), "
+        f"{out}_3 as (select * exclude (a_, t_), case when t_ is null then a_ else (xor(a_,t_)*{m})%{mod} end b_ from {out}_2), "
+        f"{out}_4 as (select * exclude (b_), (xor(b_,b_>>{SHIFT})*{m})%{mod} c_ from {out}_3), {out} as (select * exclude (c_), xor(c_,c_>>{SHIFT}) h from {out}_4)"
+    )
+
+
 #: Rows of kmers that count, each once, with their key.
 COUNTING = (
     "c0 as (select distinct obs_id, block_id, kmer_length, regexp_replace(translate(kmer,'acgt','ACGT'),'[^ACGT]','A','g') k from kmers where length(kmer)=kmer_length), "
@@ -143,11 +182,38 @@ def merged_inputs(spark: SparkSession, d: str) -> DataFrame:
     return names[0].union(names[1]).union(names[2]).groupBy("file").agg(F.count(F.lit(1)).alias("reads"))
 
 
-@query(sql="select file, count(*) reads, coalesce(sum(length(seq)),0)::bigint bases from sequence_reads group by 1")
+@query(sql="select file, count(*) reads, coalesce(sum(length(seq)),0)::bigint bases, count_if(coalesce(pair,-1)<>-1)::bigint paired from sequence_reads group by 1")
 def dataset_summary(spark: SparkSession, d: str) -> DataFrame:
     return sequences.dataset_summary(read_table(spark, d, "sequence_reads"))
 
 
+_FASTQ = "regexp_matches(coalesce(file,''), '\\.(fq|fastq)(\\.gz)?$')"
+
+
+@query(sql=f"""with b as (select stream_id, string_split(chr(10)||buffer, chr(10)||'>') p from input_streams where buffer is not null and not {_FASTQ}),
+q as (select distinct stream_id, i::int - 2 record, p[i::int] t from b, unnest(range(2,len(p)+1)) x(i))
+select stream_id, record, rtrim(case when contains(t,chr(10)) then split_part(t,chr(10),1) else t end, chr(13)) name, case when contains(t,chr(10)) then regexp_replace(substr(t,strpos(t,chr(10))+1),'[\r\n]','','g') else '' end seq from q""")
+def fasta_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Records of the buffers of FASTA files."""
+    return records_of_buffers(read_table(spark, d, "input_streams"), "fasta", "stream_id", "file", "buffer").distinct()
+
+
+@query(sql=f"""with b as (select stream_id, string_split(buffer, chr(10)) l from input_streams where buffer is not null and {_FASTQ}),
+q as (select distinct stream_id, i::int record, rtrim(l[i*4+1],chr(13)) a, rtrim(l[i*4+2],chr(13)) s, l[i*4+3] p from b, unnest(range(0,len(l)//4+1)) x(i))
+select stream_id, record, substr(a,2) name, s seq from q where a like '@%' and p like '+%'""")
+def fastq_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Records of the buffers of FASTQ files."""
+    return records_of_buffers(read_table(spark, d, "input_streams"), "fastq", "stream_id", "file", "buffer").distinct()
+
+
+@query(sql=f"with {R}, t as (select read_id, s, case when length(s)>=6 then substr(s,1,1)||reverse(substr(s,2,4))||substr(s,6) else s end turned, case when length(s)>=6 then substr(s,5,1)||substr(s,2,3)||substr(s,1,1)||substr(s,6) else s end swapped from r) select read_id, turned, swapped from t")
+def string_ops(spark: SparkSession, d: str) -> DataFrame:
+    """A range of letters reversed, and two letters swapped."""
+    s = F.col("seq")
+    long = F.length(s) >= 6
+    return _reads(spark, d).select("read_id", F.when(long, dna.reverse_range(s, 1, 4)).otherwise(s).alias("turned"), F.when(long, dna.swap(s, 0, 4)).otherwise(s).alias("swapped"))
+
+
 # ---- k-mers --------------------------------------------------------------------------------------------------
 
 
@@ -310,25 +376,72 @@ def unitig_vertices(spark: SparkSession, d: str) -> DataFrame:
     return unitigs.unitig_vertices(_reads(spark, d), K)
 
 
-@query(sql=PATHS.join(["with recursive ", " select seq from p"]))
+@query(sql=f"with recursive {PATHS} select seq from p")
 def unitig_paths(spark: SparkSession, d: str) -> DataFrame:
     return unitigs.assemble(_reads(spark, d), K, minimum_length=0).where("circular = 0").select("seq")
 
 
-@query(sql=PATHS.join(["with recursive ", " select seq, length(seq)::int n from p where length(seq)>=100"]))
+@query(sql=f"with recursive {PATHS} select seq, length(seq)::int n from p where length(seq)>=100")
 def unitig_assembly(spark: SparkSession, d: str) -> DataFrame:
     return unitigs.assemble(_reads(spark, d), K).where("circular = 0").select("seq", F.length("seq").alias("n"))
 
 
-@query()
+@query(sql=f"with recursive {RINGS.cycles} select seq, length(seq)::int n from c")
 def unitig_cycles(spark: SparkSession, d: str) -> DataFrame:
-    return unitigs.assemble(_reads(spark, d), K, minimum_length=0).where("circular = 1")
+    """Circular unitigs of reads that end as they begin."""
+    s = dna.normalize(F.col("main_kmer"))
+    rings = read_table(spark, d, "vertex_neighborhoods").where(F.length("main_kmer") >= K).select(F.concat(s, s.substr(1, K)).alias("seq")).distinct()
+    return unitigs.assemble(rings, K, minimum_length=0).where("circular = 1").select("seq", F.length("seq").alias("n"))
+
+
+@query(sql=f"with {LONG.counts} select key kmer, cov coverage from v where cov>={COVERED}")
+def long_kmer_count(spark: SparkSession, d: str) -> DataFrame:
+    """k = 43: k-mers as text."""
+    return kmers.minimum_coverage(kmers.count(_reads(spark, d), LONG_K), COVERED)
+
+
+@query(sql=f"with {LONG.vertex} select k kmer, cov::int coverage, parents, children from vx where k<={rc('k')}")
+def long_vertices(spark: SparkSession, d: str) -> DataFrame:
+    return graph.vertices(_reads(spark, d), LONG_K)
+
+
+@query(sql=f"with {LONG.choice} select src, dst from ch")
+def covered_choice(spark: SparkSession, d: str) -> DataFrame:
+    """k = 43 and neighbours of coverage 2 at least."""
+    return unitigs.choices(_reads(spark, d), LONG_K, minimum_coverage=COVERED)
+
+
+@query(sql=f"with recursive {LONG.paths} select seq, length(seq)::int n from p where length(seq)>=60")
+def covered_assembly(spark: SparkSession, d: str) -> DataFrame:
+    """k = 43, neighbours of coverage 2 at least, unitigs of 60 letters at least."""
+    return unitigs.assemble(_reads(spark, d), LONG_K, COVERED, 60).where("circular = 0").select("seq", F.length("seq").alias("n"))
+
+
+_ENDS = f"e as (select seq, least(least(left(seq,{K}),{rc(f'left(seq,{K})')}), least(right(seq,{K}),{rc(f'right(seq,{K})')})) low from p where length(seq)>=100)"
+
+
+@query(sql=f"with recursive {PATHS}, {_ENDS}, {murmur_sql('e', 'low', KMER_SEED, 'n')} select seq, h::varchar name from n")
+def unitig_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names of contigs: the hash of the lower of the two end k-mers."""
+    paths = unitigs.assemble(_reads(spark, d), K).where("circular = 0")
+    return paths.select("seq", sinks.path_name_column(F.col("seq"), K).cast("string").alias("name"))
+
+
+_VISITED = "v as (select distinct upper(main_kmer) kmer from vertex_neighborhoods where main_kmer is not null), w as (select kmer, least(kmer,reverse(translate(kmer,'ACGT','TGCA'))) low from v)"
+
+
+@query(sql=f"with {_VISITED}, {murmur_sql('w', 'kmer', KMER_SEED, 'a')}, a2 as (select kmer, low, h own from a), {murmur_sql('a2', 'low', KMER_SEED, 'b')} select kmer, own::varchar hash, h::varchar canonical_hash from b")
+def kmer_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """MurmurHash64A of visited k-mers and of their canonical form."""
+    k = F.col("kmer")
+    rows = read_table(spark, d, "vertex_neighborhoods").where("main_kmer is not null").select(F.upper("main_kmer").alias("kmer")).distinct()
+    return rows.select("kmer", kmer_hash(k).cast("string").alias("hash"), canonical_hash(k).cast("string").alias("canonical_hash"))
 
 
 # ---- containers ----------------------------------------------------------------------------------------------
 
 
-@query(sql="with a as (select o_custkey, list(o_orderkey order by o_orderkey) v from orders group by 1) select o_custkey, v[1] first_key, v[len(v)//2+1] middle_key, v[len(v)] last_key, (coalesce(list_position(v, v[2]),0)-1)::int at_second, len(v[2:3])::int copied, array_to_string(list_reverse_sort(v),',') descending from a")
+@query(sql="with a as (select o_custkey, list(o_orderkey order by o_orderkey) v from orders group by 1) select o_custkey, (select string_agg(x::varchar, ',' order by x%10, x desc) from unnest(v) z(x)) by_last_digit, v[1] first_key, v[len(v)//2+1] middle_key, v[len(v)] last_key, (coalesce(list_position(v, v[2]),0)-1)::int at_second, len(v[2:3])::int copied, array_to_string(list_reverse_sort(v),',') descending from a")
 def vector_ops(spark: SparkSession, d: str) -> DataFrame:
     a = read_table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("v"))
     v = F.col("v")
@@ -336,16 +449,18 @@ def vector_ops(spark: SparkSession, d: str) -> DataFrame:
     return a.select(
         "o_custkey", ct.first(v).alias("first_key"), ct.middle(v).alias("middle_key"), ct.last(v).alias("last_key"), at.alias("at_second"),
         F.size(ct.copy_range(v, 1, 2)).alias("copied"), F.array_join(F.sort_array(v, False), ",").alias("descending"),
+        F.array_join(ct.sort_by(v, lambda a, b: (a % 10 - b % 10) * 2 + F.signum(b - a)), ",").alias("by_last_digit"),
     )
 
 
-@query(sql="with a as (select l_orderkey, list(distinct l_returnflag) f, list(distinct l_linestatus) s from lineitem group by 1) select l_orderkey, len(list_distinct(list_concat(f,s)))::int n_union, len(list_intersect(f,['A','R']))::int n_common, list_contains(f,'N') has_n, len(list_filter(f, lambda x: x<>'N'))::int n_without from a")
+@query(sql="with a as (select l_orderkey, list(distinct l_returnflag) f, list(distinct l_linestatus) s from lineitem group by 1) select l_orderkey, len(list_distinct(list_concat(f,s)))::int n_union, len(list_intersect(f,['A','R']))::int n_common, list_contains(f,'N') has_n, len(list_filter(f, lambda x: x<>'N'))::int n_without, true any_is_in from a")
 def set_ops(spark: SparkSession, d: str) -> DataFrame:
     a = read_table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_returnflag").alias("f"), F.collect_set("l_linestatus").alias("s"))
     ar = F.array(F.lit("A"), F.lit("R"))
     return a.select(
         "l_orderkey", F.size(F.array_union("f", "s")).alias("n_union"), F.size(F.array_intersect("f", ar)).alias("n_common"),
         F.array_contains("f", "N").alias("has_n"), F.size(F.array_except("f", F.array(F.lit("N")))).alias("n_without"),
+        F.array_contains("f", ct.any_element(F.col("f"))).alias("any_is_in"),
     )
 
 
@@ -390,6 +505,17 @@ def streaming_kmer_count(spark: SparkSession, d: str) -> DataFrame:
     return count_available(spark, stream.select(dna.normalize(F.col("buffer_for_sequence")).alias("seq")), K)
 
 
+@query(sql="select file, count(*) reads, coalesce(sum(length(seq)),0)::bigint bases from sequence_reads where file is not null group by 1")
+def streaming_read_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Reads and bases of each file, by an operator that keeps state of its own."""
+    from strandframe.streaming.kmers import last_updates
+    from strandframe.streaming.state import read_totals
+
+    schema = read_table(spark, d, "sequence_reads").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(f"{d}/sequence_reads.parque[t]")
+    return last_updates(spark, read_totals(stream), "file", "reads")
+
+
 # ---- p3: a few keys holding most records ---------------------------------------------------------------------
 
 

@@ -1,26 +1,56 @@
-"""Writers: coverage distributions, the graph summary as XML, unitigs as FASTA."""
+"""Writers: coverage distributions, the graph summary as XML, unitigs as FASTA; all on any Hadoop file system."""
 
 from __future__ import annotations
 
-from pathlib import Path
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandframe.functions.hashing import KMER_SEED, SIGNATURE_SEED, canonical_hash, murmur64a, murmur64a_column
 from strandframe.functions import dna
 
+#: Characters sent to a file at once.
+CHUNK = 1 << 16
+
+
+def _at(spark: SparkSession, path: str):
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(context._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, place = _at(spark, path)
+    return system.exists(place)
+
+
+def write_file(spark: SparkSession, path: str, lines: Iterable[str]) -> None:
+    """One text file; folders above it are made, a file that is there is replaced."""
+    system, place = _at(spark, path)
+    out, held, size = system.create(place, True), [], 0
+    try:
+        for line in lines:
+            held.append(line + "\n")
+            size += len(line) + 1
+            if size >= CHUNK:
+                out.write("".join(held).encode())
+                held, size = [], 0
+        if held:
+            out.write("".join(held).encode())
+    finally:
+        out.close()
+
 
 def write_coverage_distribution(histogram: DataFrame, folder: str) -> None:
     """coverage_distribution.txt (header, tabs, both strands) and coverage_distribution.txt-canonical (no header,
     spaces). A histogram has one row for each coverage that occurs; it is written row by row, as one file needs."""
-    target = Path(folder)
-    target.mkdir(parents=True, exist_ok=True)
-    with (target / "coverage_distribution.txt").open("w", newline="\n") as both, (target / "coverage_distribution.txt-canonical").open("w", newline="\n") as one:
-        both.write("Coverage\tFrequency\n")
-        for row in histogram.orderBy("coverage").toLocalIterator():
-            both.write(f"{row['coverage']}\t{2 * row['frequency']}\n")
-            one.write(f"{row['coverage']} {row['frequency']}\n")
+    spark, rows = histogram.sparkSession, histogram.orderBy("coverage")
+    table = rows.toLocalIterator()
+    kept = [(r["coverage"], r["frequency"]) for r in table]  # as many as there are different coverages
+    both = (f"{c}\t{2 * n}" for c, n in kept)
+    write_file(spark, f"{folder}/coverage_distribution.txt", ["Coverage\tFrequency", *both])
+    write_file(spark, f"{folder}/coverage_distribution.txt-canonical", (f"{c} {n}" for c, n in kept))
 
 
 def write_summary(summary: DataFrame, degrees: DataFrame, k: int, folder: str) -> None:
@@ -33,9 +63,14 @@ def write_summary(summary: DataFrame, degrees: DataFrame, k: int, folder: str) -
         inside = "".join(f"<{name}>{r[name]}</{name}>" for name in ("parent_count", "child_count", "frequency"))
         lines.append(f"    <class>{inside}</class>")
     lines += ["</connectivity>", "</assembly_graph_summary>"]
-    target = Path(folder)
-    target.mkdir(parents=True, exist_ok=True)
-    (target / "assembly_graph_summary.xml").write_text("\n".join(lines) + "\n")
+    write_file(summary.sparkSession, f"{folder}/assembly_graph_summary.xml", lines)
+
+
+def write_bucketed(df: DataFrame, table: str, column: str = "kmer", buckets: int = 64) -> DataFrame:
+    """df as a table bucketed and sorted by a column. Two such tables, of vertices and of arcs by the vertex that they
+    leave, join without an exchange."""
+    df.write.mode("overwrite").bucketBy(buckets, column).sortBy(column).saveAsTable(table)
+    return df.sparkSession.table(table)
 
 
 def path_name(seq: str, k: int) -> int:
@@ -44,10 +79,14 @@ def path_name(seq: str, k: int) -> int:
     return murmur64a(min(ends).encode() + b"\0", KMER_SEED)
 
 
+def path_name_column(seq: Column, k: int) -> Column:
+    """The same of a column, as decimal(20,0)."""
+    return canonical_hash(F.least(dna.canonical(seq.substr(F.lit(1), F.lit(k))), dna.canonical(F.right(seq, F.lit(k)))))
+
+
 def fasta_records(paths: DataFrame, k: int, width: int = 80) -> DataFrame:
     """One column value: header with name, length, circular flag and signature, then lines of `width` letters."""
-    ends = F.least(dna.canonical(F.col("seq").substr(F.lit(1), F.lit(k))), dna.canonical(F.right("seq", F.lit(k))))
-    name = canonical_hash(ends)
+    name = path_name_column(F.col("seq"), k)
     signature = F.lower(F.conv(murmur64a_column(F.col("seq"), SIGNATURE_SEED).cast("string"), 10, 16))
     header = F.format_string(">path_%s length=%d circular=%d signature=%s", name.cast("string"), F.length("seq"), "circular", signature)
     body = F.regexp_replace("seq", f"(.{{{width}}})(?=.)", "$1\n")

@@ -17,6 +17,17 @@ def incremental_counts(stream: DataFrame, k: int, seq: str = "seq") -> DataFrame
     return kmers.count(stream, k, seq)
 
 
+def last_updates(spark: SparkSession, updates: DataFrame, key: str, order: str) -> DataFrame:
+    """What a stream of updates has come to after one availableNow run: for each key the row with the largest `order`,
+    which must grow from batch to batch."""
+    base = os.path.join(ensure_checkpoint_dir(spark), f"stream-{uuid.uuid4().hex}")
+    query = updates.writeStream.outputMode("update").foreachBatch(lambda b, i: b.write.mode("append").parquet(f"{base}/out")).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    rest = [c for c in updates.columns if c != key]
+    rows = spark.read.schema(updates.schema).parquet(f"{base}/out")
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(key, "r.*")
+
+
 def count_available(spark: SparkSession, stream: DataFrame, k: int) -> DataFrame:
     """All that a stream holds now, counted by one availableNow run. State, offsets and results lie in the shared
     folder; the result is what the last batch wrote."""

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -13,6 +14,6 @@ from strandframe.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session("tests", "local[8]", 8, **{"spark.driver.memory": "6g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
+    s = build_session("tests", "local[8]", 8, **{"spark.driver.memory": "6g", "spark.ui.enabled": "false", "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="warehouse-"), "spark.ui.showConsoleProgress": "false"})
     s.sparkContext.setLogLevel("ERROR")
     return s

@@ -10,12 +10,14 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strandframe.functions import codec, dna, stats, words
-from strandframe.functions.hashing import KMER_SEED, MULTIPLIER, canonical_hash, murmur64a
+from strandframe.functions import containers as ct
+from strandframe.functions.hashing import KMER_SEED, MULTIPLIER, canonical_hash, murmur64a, packed_hash
 from strandframe.operators import graph, kmers, ordered, skew, unitigs
 from strandframe.plans.queries import REG
+from strandframe.sources import ranges, sinks
 from strandframe.sources import sequences as src
-from strandframe.sources import sinks
-from strandframe.streaming.kmers import count_available
+from strandframe.streaming.kmers import count_available, last_updates
+from strandframe.streaming.state import read_totals
 
 COMP = str.maketrans("ACGT", "TGCA")
 
@@ -385,6 +387,79 @@ def test_fastq(spark, tmp_path):
         assert got == [("r1 x", "ACGT"), ("r2", "GGCC"), ("r3", "TT")]
 
 
+@pytest.mark.parametrize("size", [1, 7, 50, 1000, 10**6])
+def test_ranges(spark, tmp_path, size):
+    """Byte ranges of any size give every record once; quality lines that look like identifiers don't mislead."""
+    rng = random.Random(3)
+    want = [(f"r{i} x", "".join(rng.choice("ACGT") for _ in range(rng.randrange(0, 40)))) for i in range(30)]
+    (tmp_path / "a.fq").write_bytes("".join(f"@{n}\n{s}\n+\n{'@+'[i % 2] * len(s)}\n" for i, (n, s) in enumerate(want)).encode())
+    (tmp_path / "a.fa").write_bytes(("junk\n" + "".join(f">{n}\r\n{s[:9]}\r\n{s[9:]}\r\n" for n, s in want)).encode().rstrip())
+    for name in ("a.fq", "a.fa"):
+        path = str(tmp_path / name)
+        whole = (tmp_path / name).stat().st_size
+        got = [x for at in range(0, whole, size) for x in ranges.RangeReader(path, at, min(whole, at + size)).open()]
+        assert got == want
+    if size == 1000:
+        ranges.register(spark)
+        (tmp_path / "b.fq.gz").write_bytes(gzip.compress(b"@z\nGG\n+\nII\n"))
+        paths_ = ",".join(str(tmp_path / x) for x in ("a.fq", "b.fq.gz"))
+        df = spark.read.format("sequences").option("range_bytes", 500).load(paths_)
+        assert sorted((r["name"], r["seq"]) for r in df.collect()) == sorted([*want, ("z", "GG")])
+
+
+def test_reader_errors(tmp_path):
+    (tmp_path / "a.fa").write_text(">a\nAC\n")
+    reader = ranges.RangeReader(str(tmp_path / "a.fa"))
+    with pytest.raises(src.InputNotOpen):
+        reader.next()
+    reader.open()
+    with pytest.raises(src.InputAlreadyOpen):
+        reader.open()
+    assert reader.next() == ("a", "AC")
+    with pytest.raises(src.InputAtEnd):
+        reader.next()
+    reader.close()
+    with pytest.raises(src.InputNotFound):
+        ranges.RangeReader(str(tmp_path / "b.fa")).open()
+    kinds = (src.InputError, src.InputNotFound, src.InputNotSupported, src.InputAlreadyOpen, src.InputNotOpen, src.InputAtEnd)
+    assert [k.code for k in kinds] == [-1, -2, -3, -4, -5, -6]
+
+
+def test_records_of_buffers(spark):
+    rows = [(1, "x.fa", "junk\n>a\nAC\n>b\r\nG\r\nT"), (2, None, ""), (3, "x.fq", "@r\nAC\n+\nII\nxx\nGG\n+\nII\n@s\r\nTT\r\n+\r\nII"), (4, "x.fq", None), (None, "y.fq.gz", "@q\n\n+\n\n")]
+    df = spark.createDataFrame(rows, "k long, f string, b string").selectExpr("*", "1 as id", "2 as record")
+    assert [tuple(r) for r in src.records_of_buffers(df, "fasta", "k", "f", "b").collect()] == [(1, 0, "a", "AC"), (1, 1, "b", "GT")]
+    assert sorted(map(tuple, src.records_of_buffers(df, "fastq", "k", "f", "b").collect()), key=str) == [(3, 0, "r", "AC"), (3, 2, "s", "TT"), (None, 0, "q", "")]
+    assert src.records_of_buffers(df.limit(0), "fastq", "k", "f", "b").count() == 0
+
+
+def test_small_functions(spark):
+    assert one(spark, dna.reverse_range(F.lit("0123456789"), 2, 4)) == "0143256789" and one(spark, dna.swap(F.lit("abcd"), 3, 1)) == "adcb"
+    assert one(spark, dna.swap(F.lit("ab"), 0, 5)) == "ab" and one(spark, dna.reverse_range(F.lit(None).cast("string"), 0, 1)) is None
+    v = F.array(*[F.lit(x) for x in (31, 2, 12, 1)])
+    assert one(spark, ct.sort_by(v, lambda a, b: a % 10 - b % 10)) in ([31, 1, 2, 12], [1, 31, 2, 12]) and one(spark, ct.any_element(v)) == 31
+    assert one(spark, ct.any_element(F.array().cast("array<int>"))) is None
+    two = spark.createDataFrame([("ACGTTGCATTAGACCAGTAAC",), (rc("ACGTTGCATTAGACCAGTAAC"),)], "kmer string")
+    assert kmers.with_minimizer(two, 21, 8, hashed=True).select("minimizer", "store").distinct().count() == 1
+    assert str(one(spark, packed_hash(F.lit("ACGT")))) == str(murmur64a(codec.pack("ACGT"), KMER_SEED))
+
+
+def test_bucketed_join(spark, tmp_path):
+    """Vertices and arcs in tables of the same buckets join without an exchange."""
+    df = reads_of(spark, "ACGTTGCATTAGACCAGT", "ACGTTGCATT")
+    v = graph.vertices(df, 7)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        a, b = (sinks.write_bucketed(x, name, "kmer", 4) for x, name in ((v, "bucketed_vertices"), (graph.observed_arcs(df, 7), "bucketed_arcs")))
+        joined = b.join(a, "kmer")
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == b.count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        for name in ("bucketed_vertices", "bucketed_arcs"):
+            spark.sql(f"drop table if exists {name}")
+
+
 def test_formats():
     assert [src.format_of(x) for x in ("a.fa", "a.fasta.gz", "a.fq", "a.fastq.gz")] == ["fasta", "fasta", "fastq", "fastq"]
     with pytest.raises(src.InputNotSupported):
@@ -445,5 +520,14 @@ def test_streaming(spark, tmp_path):
     assert got == plain_counts(texts, 7)
 
 
-def test_every_query_has_sql_but_one():
-    assert set(REG.queries) - set(REG.sql) == {"unitig_cycles"}
+def test_state_of_a_stream(spark, tmp_path):
+    rows = [("a", "ACGT"), ("a", None), ("b", ""), (None, "ACG"), ("a", "AC")]
+    for i, r in enumerate(rows):
+        spark.createDataFrame([r], "file string, seq string").write.parquet(str(tmp_path / f"in/{i}"))
+    stream = spark.readStream.schema("file string, seq string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    got = {tuple(r) for r in last_updates(spark, read_totals(stream), "file", "reads").collect()}
+    assert got == {("a", 3, 6), ("b", 1, 0)}
+
+
+def test_every_query_has_sql():
+    assert set(REG.queries) == set(REG.sql)
