@@ -159,7 +159,7 @@ def neighbourhoods(vertices_: DataFrame) -> DataFrame:
 
 
 def dangling_arcs(vertices_: DataFrame) -> DataFrame:
-    """Arcs whose end isn't a vertex; a data check that gives no rows."""
+    """Arcs whose end isn't among the vertices; none of all vertices of some reads, but of a part of them."""
     ends = arcs(vertices_).withColumn("kmer", dna.canonical(F.col("dst")))
     return ends.join(vertices_.select("kmer"), "kmer", "left_anti").select("src", "dst")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from strandframe.functions.hashing import KMER_SEED, MULTIPLIER, SHIFT, canonica
 from strandframe.operators import graph, kmers, ordered, sequences, skew, unitigs
 from strandframe.operators.observations import counting
 from strandframe.plans.registry import Registry
-from strandframe.session import read_table
+from strandframe.session import ensure_checkpoint_dir, read_table
 from strandframe.sources import sinks
 from strandframe.sources.sequences import of_format, records_of_buffers
 
@@ -338,6 +340,15 @@ def _near(side: str) -> str:
     return f"with {ARC} select a.{a} kmer, x.cov::int coverage, a.{b} neighbour, y.cov::int neighbour_coverage from arc a join o x on x.k=a.{a} join o y on y.k=a.{b} where a.{a}<={rc('a.' + a)}"
 
 
+@query(sql=f"with {ARC}, t as (select src kmer, 'CHILD' \"type\", right(dst,1) base from arc where src<={rc('src')} union all select dst, 'PARENT', left(src,1) from arc where dst<={rc('dst')}) select t.*, o.cov::int coverage from t join o on o.k=t.kmer")
+def copartitioned_arcs(spark: SparkSession, d: str) -> DataFrame:
+    """Arcs with the coverage of their vertex, from two tables bucketed alike, which join without an exchange."""
+    name = f"{ensure_checkpoint_dir(spark)}/buckets-{uuid4().hex}"
+    tables = {"arcs": graph.observed_arcs(_reads(spark, d), K), "vertices": _vertices(spark, d).select("kmer", "coverage")}
+    arcs, vertices = (sinks.write_bucketed(df, f"{t}_{uuid4().hex}", "kmer", 16, f"{name}/{t}") for t, df in tables.items())
+    return arcs.join(vertices, "kmer")
+
+
 @query(sql=_near("parents"))
 def vertex_parents(spark: SparkSession, d: str) -> DataFrame:
     return graph.neighbours(_vertices(spark, d), "parents")
@@ -356,9 +367,10 @@ def vertex_neighbourhood(spark: SparkSession, d: str) -> DataFrame:
     return n.select("kmer", "coverage", F.greatest(size("parents"), F.lit(0)).alias("parents"), F.greatest(size("children"), F.lit(0)).alias("children"), F.coalesce(bases, F.lit("")).alias("parent_bases"))
 
 
-@query(sql=f"with {ARC} select src, dst from arc where dst not in (select k from o)")
+@query(sql=f"with {ARC}, o2 as materialized (select k from o where cov>=2) select src, dst from arc where src in (select k from o2) and dst not in (select k from o2)")
 def dangling_arcs(spark: SparkSession, d: str) -> DataFrame:
-    return graph.dangling_arcs(_vertices(spark, d))
+    """Arcs of vertices of coverage 2 at least whose end has less. Of all vertices no arc ends nowhere."""
+    return graph.dangling_arcs(_vertices(spark, d).where("coverage >= 2"))
 
 
 @query(sql=f"with {CHOICE} select src, dst from ch")

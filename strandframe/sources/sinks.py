@@ -66,10 +66,11 @@ def write_summary(summary: DataFrame, degrees: DataFrame, k: int, folder: str) -
     write_file(summary.sparkSession, f"{folder}/assembly_graph_summary.xml", lines)
 
 
-def write_bucketed(df: DataFrame, table: str, column: str = "kmer", buckets: int = 64) -> DataFrame:
-    """df as a table bucketed and sorted by a column. Two such tables, of vertices and of arcs by the vertex that they
-    leave, join without an exchange."""
-    df.write.mode("overwrite").bucketBy(buckets, column).sortBy(column).saveAsTable(table)
+def write_bucketed(df: DataFrame, table: str, column: str = "kmer", buckets: int = 64, folder: str | None = None) -> DataFrame:
+    """df as a table bucketed and sorted by a column, in a folder or in the warehouse. Two such tables, of vertices and
+    of arcs by the vertex that they leave, join without an exchange."""
+    writer = df.write.mode("overwrite").bucketBy(buckets, column).sortBy(column)
+    (writer.option("path", folder) if folder else writer).saveAsTable(table)
     return df.sparkSession.table(table)
 
 
