@@ -26,6 +26,8 @@ def standard_error(precision: int = PRECISION) -> float:
 def with_register(df: DataFrame, value: Column, precision: int = PRECISION) -> DataFrame:
     """Adds register and rank of the value's MD5: the first `precision` bits, a multiple of 4, name the register,
     the next 52 bits give the rank."""
+    if precision % 4 or not 4 <= precision <= 24:
+        raise ValueError("precision must be 4, 8, 12, 16, 20 or 24")
     digits = precision // 4
     x = F.conv(F.col("_h").substr(digits + 1, 13), 16, 10).cast("long")
     rank = F.when(x == 0, F.lit(53)).otherwise(F.lit(53) - F.length(F.bin(x)))

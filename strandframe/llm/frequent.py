@@ -13,10 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandframe.session import checkpointed
+from strandframe.session import checkpointed, written
 
 BUCKETS, SLOTS, LIGHT = 1024, 4, 1 << 14
 #: Votes against a bucket, as a multiple of its smallest counter, that evict it.
@@ -116,61 +116,55 @@ def sketch(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return heavy, light
 
 
+def _first(df: DataFrame, n: int, *order: Column) -> DataFrame:
+    """The first n rows of each group."""
+    return df.withColumn("p", F.row_number().over(Window.partitionBy("grp").orderBy(*order))).where(F.col("p") <= n).drop("p")
+
+
+def _counted(rows: DataFrame, chosen: DataFrame, id: str) -> DataFrame:
+    """chosen (grp, value, votes, light) with n, the distinct ids of each. Rows only travel if they are chosen: as chosen
+    is a small written table, it is sent to all tasks; should it ever be large, the join is an exchange."""
+    key = F.xxhash64("grp", "value")
+    own = chosen.select(F.col("grp").alias("g"), F.col("value").alias("v"), key.alias("no"))
+    hits = rows.join(own, F.col("grp").eqNullSafe(F.col("g")) & (F.col("value") == F.col("v"))).select("no", id).distinct()
+    n = hits.groupBy("no").agg(F.count(F.lit(1)).alias("n"))
+    return chosen.withColumn("no", key).join(n, "no").select("grp", "value", "n", "votes", "light")
+
+
 def most_frequent(rows: DataFrame, top: int, id: str) -> DataFrame:
     """(grp, value, n, votes, light): the `top` values of each group with the most distinct ids, ties by value, with
     their exact counts n and what the sketch knew: votes <= rows <= votes + light.
 
     rows has grp (int, may be null), value (string; a null value is never among the results) and an id, which
     repeated rows share; rows with a null id are told apart by nothing and count once. Repeated rows only raise the
-    sketch's bounds, so they are removed in the exact count alone. The driver holds counters of the sketch, never
-    rows.
+    sketch's bounds, so they are removed in the exact count alone. Nothing is collected: counters, candidates and places
+    are tables of at most BUCKETS * SLOTS + LIGHT rows a group.
+
+    Counted exactly are the candidates with the most votes; then, should there be any, the values that the sketch can't
+    exclude: those with a counter that may reach the last place, and all in a cell of the array that may. On a column
+    so flat that its cells reach the last place, that is an exact count of every value by an exchange.
     """
     rows = rows.select("grp", "value", id)
-    heavy, light = sketch(rows)
-    counters: dict = {}
-    for r in heavy.collect():  # BUCKETS * SLOTS rows a group at most
-        counters.setdefault(r["grp"], []).append((r["votes"], r["light"], r["value"]))
-    cells: dict = {}
-    for r in light.collect():  # LIGHT rows a group at most
-        cells.setdefault(r["grp"], {})[r["cell"]] = r["n"]
-    spark = rows.sparkSession
-    schema = "grp int, value string, votes long, light long"
-    bound = {g: sorted(own, reverse=True)[: MARGIN * top] for g, own in counters.items()}
-
-    def counted(chosen: dict) -> list:
-        table = spark.createDataFrame([(g, v, a, b) for g, own in chosen.items() for a, b, v in own], schema)
-        key = F.struct("grp", "value")
-        own = F.broadcast(table.select(F.col("grp").alias("g"), F.col("value").alias("v"), F.xxhash64(key).alias("no")))
-        hits = rows.join(own, F.col("grp").eqNullSafe(F.col("g")) & (F.col("value") == F.col("v"))).select("no", id).distinct()
-        n = hits.groupBy("no").agg(F.count(F.lit(1)).alias("n"))
-        return table.withColumn("no", F.xxhash64(key)).join(n, "no").select("grp", "value", "n", "votes", "light").collect()
-
-    exact = counted(bound)
-    place: dict = {}
-    for g in counters:
-        own = sorted((r["n"] for r in exact if r["grp"] == g), reverse=True)
-        place[g] = own[top - 1] if len(own) >= top else 0
-    # what the sketch can't exclude: values that have no exact count yet and may reach the last place
-    more: dict = {}
-    open_cells = []
-    for g, own in counters.items():
-        left = [(a, b, v) for a, b, v in own if a + b >= place[g] and (a, b, v) not in set(bound[g])]
-        if left:
-            more[g] = left
-        open_cells += [(g, c) for c, n in cells.get(g, {}).items() if n >= max(1, place[g])]
-    if open_cells:
-        wanted = F.broadcast(spark.createDataFrame(open_cells, "g int, c int"))
+    heavy, light = (written(t) for t in sketch(rows))
+    votes = (F.desc("votes"), F.desc("light"), F.desc("value"))
+    chosen = written(_first(heavy, MARGIN * top, *votes))
+    exact = written(_counted(rows, chosen, id))
+    best = (F.desc("n"), F.asc("value"))
+    last = _first(exact, top, *best).groupBy(F.col("grp").alias("g")).agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least"))
+    same = F.col("grp").eqNullSafe(F.col("g"))
+    place = F.when(F.col("k") == top, F.col("least")).otherwise(F.lit(0))  # 0 where the group has fewer candidates
+    open_values = heavy.join(last, same, "left").where(F.col("votes") + F.col("light") >= F.coalesce(place, F.lit(0))).select("grp", "value", "votes", "light")
+    known = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("grp", "value")]
+    more = written(open_values.alias("a").join(chosen.alias("b"), known, "left_anti"))
+    cells = written(light.join(last, same, "left").where(F.col("n") >= F.greatest(F.lit(1), F.coalesce(place, F.lit(0)))).select(F.col("grp").alias("g"), F.col("cell").alias("c")))
+    found = exact
+    if not more.isEmpty():
+        found = found.unionByName(_counted(rows, more, id))
+    if not cells.isEmpty():
         cell = F.shiftright(F.xxhash64("value"), 32).bitwiseAND(F.lit(LIGHT - 1)).cast("int")
-        hits = rows.join(wanted, F.col("grp").eqNullSafe(F.col("g")) & (cell == F.col("c"))).select("grp", "value", id).distinct()
-        known = {(r["grp"], r["value"]) for r in exact}
-        found = hits.groupBy("grp", "value").agg(F.count(F.lit(1)).alias("n"))
-        best = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("n"), "value"))
-        rest = found.withColumn("p", best).where(F.col("p") <= MARGIN * top + top)
-        exact += [r for r in rest.select("grp", "value", "n", F.lit(0).cast("long").alias("votes"), F.col("n").alias("light")).collect() if (r["grp"], r["value"]) not in known]
-        known |= {(r["grp"], r["value"]) for r in exact}
-        more = {g: [x for x in own if (g, x[2]) not in known] for g, own in more.items()}
-    if any(more.values()):
-        exact += counted(more)
-    table = spark.createDataFrame([tuple(r) for r in exact], "grp int, value string, n long, votes long, light long")
-    best = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("n"), "value"))
-    return table.withColumn("p", best).where(F.col("p") <= top).drop("p")
+        hits = rows.where(F.col("value").isNotNull()).join(cells, F.col("grp").eqNullSafe(F.col("g")) & (cell == F.col("c"))).select("grp", "value", id).distinct()
+        counts = hits.groupBy("grp", "value").agg(F.count(F.lit(1)).alias("n"))
+        # a third of all rows may have one value, but here there is one row a value
+        rest = _first(counts, (MARGIN + 1) * top, *best).select("grp", "value", "n", F.lit(0).cast("long").alias("votes"), F.col("n").alias("light"))
+        found = found.unionByName(rest.alias("a").join(written(found).alias("b"), known, "left_anti").select("a.*"))
+    return _first(found, top, *best)

@@ -176,6 +176,14 @@ def test_distinct_error(spark):
     assert distinct.distinct_by_all(small.limit(0), ["g"], "v").count() == 0
 
 
+def test_distinct_precision(spark):
+    df = spark.range(3000).selectExpr("1 as g", "cast(id as string) as v")
+    with pytest.raises(ValueError, match="precision"):
+        distinct.registers(df, ["g"], "v", 10)
+    row = distinct.estimate(distinct.registers(df, ["g"], "v", 8), ["g"], 8).first()
+    assert abs(row["distinct"] - 3000) < 4 * row["std_error"] * 3000 and row["std_error"] == 1.04 / 16
+
+
 def test_distinct_merge(spark):
     df = spark.range(5000).selectExpr("1 as g", "cast(id as string) as v")
     parts = [distinct.registers(df.where(f"pmod(hash(v), 2) = {i}"), ["g"], "v") for i in (0, 1)]
@@ -228,6 +236,13 @@ def test_most_frequent(spark, monkeypatch, size):
     assert frequent.most_frequent(df.limit(0), 5, "id").count() == 0
 
 
+def test_most_frequent_of_a_flat_column(spark):
+    """No value stands out, and ties are settled by value."""
+    df = spark.range(30000).selectExpr("id", "cast(id % 2 as int) as grp", "concat('v', lpad(cast(id % 15000 as string), 5, '0')) as value")
+    got = sorted((r["grp"], r["value"], r["n"]) for r in frequent.most_frequent(df, 3, "id").collect())
+    assert got == [(g, f"v{2 * i + g:05d}", 2) for g in (0, 1) for i in range(3)]
+
+
 def test_frequencies(spark):
     rows = observations(seed=2)
     n, records = Counter(), defaultdict(set)
