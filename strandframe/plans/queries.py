@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from strandframe.functions import containers as ct
 from strandframe.functions import codec, dna, stats
-from strandframe.functions.hashing import KMER_SEED, MULTIPLIER, SHIFT, canonical_hash, kmer_hash
+from strandframe.functions.hashing import KMER_SEED, MULTIPLIER, SHIFT, SIGNATURE_SEED, canonical_hash, kmer_hash, murmur64a_column
 from strandframe.operators import graph, kmers, ordered, sequences, skew, unitigs
 from strandframe.operators.observations import counting
 from strandframe.plans.registry import Registry
 from strandframe.session import ensure_checkpoint_dir, read_table
 from strandframe.sources import sinks
-from strandframe.sources.sequences import of_format, records_of_buffers
+from strandframe.sources.sequences import of_format, read_fasta, read_sequences, records_of_buffers
 
 REG = Registry()
 query = REG.add
@@ -83,10 +83,10 @@ LONG = GraphSql(LONG_K, least=COVERED)
 RINGS = GraphSql(reads=f"n as (select distinct regexp_replace(upper(main_kmer),'[^ACGT]','A','g') s from vertex_neighborhoods where length(main_kmer)>={K}), r as materialized (select 0 read_id, s||left(s,{K}) s from n)")
 
 
-def murmur_sql(table: str, text: str, seed: int, out: str) -> str:
-    """CTEs from `table` to `out`, which has its columns and h, MurmurHash64A of an ASCII text and the zero byte after
-    it, as the engine has it."""
-    m, mod, n = f"{MULTIPLIER}::uhugeint", f"{1 << 64}::uhugeint", f"(length({text})+1)"
+def murmur_sql(table: str, text: str, seed: int, out: str, ending: int = 1) -> str:
+    """CTEs from `table` to `out`, which has its columns and h, MurmurHash64A of an ASCII text and `ending` zero bytes
+    after it, as the engine has it."""
+    m, mod, n = f"{MULTIPLIER}::uhugeint", f"{1 << 64}::uhugeint", f"(length({text})+{ending})"
     byte = f"greatest(0,ord(substr({text},(i*8+j)::int,1)))::uhugeint"  # 0 beyond the end
     word = f"list_reduce(list_transform([8,7,6,5,4,3,2,1], lambda j: {byte}), lambda a, b: a*256::uhugeint+b)"
     return (
@@ -216,6 +216,81 @@ def string_ops(spark: SparkSession, d: str) -> DataFrame:
     return _reads(spark, d).select("read_id", F.when(long, dna.reverse_range(s, 1, 4)).otherwise(s).alias("turned"), F.when(long, dna.swap(s, 0, 4)).otherwise(s).alias("swapped"))
 
 
+@query(sql="select read_id, loaded_at, translate(regexp_replace(buffer_for_sequence,'[^ACGT]','C','g'),'ACGT','TGCA') complement from sequence_reads")
+def complement_raw(spark: SparkSession, d: str) -> DataFrame:
+    """Complement of reads as met: whatever isn't a capital letter of the alphabet gives G."""
+    return read_table(spark, d, "sequence_reads").select("read_id", "loaded_at", dna.complement_any(F.col("buffer_for_sequence")).alias("complement"))
+
+
+@query(sql=f"with n as (select distinct upper(main_kmer) n from vertex_neighborhoods where length(main_kmer)>={K}), t as (select n, substr(n,8)||left(n,7) t from n) select n cycle, t||left(t,{K - 1}) turned from t")
+def path_rotation(spark: SparkSession, d: str) -> DataFrame:
+    """Circular paths turned by seven letters."""
+    n = F.col("cycle")
+    rows = read_table(spark, d, "vertex_neighborhoods").where(F.length("main_kmer") >= K).select(F.upper("main_kmer").alias("cycle")).distinct()
+    return rows.select("cycle", dna.rotate_path(F.concat(n, n.substr(1, K - 1)), F.lit(7), K).alias("turned"))
+
+
+@query(sql="select o_orderkey, case when v>=1e9 then printf('%.3f G', v/1e9) when v>=1e6 then printf('%.3f M', v/1e6) when v>=1e3 then printf('%.3f k', v/1e3) else v::varchar end shown from (select o_orderkey, (o_orderkey*o_orderkey//100)*1000+1 v from orders)")
+def unit_prefixes(spark: SparkSession, d: str) -> DataFrame:
+    """Counts as they are displayed."""
+    key = F.col("o_orderkey")
+    return read_table(spark, d, "orders").select("o_orderkey", dna.unit_prefix(F.floor(key * key / 100).cast("long") * 1000 + 1).alias("shown"))
+
+
+# ---- files and the command line ----
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/{uuid4().hex}/{name}"
+
+
+def _fastq(spark: SparkSession, d: str, **options: str) -> str:
+    """The reads as a folder of FASTQ files; a null sequence is left out."""
+    path, s = _folder(spark, "reads.fq"), F.col("seq")
+    rows = _reads(spark, d).where("seq is not null")
+    rows.select(F.concat(F.lit("@"), F.col("read_id").cast("string"), F.lit("\n"), s, F.lit("\n+\n"), F.repeat(F.lit("@"), F.length(s)))).write.options(**options).text(path)
+    return path
+
+
+@query(sql=f"with {R} select read_id::varchar as name, s seq from r where s is not null")
+def fasta_files(spark: SparkSession, d: str) -> DataFrame:
+    """Reads written as FASTA of 60 letters a line and read again."""
+    path, rows = _folder(spark, "reads.fa"), _reads(spark, d).where("seq is not null")
+    lines = F.regexp_replace("seq", "(.{60})(?=.)", "$1\n")
+    rows.select(F.concat(F.lit(">"), F.col("read_id").cast("string"), F.lit("\n"), lines)).write.text(path)
+    return read_sequences(spark, [path]).select("name", "seq")
+
+
+@query(sql=f"with {R} select read_id::varchar as name, s seq from r where s is not null")
+def fastq_gzip_files(spark: SparkSession, d: str) -> DataFrame:
+    """Reads written as compressed FASTQ, with quality lines that look like identifiers, and read again."""
+    return read_sequences(spark, [_fastq(spark, d, compression="gzip")]).select("name", "seq")
+
+
+@query(sql=f"with {V} select cov coverage, count(*) frequency from v group by 1")
+def command_count(spark: SparkSession, d: str) -> DataFrame:
+    """The canonical distribution that the command line writes; an even k is made odd."""
+    from strandframe.cli import main
+
+    out = _folder(spark, "out")
+    main(["count", "-k", str(K - 1), "-o", out, _fastq(spark, d)], spark)
+    cut = F.split("value", " ")
+    return spark.read.text(f"{out}/coverage_distribution.txt-canonical").select(cut[0].cast("long").alias("coverage"), cut[1].cast("long").alias("frequency"))
+
+
+@query(sql=f"with recursive {PATHS} select 'contig' kind, seq as value from p where length(seq)>=100 union all select 'vertex_count', (select count(*) from o)::varchar union all select 'arc_count', (select count(*) from arc)::varchar union all select 'vertex_observation_count', (select sum(cov) from o)::varchar")
+def command_assemble(spark: SparkSession, d: str) -> DataFrame:
+    """Contigs and graph summary that the command line writes."""
+    from strandframe.cli import main
+
+    out = _folder(spark, "out")
+    main(["assemble", "-k", str(K), "-o", out, "-minimum-coverage", "1", _fastq(spark, d)], spark)
+    contigs = read_fasta(spark, f"{out}/unitigs.fasta").select(F.lit("contig").alias("kind"), F.col("seq").alias("value"))
+    found = F.regexp_extract("value", "^<(vertex_count|arc_count|vertex_observation_count)>([0-9]+)<", 1)
+    summary = spark.read.text(f"{out}/assembly_graph_summary.xml").where(found != "")
+    return contigs.where("value is not null").unionByName(summary.select(found.alias("kind"), F.regexp_extract("value", ">([0-9]+)<", 1).alias("value")))
+
+
 # ---- k-mers --------------------------------------------------------------------------------------------------
 
 
@@ -261,6 +336,20 @@ def block_round_robin(spark: SparkSession, d: str) -> DataFrame:
     return rows.drop("row_index")
 
 
+@query(sql="with n as (select row_number() over ()-1 i from sequence_reads) select ((i//64)%7)::int store_index, count(*) size from n group by 1")
+def store_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes of the stores, known from the number of reads alone."""
+    sizes = ordered.store_sizes(read_table(spark, d, "sequence_reads").count(), 7, 64)
+    return spark.createDataFrame([(i, n) for i, n in enumerate(sizes) if n], "store_index int, size long")
+
+
+@query(sql=f"with {KM} select least(k,{rc('k')}) kmer, count(*) n, 1 places from km group by 1")
+def hash_partition(spark: SparkSession, d: str) -> DataFrame:
+    """k-mers of both strands by hash: all that are one vertex lie in one partition."""
+    placed = kmers.partition_by_hash(kmers.extract(_reads(spark, d), K), 16).withColumn("part", F.spark_partition_id())
+    return placed.groupBy(dna.canonical(F.col("kmer")).alias("kmer")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("part").cast("int").alias("places"))
+
+
 @query(sql="select main_kmer, count(*) visits, count(distinct kmer_length) lengths from vertex_neighborhoods group by 1")
 def kmer_visits(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "vertex_neighborhoods").groupBy("main_kmer").agg(F.count(F.lit(1)).alias("visits"), F.count_distinct("kmer_length").alias("lengths"))
@@ -432,11 +521,12 @@ def covered_assembly(spark: SparkSession, d: str) -> DataFrame:
 _ENDS = f"e as (select seq, least(least(left(seq,{K}),{rc(f'left(seq,{K})')}), least(right(seq,{K}),{rc(f'right(seq,{K})')})) low from p where length(seq)>=100)"
 
 
-@query(sql=f"with recursive {PATHS}, {_ENDS}, {murmur_sql('e', 'low', KMER_SEED, 'n')} select seq, h::varchar name from n")
+@query(sql=f"with recursive {PATHS}, {_ENDS}, {murmur_sql('e', 'low', KMER_SEED, 'n')}, n2 as (select seq, h as name from n), {murmur_sql('n2', 'seq', SIGNATURE_SEED, 'z', 0)} select seq, name::varchar as name, h::varchar as signature from z")
 def unitig_names(spark: SparkSession, d: str) -> DataFrame:
-    """Names of contigs: the hash of the lower of the two end k-mers."""
+    """Names of contigs, the hash of the lower of the two end k-mers, and signatures, the hash of the whole."""
     paths = unitigs.assemble(_reads(spark, d), K).where("circular = 0")
-    return paths.select("seq", sinks.path_name_column(F.col("seq"), K).cast("string").alias("name"))
+    signature = murmur64a_column(F.col("seq"), SIGNATURE_SEED).cast("string")
+    return paths.select("seq", sinks.path_name_column(F.col("seq"), K).cast("string").alias("name"), signature.alias("signature"))
 
 
 _VISITED = "v as (select distinct upper(main_kmer) kmer from vertex_neighborhoods where main_kmer is not null), w as (select kmer, least(kmer,reverse(translate(kmer,'ACGT','TGCA'))) low from v)"
