@@ -27,13 +27,15 @@ PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER
 SUPPORT = 3
 #: Share of capitalised runs and of numbers that would be protected if nothing were known about them.
 PRIOR = 1 / 32
-#: The same for candidates of an unmistakable form, before any of that form were counted.
-FORM_PRIOR = 1 / 2
+#: The same for candidates of an unmistakable form and for those with a listed given name, before any were counted.
+FORM_PRIOR, GIVEN_PRIOR = 1 / 2, 1 / 4
 #: Capitalised words of one name at most; longer runs are cut and their parts judged.
 LONGEST = 8
 #: Bits that a name needs in all, the bits that its family name or what follows it must give, and the bits that any
 #: other candidate needs, of which a name without letter case is one.
 NAME_BITS, NAME_KEY_BITS, OTHER_BITS = 6.0, 2.0, 4.0
+#: Signs for what stands beside a name, of no script.
+SIGNS = {"email": "\ue000", "phone": "\ue001", "id_number": "\ue002", "address": "\ue003"}
 #: Parts that a frequent term or signature is spread over in a join.
 SALTS = 16
 #: Lines whose candidates a Python worker keeps.
@@ -189,13 +191,14 @@ def candidates(line: str, given: frozenset[str]) -> list[tuple[int, int, str, bo
     out: list[tuple[int, int, str, bool, list[str]]] = []
 
     taken = bytearray()
+    seen = line  # the line with a sign in the place of what a name may stand beside
 
     def put(start: int, end: int, kind: str, sure: bool, *terms: str) -> None:
         if not taken:
             taken.extend(bytes(len(line)))
         if not any(taken[start:end]):
             taken[start:end] = b"\1" * (end - start)
-            out.append((start, end, kind, sure, [*_beside(line, start, end), *terms]))
+            out.append((start, end, kind, sure, [*_beside(seen, start, end), *terms]))
 
     if any(x in line for x in ("@", "%40", "＠", "&")) or ("at" in line or "AT" in line or "At" in line) and WORD_AT.search(line):
         for a, b in _mail(line):
@@ -215,6 +218,9 @@ def candidates(line: str, given: frozenset[str]) -> list[tuple[int, int, str, bo
             if 9 <= n <= 15:
                 sure = not m[0].isdigit()
                 put(m.start(), m.end(), "phone", sure, *(["F " + regex.sub(r"[^+(0-9]", "-", m[0])[:2].rstrip("123456789")] if sure else []))
+    for start, end, kind, sure, _ in out:
+        if sure:
+            seen = seen[:start] + SIGNS[kind] + " " * (end - start - 2) + SIGNS[kind] + seen[end:]
     for m in NAME.finditer(line) if not line.islower() else ():
         for start, end, first, family in _names(m, given):
             sure = first.capitalize() in given
@@ -272,11 +278,11 @@ def disclosure(found: DataFrame) -> DataFrame:
 
 
 def bits(n: Column, p: Column, role: Column) -> Column:
-    """Pointwise mutual information, with SUPPORT candidates at the prior added, FORM_PRIOR for a form; null for too few
-    candidates, which for a form none are."""
-    k, form = float(SUPPORT + 1), role == "F"
-    before = F.when(form, F.lit(FORM_PRIOR)).otherwise(F.lit(PRIOR))
-    return F.when(form | (n >= SUPPORT), F.log2((p + before * k) / (n + k) / PRIOR))
+    """Pointwise mutual information, with SUPPORT candidates at the prior of the term's role added; null for too few
+    candidates, which for a form or a listed name none are."""
+    k, known = float(SUPPORT + 1), role.isin("F", "G")
+    before = F.when(role == "F", F.lit(FORM_PRIOR)).when(role == "G", F.lit(GIVEN_PRIOR)).otherwise(F.lit(PRIOR))
+    return F.when(known | (n >= SUPPORT), F.log2((p + before * k) / (n + k) / PRIOR))
 
 
 def weighed(found: DataFrame) -> DataFrame:
