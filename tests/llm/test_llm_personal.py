@@ -28,6 +28,9 @@ def kinds(line):
         ("(c) 2012-2019 Pearl Lane Collective; The Brindle Authors; 4 way merge, 12 lane input", []),
         ("'Ada  van Holt-Berg' and Holt, Ada and A. Holt's", [("Ada  van Holt-Berg", "name"), ("Holt, Ada", "name"), ("A. Holt", "name")]),
         ("担当：西園 拓海", [("西園 拓海", "name")]),
+        ("signed by Ada Maria Luisa de la Cruz Garcia Lopez", [("Ada Maria Luisa de la Cruz Garcia Lopez", "name")]),
+        ("The Ada Cruz file; Passport Max Cruz, National Insurance Number", [("Ada Cruz", "name"), ("Max Cruz", "name")]),
+        ("One Two Three Four Five Six Seven Eight Nine Ada Cruz Max Berg x", [("One Two Three Four Five Six Seven Eight", "name"), ("Ada Cruz", "name"), ("Max Berg", "name")]),
         ("", []),
     ],
 )
@@ -35,6 +38,14 @@ def test_candidates(line, want):
     assert kinds(line) == want
 
 
+def test_terms():
+    """What stands beside a name is known by kind, not by its words."""
+    line = "| Ada Holt | ada.holt@mail.example | +44 20 7946 0655 |"
+    (name,) = [t for *_, k, _, t in personal.candidates(line, GIVEN) if k == "name"]
+    assert "R2 | " + personal.SIGNS["email"] in name and "G Ada" in name and "S Holt" in name
+    assert all(any(x.startswith("F ") for x in t) for *_, k, sure, t in personal.candidates(line, GIVEN) if k != "name" and sure)
+
+
 def corpus():
     families = ["Holt", "Berg", "Dahl", "Roth", "Lund", "Voss"]
     rows = []
