@@ -18,6 +18,8 @@ query = REG.add
 TOP = 10
 #: A key is common if it lies in more than this share of the blocks of its length.
 COMMON = 0.1
+#: Given names that every task can hold.
+MOST_NAMES = 1_000_000
 #: Tokens of a container.
 CAPACITY = 2048
 
@@ -186,7 +188,11 @@ def p8_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _given(spark: SparkSession, d: str) -> frozenset[str]:
-    return frozenset(r[0] for r in read_table(spark, d, "given_names").where("given_name is not null").collect())  # a fixed table
+    """The table of given names, which is fixed and small; a table that isn't is an error."""
+    rows = read_table(spark, d, "given_names").where("given_name is not null").distinct()
+    if rows.count() > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} given names")
+    return frozenset(r[0] for r in rows.collect())
 
 
 @query()
