@@ -177,3 +177,14 @@ def windows(reads: DataFrame, k: int, seq: str = "seq", around: bool = False) ->
 
     kinds = "word long, parents byte, children byte, home long" if around else "word long"
     return reads.where(F.length(seq) >= k).select(seq).mapInArrow(run, kinds)
+
+
+def counted_windows(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
+    """(word, n): the same windows in order within groups of about PART letters, the equal ones of a group together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _texts(batches, k):
+            word, n = np.unique(_windows(held, k, False)[0].to_numpy(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], ["word", "n"])
+
+    return reads.where(F.length(seq) >= k).select(seq).mapInArrow(run, "word long, n long")

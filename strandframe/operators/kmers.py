@@ -38,6 +38,19 @@ def count(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
     return counts.select(words.of(k).text(F.col("word")).alias("kmer"), "coverage")
 
 
+def partial_counts(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
+    """(word, n) of canonical k-mers as words, without an exchange: a word may have several rows."""
+    if k > words.MOST:
+        return extract(reads, k, seq).select(dna.canonical(F.col("kmer")).alias("word"), F.lit(1).cast("long").alias("n"))
+    return words.counted_windows(reads, k, seq)
+
+
+def summed(partial: DataFrame, k: int) -> DataFrame:
+    """(kmer, coverage) of partial counts (word, n)."""
+    total = partial.groupBy("word").agg(F.sum("n").alias("coverage"))
+    return total.select(words.of(k).text(F.col("word")).alias("kmer"), "coverage")
+
+
 def histogram(counts: DataFrame) -> DataFrame:
     """(coverage, frequency) of canonical k-mers."""
     return counts.groupBy("coverage").agg(F.count(F.lit(1)).alias("frequency"))

@@ -14,20 +14,20 @@ from strandframe.functions import dna
 CHUNK = 1 << 16
 
 
-def _at(spark: SparkSession, path: str):
+def at(spark: SparkSession, path: str):
     context = spark.sparkContext
     place = context._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(context._jsc.hadoopConfiguration()), place
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    system, place = _at(spark, path)
+    system, place = at(spark, path)
     return system.exists(place)
 
 
 def write_file(spark: SparkSession, path: str, lines: Iterable[str]) -> None:
     """One text file; folders above it are made, a file that is there is replaced."""
-    system, place = _at(spark, path)
+    system, place = at(spark, path)
     out, held, size = system.create(place, True), [], 0
     try:
         for line in lines:

@@ -8,8 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandframe.functions import words
 from strandframe.operators import kmers
 from strandframe.session import ensure_checkpoint_dir
+from strandframe.sources import sinks
 
 
 def incremental_counts(stream: DataFrame, k: int, seq: str = "seq") -> DataFrame:
@@ -29,16 +31,16 @@ def last_updates(spark: SparkSession, updates: DataFrame, key: str, order: str)
 
 
 def count_available(spark: SparkSession, stream: DataFrame, k: int) -> DataFrame:
-    """All that a stream holds now, counted by one availableNow run. State, offsets and results lie in the shared
-    folder; the result is what the last batch wrote."""
+    """All that a stream holds now, counted by one availableNow run. A batch writes what its own tasks have counted, to
+    a folder of its number in the shared folder, so that a batch that is run again replaces its rows; the sum is taken
+    once, over all batches. No state is kept: what a batch costs doesn't depend on the batches before it."""
     base = os.path.join(ensure_checkpoint_dir(spark), f"stream-{uuid.uuid4().hex}")
+    system, place = sinks.at(spark, f"{base}/out")
+    system.mkdirs(place)  # a stream without files has no batch
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out")
+    def write(batch: DataFrame, i: int) -> None:
+        kmers.partial_counts(batch, k).write.mode("overwrite").option("compression", "zstd").parquet(f"{base}/out/batch={i}")
 
-    query = (
-        incremental_counts(stream, k).writeStream.outputMode("complete").foreachBatch(write)
-        .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    )
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema("kmer string, coverage long").parquet(f"{base}/out").select("kmer", F.col("coverage"))
+    return kmers.summed(spark.read.schema(f"word {words.of(k).kind}, n long").parquet(f"{base}/out"), k)

@@ -3,6 +3,7 @@
 import gzip
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from hypothesis import given, settings
@@ -14,6 +15,7 @@ from strandframe.functions import containers as ct
 from strandframe.functions.hashing import KMER_SEED, MULTIPLIER, canonical_hash, murmur64a, packed_hash
 from strandframe.operators import graph, kmers, ordered, skew, unitigs
 from strandframe.plans.queries import REG
+from strandframe.session import ensure_checkpoint_dir
 from strandframe.sources import ranges, sinks
 from strandframe.sources import sequences as src
 from strandframe.streaming.kmers import count_available, last_updates
@@ -520,6 +522,24 @@ def test_streaming(spark, tmp_path):
     assert got == plain_counts(texts, 7)
 
 
+@pytest.mark.parametrize("most", [31, 3])
+def test_stream_counts_keep_no_state(spark, tmp_path, monkeypatch, most):
+    """Batches write their own counts only, whatever came before them; a stream without files has no rows."""
+    monkeypatch.setattr(words, "MOST", most)
+    texts = ["ACGTTGCATTAGACCAGT", "ACGTTGCATT", "TTTTTTTTT"]
+    for i, t in enumerate(texts):
+        reads_of(spark, t).write.parquet(str(tmp_path / f"in/{i}"))
+    (tmp_path / "none").mkdir()
+    of = lambda at: spark.readStream.schema("read_id long, seq string").option("maxFilesPerTrigger", 1).parquet(str(at))
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("stream-*"))
+    got = {r["kmer"]: r["coverage"] for r in count_available(spark, of(tmp_path / "in/*"), 7).collect()}
+    (new,) = set(folder.glob("stream-*")) - before
+    assert got == plain_counts(texts, 7)
+    assert not (new / "state/state").exists() and len(list((new / "out").glob("batch=*"))) >= 3
+    assert count_available(spark, of(tmp_path / "none"), 7).collect() == []
+
+
 def test_state_of_a_stream(spark, tmp_path):
     rows = [("a", "ACGT"), ("a", None), ("b", ""), (None, "ACG"), ("a", "AC")]
     for i, r in enumerate(rows):
