@@ -20,6 +20,8 @@ from strandframe.functions import dna
 MOST = 31
 #: Letters handled at once, and windows of a piece, which share a home.
 PART, PIECE = 1 << 18, 1024
+#: Code where a text has no letter before or after it.
+NONE = 255
 
 _CODES = np.zeros(256, np.uint8)
 _CODES[np.frombuffer(dna.LETTERS.encode(), np.uint8)] = np.arange(4)
@@ -123,46 +125,72 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _texts(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[list[tuple[str, str, str]]]:
-    """(letter before, text, letter after) in groups of about PART letters; longer sequences are cut, with k-1 letters
+def _texts(batches: Iterator[pa.RecordBatch], k: int, part: int = PART) -> Iterator[list[tuple[str, str, str]]]:
+    """(letter before, text, letter after) in groups of about `part` letters; longer sequences are cut, with k-1 letters
     of overlap and the letters around each cut."""
     held, size = [], 0
     for b in batches:
         for s in b.column(0):
             s = s.as_py()
-            for at in range(0, len(s) - k + 1, PART):
-                held.append((s[at - 1 : at] if at else "", s[at : at + PART + k - 1], s[at + PART + k - 1 : at + PART + k]))
+            for at in range(0, len(s) - k + 1, part):
+                held.append((s[at - 1 : at] if at else "", s[at : at + part + k - 1], s[at + part + k - 1 : at + part + k]))
                 size += len(held[-1][1])
-                if size >= PART:
+                if size >= part:
                     yield held
                     held, size = [], 0
     if held:
         yield held
 
 
-def _windows(held: list[tuple[str, str, str]], k: int, around: bool) -> list[pa.Array]:
-    """word and, if asked for, masks of parents and children and home, of all windows of some texts."""
+def _packed(held: list[tuple[str, str, str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all texts of a group with the letter on either side, 255 where there is none; sizes with these two."""
     raw = np.frombuffer("".join(f"{a or ' '}{t}{z or ' '}" for a, t, z in held).encode("latin-1", "replace"), np.uint8)
     sizes = np.array([len(t) + 2 for _, t, _ in held])
     codes = _CODES[raw]
-    begin = np.cumsum(sizes) - sizes
-    counts = sizes - 2 - k + 1
-    nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = np.repeat(begin + 1, counts) + nth
-    ahead, back = _roll(codes, k, False)[at], _roll(codes, k, True)[at]
-    word = np.minimum(ahead, back)
-    if not around:
-        return [pa.array(word.view(np.int64))]
-    some = np.ones(len(raw), np.uint8)
-    some[begin], some[begin + sizes - 1] = ([bool(h[i]) for h in held] for i in (0, 2))
-    before, after = at - 1, at + k
-    left, right = some[before] << codes[before], some[after] << codes[after]
-    left_rc, right_rc = some[before] << (3 - codes[before]), some[after] << (3 - codes[after])
-    same = ahead <= back
-    first = at - nth % PIECE
-    home = _mix(ahead[np.searchsorted(at, first)]).view(np.int64)
-    masks = [np.where(same, a, b).astype(np.int8) for a, b in ((left, right_rc), (right, left_rc))]
-    return [pa.array(x) for x in (word.view(np.int64), *masks, home)]
+    ends = np.cumsum(sizes)
+    for at, i in ((ends - sizes, 0), (ends - 1, 2)):
+        codes[at[[not h[i] for h in held]]] = NONE
+    return codes, sizes
+
+
+class Windows:
+    """All windows of a group of texts, as arrays: begin of each in codes, number in its text and the text's number of
+    windows, and the word on either strand."""
+
+    def __init__(self, codes: np.ndarray, sizes: np.ndarray, k: int) -> None:
+        self.k, self.present = k, codes != NONE
+        self.codes = np.where(self.present, codes, 0).astype(np.uint8)
+        begin = np.cumsum(sizes) - sizes
+        counts = sizes - 2 - k + 1
+        self.nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        self.of = np.repeat(counts, counts)
+        self.at = np.repeat(begin + 1, counts) + self.nth
+        self.ahead, self.back = self.rolled(k)
+        self.word = np.minimum(self.ahead, self.back)
+
+    def rolled(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words of k letters from the begin of each window, on both strands."""
+        return tuple(_roll(self.codes, k, turned)[np.minimum(self.at, len(self.codes) - k)] for turned in (False, True))
+
+    def home(self) -> np.ndarray:
+        first = self.at - self.nth % PIECE
+        return _mix(self.ahead[np.searchsorted(self.at, first)]).view(np.int64)
+
+    def masks(self, left: np.ndarray | bool = True, right: np.ndarray | bool = True) -> list[np.ndarray]:
+        """Masks of parents and children; left, right: whether the letter on that side counts."""
+        before, after = self.at - 1, self.at + self.k
+        one = lambda at, side, c: ((self.present[at] & side).astype(np.uint8) << c)
+        l, r = (one(before, left, self.codes[before]), one(after, right, self.codes[after]))
+        l_rc, r_rc = (one(before, left, 3 - self.codes[before]), one(after, right, 3 - self.codes[after]))
+        same = self.ahead <= self.back
+        return [np.where(same, a, b).astype(np.int8) for a, b in ((l, r_rc), (r, l_rc))]
+
+
+def _windows(held: list[tuple[str, str, str]], k: int, around: bool) -> list[pa.Array]:
+    """word and, if asked for, masks of parents and children and home, of all windows of some texts."""
+    w = Windows(*_packed(held), k)
+    word = w.word.view(np.int64)
+    return [pa.array(x) for x in ((word, *w.masks(), w.home()) if around else (word,))]
 
 
 def windows(reads: DataFrame, k: int, seq: str = "seq", around: bool = False) -> DataFrame:

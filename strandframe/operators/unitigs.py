@@ -5,7 +5,8 @@ strand on which it is lower, has two ends: the vertex that it leaves and, on the
 leaves. So each step is one aggregation, by arc or by vertex, in place of joins: both coverages of an arc meet by arc,
 the candidates of a vertex by vertex, the two choices of an arc by arc, the two sides of a vertex by vertex.
 
-Assembly then chains edges in partitions that are placed by the piece of a read that they come from, where most
+Of k-mers up to 31 letters only those that may occur more than once, and their neighbours, take these steps: see
+operators/unique.py. Assembly then chains edges, and stretches of the others, in partitions that are placed by the piece of a read that they come from, where most
 neighbours meet, and ranks the few remaining segments by pointer doubling.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from strandframe.functions import dna, words
 from strandframe.functions.words import Text
-from strandframe.operators import graph
+from strandframe.operators import graph, unique
 from strandframe.session import checkpointed, written
 
 #: Fixed values of the heuristic: the repeat multiplier (exclusive) and the divisor of the noise threshold.
@@ -29,6 +30,8 @@ REPEAT = 8
 NOISE = 4
 #: Edges chained at once, in numbers of edges.
 CHUNK = 1 << 16
+#: The same, in bytes.
+CHUNK_BYTES = 1 << 26
 
 #: vertices (word, coverage, children, parents, home), words and least coverage to the choice (src, code, home).
 Strategy = Callable[[DataFrame, Text, int], DataFrame]
@@ -106,11 +109,14 @@ def mutual(choice: DataFrame, w: Text) -> DataFrame:
     return sides.where("forward and backward").select("arc", "home")
 
 
-def _sides(mutual_: DataFrame, w: Text) -> DataFrame:
-    """(word, ahead, behind, home) of canonical vertices with a mutual arc on both sides: the unitig vertices."""
+def _sides(mutual_: DataFrame, w: Text, inner: DataFrame | None = None) -> DataFrame:
+    """(word, ahead, behind, home) of canonical vertices with a mutual arc on both sides: the unitig vertices. inner:
+    more mutual arcs of one side of a vertex, in these columns."""
     ends = _leaving(mutual_, w, ("arc", F.col("arc"), F.col("arc")))
     turned = w.with_rc(ends, "src", "t")
     own = turned.select(F.least("src", "t").alias("word"), F.when(F.col("src") <= F.col("t"), F.col("arc")).alias("a"), F.when(F.col("src") > F.col("t"), F.col("arc")).alias("b"), "home")
+    if inner is not None:
+        own = own.unionByName(inner.select("word", F.col("ahead").alias("a"), F.col("behind").alias("b"), "home"))
     sides = own.groupBy("word").agg(F.max("a").alias("ahead"), F.max("b").alias("behind"), F.min("home").alias("home"))
     return sides.where("ahead is not null and behind is not null")
 
@@ -125,16 +131,13 @@ def unitig_vertices(reads: DataFrame, k: int, minimum_coverage: int = 1, strateg
 
 # ---- chains ----------------------------------------------------------------------------------------------------
 
-_LETTERS = np.frombuffer(dna.LETTERS.encode(), np.uint8)
-
-
-def _chained(src: pa.Array, dst: pa.Array, code: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array, np.ndarray]:
-    """Chains of edges of which no two leave or enter one vertex: first, last, letters of all but the first, closed."""
+def _chained(src: pa.Array, dst: pa.Array, letters: pa.StringArray) -> tuple[pa.Array, pa.Array, pa.Array, np.ndarray]:
+    """Chains of segments of which no two leave or enter one vertex: first, last, letters of all but the first, closed."""
     nodes = pa.chunked_array([src, dst]).combine_chunks().dictionary_encode()
     at = nodes.indices.to_numpy()
     n, edges = len(nodes.dictionary), len(src)
-    following, letter = np.full(n, -1), np.zeros(n, np.uint8)
-    following[at[:edges]], letter[at[:edges]] = at[edges:], code
+    following, edge = np.full(n, -1), np.full(n, -1)
+    following[at[:edges]], edge[at[:edges]] = at[edges:], np.arange(edges)
     entered = np.zeros(n, bool)
     entered[at[edges:]] = True
     heads = np.flatnonzero((following >= 0) & ~entered)
@@ -143,7 +146,7 @@ def _chained(src: pa.Array, dst: pa.Array, code: np.ndarray) -> tuple[pa.Array,
     chain, now = np.arange(len(heads)), heads
     while len(now):
         who.append(chain)
-        what.append(letter[now])
+        what.append(edge[now])
         cyclic[now] = False
         now = following[now]
         lasts[chain] = now
@@ -157,33 +160,34 @@ def _chained(src: pa.Array, dst: pa.Array, code: np.ndarray) -> tuple[pa.Array,
             while cyclic[now]:
                 cyclic[now] = False
                 who.append(np.array([len(heads) + len(rings) - 1]))
-                what.append(letter[now : now + 1])
+                what.append(edge[now : now + 1])
                 now = following[now]
     owner = np.concatenate(who) if who else np.zeros(0, np.int64)
     order = np.argsort(owner, kind="stable")
-    text = _LETTERS[np.concatenate(what)[order]] if who else np.zeros(0, np.uint8)
+    text = letters.take(pa.array((np.concatenate(what) if who else owner)[order]))
     firsts = np.concatenate([heads, np.array(rings, np.int64)])
     ends = np.concatenate([lasts, np.array(rings, np.int64)])
-    offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(firsts)))]).astype(np.int32)
-    letters = pa.StringArray.from_buffers(len(firsts), pa.py_buffer(offsets.tobytes()), pa.py_buffer(text.tobytes()))
+    starts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(firsts)))])
+    offsets = np.frombuffer(text.buffers()[1], np.int32)[starts] if len(text) else np.zeros(1, np.int32)
+    joined = pa.StringArray.from_buffers(len(firsts), pa.py_buffer(offsets.tobytes()), text.buffers()[2] or pa.py_buffer(b""))
     closed = np.arange(len(firsts)) >= len(heads)
-    return nodes.dictionary.take(pa.array(firsts)), nodes.dictionary.take(pa.array(ends)), letters, closed
+    return nodes.dictionary.take(pa.array(firsts)), nodes.dictionary.take(pa.array(ends)), joined, closed
 
 
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (src, dst, code) to segments, CHUNK edges at once, so that memory doesn't depend on the partition."""
+    """Segments (src, dst, letters) to longer ones, CHUNK or CHUNK_BYTES of them at once, so that memory doesn't depend
+    on the partition."""
 
     def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
-        src, dst = (t[c].combine_chunks() for c in ("src", "dst"))
-        first, last, letters, closed = _chained(src, dst, t["code"].to_numpy().astype(np.uint8))
+        first, last, letters, closed = _chained(*(t[c].combine_chunks() for c in ("src", "dst", "letters")))
         return pa.RecordBatch.from_arrays([first, last, letters, pa.array(closed)], ["first", "last", "letters", "closed"])
 
     held: list[pa.RecordBatch] = []
     for b in batches:
         if b.num_rows:
             held.append(b)
-        if sum(x.num_rows for x in held) >= CHUNK:
+        if sum(x.num_rows for x in held) >= CHUNK or sum(x.nbytes for x in held) >= CHUNK_BYTES:
             yield out(held)
             held = []
     if held:
@@ -192,9 +196,15 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def segments(edges: DataFrame, w: Text) -> DataFrame:
     """(first, last, letters, closed): chains of edges (arc, home), on both strands. Edges of one home, which is one piece
-    of a read, lie together; a chain may also go on into the next home."""
-    steps = _leaving(edges, w).withColumn("dst", w.suffix(w.extend(F.col("src"), F.col("code"))))
-    placed = steps.repartition("home").sortWithinPartitions("home").select("src", "dst", "code")
+    of a read, lie together; a chain may also go on into the next home. Edges may have columns (first, last, text) too:
+    then rows without an arc are chains already, on one strand."""
+    steps = _leaving(edges.where("arc is not null"), w).withColumn("dst", w.suffix(w.extend(F.col("src"), F.col("code"))))
+    steps = steps.select("src", "dst", dna.letter(F.col("code")).alias("letters"), "home")
+    if "text" in edges.columns:
+        runs = w.with_rc(w.with_rc(edges.where("arc is null"), "first", "first_rc"), "last", "last_rc").withColumn("text_rc", dna.reverse_complement(F.col("text")))
+        for a, b, text in (("first", "last", "text"), ("last_rc", "first_rc", "text_rc")):
+            steps = steps.unionByName(runs.select(F.col(a).alias("src"), F.col(b).alias("dst"), F.substr(text, F.lit(w.k + 1)).alias("letters"), "home"))
+    placed = steps.repartition("home").sortWithinPartitions("home").select("src", "dst", "letters")
     return placed.mapInArrow(_chain, f"first {w.kind}, last {w.kind}, letters string, closed boolean")
 
 
@@ -232,23 +242,31 @@ def _assemble(ranked: DataFrame, parts: DataFrame, w: Text) -> DataFrame:
     return runs.select(F.concat(w.text(F.col("a")[0]["n"]), F.array_join(F.transform("a", lambda x: x["letters"]), "")).alias("seq"))
 
 
-def unitig_paths(mutual_: DataFrame, k: int) -> DataFrame:
+def unitig_paths(mutual_: DataFrame, k: int, kept: unique.Graph | None = None) -> DataFrame:
     """(seq, circular): each maximal path of mutual arcs (arc, home) between unitig vertices once, on the strand that is
     lower by letters; a vertex without such arcs is a path. A cycle of L vertices gives L+k-1 letters from its lowest
-    k-mer on, and circular = 1."""
+    k-mer on, and circular = 1. kept: a graph of which mutual_ has the arcs of marked vertices, and of whose other
+    arcs all are mutual."""
     w = words.of(k)
-    sides = _sides(mutual_, w)
+    sides = _sides(mutual_, w, kept and kept.of(unique.INNER))
     ends = sides.select("word", "home", F.explode(F.array("ahead", "behind")).alias("arc"))
+    if kept:
+        ends = ends.unionByName(kept.of(unique.END).select("word", "home", F.col("ahead").alias("arc")))
     links = ends.groupBy("arc").agg(F.count(F.lit(1)).alias("n"), F.max("word").alias("word"), F.min("home").alias("home"))
     links = w.with_rc(links, "arc", "r", k + 1)
     links = written(links.select("arc", "word", "home", ((F.col("n") == 2) | (F.col("arc") == F.col("r"))).alias("edge")))
     lone = links.where(~F.col("edge")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n = 2")
     alone = lone.select(w.text(F.col("word")).alias("seq"))
-    all_parts = written(segments(links.where("edge").select("arc", "home"), w))
+    edges = links.where("edge").select("arc", "home")
+    if kept:
+        edges = edges.unionByName(kept.of(unique.RUN).select(F.col("word").alias("first"), F.col("ahead").alias("last"), "text", "home"), allowMissingColumns=True)
+        alone = alone.unionByName(kept.of(unique.WHOLE).select(F.least("text", dna.reverse_complement(F.col("text"))).alias("seq")))
+    all_parts = written(segments(edges, w))
     parts = all_parts.where(~F.col("closed")).select("first", "last", "letters", F.lit(False).alias("stops"))
     ranked = _rank(_start(parts))
     seq = F.col("seq")
-    open_paths = _assemble(ranked.where("done"), parts, w).select(F.least(seq, dna.reverse_complement(seq)).alias("seq")).distinct()
+    # both strands of each path are there, or one that is its own reverse complement
+    open_paths = _assemble(ranked.where("done"), parts, w).where(seq <= dna.reverse_complement(seq))
 
     rings = all_parts.where("closed").select(F.concat(w.text(F.col("first")), "letters").alias("seq"))
     turning = ranked.where(~F.col("done")).select(F.col("n").alias("first"))
@@ -314,6 +332,8 @@ def lowest_rotation(path: Column, k: Column) -> Column:
 
 def assemble(reads: DataFrame, k: int, minimum_coverage: int = 1, minimum_length: int = 100, strategy: Strategy = flow_split) -> DataFrame:
     """(seq, circular): unitigs of at least minimum_length letters."""
+    if k <= words.MOST:
+        return assemble_graph(unique.graph(reads, k), k, minimum_coverage, minimum_length, strategy)
     return assemble_vertices(graph.word_vertices(reads, k, home=True), k, minimum_coverage, minimum_length, strategy)
 
 
@@ -321,3 +341,12 @@ def assemble_vertices(vertices: DataFrame, k: int, minimum_coverage: int = 1, mi
     """The same of vertices (word, coverage, parents, children, home)."""
     w = words.of(k)
     return unitig_paths(mutual(strategy(vertices, w, minimum_coverage), w), k).where(F.length("seq") >= minimum_length)
+
+
+def assemble_graph(graph_: unique.Graph, k: int, minimum_coverage: int = 1, minimum_length: int = 100, strategy: Strategy = flow_split) -> DataFrame:
+    """The same of a graph of reads. Two vertices of coverage 1 with one arc between them choose each other by either
+    strategy, if that coverage is enough."""
+    w = words.of(k)
+    arcs = mutual(strategy(graph_.vertices(), w, minimum_coverage), w)
+    kept = graph_ if minimum_coverage <= 1 else graph_._replace(rows=graph_.rows.where("false"))
+    return unitig_paths(arcs, k, kept).where(F.length("seq") >= minimum_length)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from strandframe.functions import codec, dna, stats, words
 from strandframe.functions import containers as ct
 from strandframe.functions.hashing import KMER_SEED, MULTIPLIER, canonical_hash, murmur64a, packed_hash
-from strandframe.operators import graph, kmers, ordered, skew, unitigs
+from strandframe.operators import graph, kmers, ordered, skew, unique, unitigs
 from strandframe.plans.queries import REG
 from strandframe.session import ensure_checkpoint_dir
 from strandframe.sources import ranges, sinks
@@ -269,6 +269,27 @@ def test_chains_of_cycles_in_parts(spark, monkeypatch):
     assert paths(spark, texts, k) == plain_unitigs(texts, k) and any(c for _, c in plain_unitigs(texts, k))
 
 
+@pytest.mark.parametrize("least", [1, 2])
+def test_unique_kmers_stay_in_their_reads(spark, least):
+    """Reads that share some stretches, cut into groups at any place: k-mers that occur once aren't exchanged, totals and
+    unitigs are those of all vertices."""
+    rng, k = random.Random(7), 9
+    some = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    shared = [some(25) for _ in range(4)]
+    texts = [some(rng.randrange(30)) + rng.choice([x, rc(x)]) + some(rng.randrange(30)) for x in shared * 4]
+    texts += [some(n) for n in (k - 1, k, k + 1, k + 2, k + 3, k + 4, 200)] + [some(40)] * 2 + ["A" * 30, "AC" * 20, shared[0] + shared[1][:15] + shared[0][:10]]
+    df = reads_of(spark, *texts)
+    g = unique.graph(df, k, part=61, bucket=64)
+    every = graph.word_vertices(df, k, home=True)
+    assert 0 < g.marked.count() < every.count() // 2
+    count = lambda d: sorted(tuple(r) for r in d.collect())
+    totals = [F.bit_count("parents").alias("p"), F.bit_count("children").alias("c")]
+    assert count(g.classes().groupBy("coverage", *totals).agg(F.sum("n"))) == count(every.groupBy("coverage", *totals).agg(F.count(F.lit(1))))
+    mine = count(unitigs.assemble_graph(g, k, least, 0))
+    assert mine == count(unitigs.assemble_vertices(every, k, least, 0)) and len(mine) > 5
+    assert least > 1 or mine == plain_unitigs(texts, k)
+
+
 def test_flow_split(spark):
     rng = random.Random(5)
     left, right = ("".join(rng.choice("ACGT") for _ in range(30)) for _ in range(2))
