@@ -10,8 +10,8 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.functions import dna
-from strandframe.operators import graph, kmers, unitigs
+from strandframe.functions import dna, words
+from strandframe.operators import graph, kmers, unique, unitigs
 from strandframe.session import build_session, written
 from strandframe.sources import sinks
 from strandframe.sources.sequences import read_sequences
@@ -34,11 +34,17 @@ def assemble(spark: SparkSession, files: list[str], k: int, output: str, minimum
     """Coverage distribution, graph summary and contigs; an existing folder is an error."""
     if sinks.exists(spark, output):
         raise FileExistsError(output)
-    vertices = written(graph.word_vertices(load(spark, files), k, home=True))
-    sinks.write_coverage_distribution(kmers.histogram(vertices), output)
-    sinks.write_summary(graph.summary(vertices), graph.degree_matrix(vertices), k, output)
-    contigs = unitigs.assemble_vertices(vertices, k, minimum_coverage, CONTIG)
-    sinks.write_unitigs(contigs, k, f"{output}/unitigs.fasta")
+    reads, number = load(spark, files), None
+    if k <= words.MOST:
+        whole = unique.graph(reads, k)
+        vertices, number = whole.classes(), F.col("n")
+        contigs = lambda: unitigs.assemble_graph(whole, k, minimum_coverage, CONTIG)
+    else:
+        vertices = written(graph.word_vertices(reads, k, home=True))
+        contigs = lambda: unitigs.assemble_vertices(vertices, k, minimum_coverage, CONTIG)
+    sinks.write_coverage_distribution(kmers.histogram(vertices, number), output)
+    sinks.write_summary(graph.summary(vertices, number), graph.degree_matrix(vertices, number), k, output)
+    sinks.write_unitigs(contigs(), k, f"{output}/unitigs.fasta")
 
 
 def gc(spark: SparkSession, files: list[str], output: str) -> None:
@@ -47,7 +53,7 @@ def gc(spark: SparkSession, files: list[str], output: str) -> None:
     load(spark, files).groupBy("file").agg((part / F.sum(F.length("seq"))).alias("gc")).write.csv(output, header=True)
 
 
-def main(words: list[str] | None = None, spark: SparkSession | None = None) -> int:
+def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser(prog="strandframe", description=__doc__)
     parser.add_argument("command", choices=("count", "assemble", "gc"))
     parser.add_argument("-k", type=int, default=DEFAULT_K)
@@ -55,7 +61,7 @@ def main(words: list[str] | None = None, spark: SparkSession | None = None) -> i
     parser.add_argument("-minimum-coverage", type=int, default=1)
     parser.add_argument("-master", default=None)
     parser.add_argument("files", nargs="+")
-    o = parser.parse_args(words)
+    o = parser.parse_args(arguments)
     spark = spark or build_session("strandframe", o.master)
     if o.command == "count":
         count(spark, o.files, kmers.odd(o.k), o.output)

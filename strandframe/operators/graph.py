@@ -117,10 +117,11 @@ def observed_arcs(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
     return v.select("kmer", F.explode(both).alias("x")).select("kmer", "x.type", F.explode("x.bases").alias("base"))
 
 
-def degree_matrix(vertices_: DataFrame) -> DataFrame:
-    """25 rows (parent_count, child_count, frequency) over both strands, zero cells included. The other strand of a
+def degree_matrix(vertices_: DataFrame, number: Column | None = None) -> DataFrame:
+    """25 rows (parent_count, child_count, frequency) over both strands, zero cells included. number: vertices that a row
+    stands for, one by default. The other strand of a
     vertex has the counts in turn, so the strands are united after the aggregation."""
-    one = vertices_.groupBy(F.bit_count("parents").alias("p"), F.bit_count("children").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    one = vertices_.groupBy(F.bit_count("parents").alias("p"), F.bit_count("children").alias("c")).agg(F.sum(F.lit(1) if number is None else number).alias("n"))
     sides = F.explode(F.array(*[F.struct(F.col(a).alias("parent_count"), F.col(b).alias("child_count")) for a, b in ("pc", "cp")]))
     counted = one.select("n", sides.alias("s")).groupBy("s.parent_count", "s.child_count").agg(F.sum("n").alias("n"))
     spark = vertices_.sparkSession
@@ -130,13 +131,15 @@ def degree_matrix(vertices_: DataFrame) -> DataFrame:
     )
 
 
-def summary(vertices_: DataFrame) -> DataFrame:
-    """One row over both strands: vertex_count, vertex_observation_count, arc_count."""
+def summary(vertices_: DataFrame, number: Column | None = None) -> DataFrame:
+    """One row over both strands: vertex_count, vertex_observation_count, arc_count. number: vertices that a row stands
+    for, one by default."""
+    n = (F.lit(1) if number is None else number).cast("long")
     degree = F.bit_count("children") + F.bit_count("parents")
     return vertices_.agg(
-        (F.count(F.lit(1)) * 2).alias("vertex_count"),
-        F.coalesce(F.sum(F.col("coverage").cast("long")) * 2, F.lit(0)).alias("vertex_observation_count"),
-        F.coalesce(F.sum(degree), F.lit(0)).cast("long").alias("arc_count"),
+        F.coalesce(F.sum(n) * 2, F.lit(0)).alias("vertex_count"),
+        F.coalesce(F.sum(F.col("coverage") * n) * 2, F.lit(0)).alias("vertex_observation_count"),
+        F.coalesce(F.sum(degree * n), F.lit(0)).cast("long").alias("arc_count"),
     )
 
 

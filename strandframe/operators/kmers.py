@@ -6,7 +6,7 @@ hot k-mers: one row per distinct k-mer and map task crosses the network.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandframe.functions import dna, words
@@ -51,9 +51,10 @@ def summed(partial: DataFrame, k: int) -> DataFrame:
     return total.select(words.of(k).text(F.col("word")).alias("kmer"), "coverage")
 
 
-def histogram(counts: DataFrame) -> DataFrame:
-    """(coverage, frequency) of canonical k-mers."""
-    return counts.groupBy("coverage").agg(F.count(F.lit(1)).alias("frequency"))
+def histogram(counts: DataFrame, number: Column | None = None) -> DataFrame:
+    """(coverage, frequency) of canonical k-mers; number: k-mers that a row stands for, one by default."""
+    total = F.count(F.lit(1)) if number is None else F.sum(number)
+    return counts.groupBy("coverage").agg(total.alias("frequency"))
 
 
 def histogram_both_strands(counts: DataFrame) -> DataFrame:
