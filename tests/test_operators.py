@@ -290,6 +290,18 @@ def test_unique_kmers_stay_in_their_reads(spark, least):
     assert least > 1 or mine == plain_unitigs(texts, k)
 
 
+def test_stretches_between_marked_kmers_are_chained_whole(spark):
+    """unitig_paths: one read with repeated k-mers at both ends and in its middle gives the same paths as all edges, and
+    each stretch between them comes as one row, not as edges."""
+    rng, k = random.Random(21), 11
+    some = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    a, b, c = some(k + 4), some(k + 4), some(k + 4)
+    texts = [a + some(50) + b + some(k - 8) + c, a, rc(b), c]
+    g = unique.graph(reads_of(spark, *texts), k)
+    assert g.of(unique.RUN).count() == 2
+    assert sorted(tuple(r) for r in unitigs.assemble_graph(g, k, minimum_length=0).collect()) == plain_unitigs(texts, k)
+
+
 def test_flow_split(spark):
     rng = random.Random(5)
     left, right = ("".join(rng.choice("ACGT") for _ in range(30)) for _ in range(2))
