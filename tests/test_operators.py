@@ -302,6 +302,18 @@ def test_stretches_between_marked_kmers_are_chained_whole(spark):
     assert sorted(tuple(r) for r in unitigs.assemble_graph(g, k, minimum_length=0).collect()) == plain_unitigs(texts, k)
 
 
+def test_names_without_a_table_of_all_vertices(spark, tmp_path, monkeypatch):
+    """unitig_names of a table of reads, against walking."""
+    rng = random.Random(23)
+    some = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    shared = some(130)
+    texts = [some(60) + shared + some(60), some(50) + rc(shared), some(200)]
+    spark.createDataFrame(list(enumerate(texts)), "read_id long, buffer_for_sequence string").write.parquet(str(tmp_path / "sequence_reads.parquet"))
+    monkeypatch.setattr(graph, "word_vertices", None)
+    got = {r["seq"]: r["name"] for r in REG.queries["unitig_names"](spark, str(tmp_path)).collect()}
+    assert got == {s: str(sinks.path_name(s, 21)) for s, _ in plain_unitigs(texts, 21) if len(s) >= 100} and len(got) >= 2
+
+
 def test_flow_split(spark):
     rng = random.Random(5)
     left, right = ("".join(rng.choice("ACGT") for _ in range(30)) for _ in range(2))
