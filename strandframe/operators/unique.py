@@ -20,12 +20,16 @@ from pyspark.sql import functions as F
 from strandframe.functions import dna, words
 from strandframe.functions.words import Windows
 from strandframe.operators.graph import MAX_COVERAGE
-from strandframe.session import written
+from strandframe.session import dropped, settled
 
 #: Windows of a bucket of fingerprints, about.
 BUCKET = 1 << 20
 #: Bits of a fingerprint beside those of its bucket.
 PRINT = 32
+#: Letters of a group, about: the more, the shorter are differences of its fingerprints.
+PART = 1 << 19
+#: Bits of a home.
+HOME = 24
 
 #: Kinds of rows: marked vertices; the unmarked ones beside them; their arcs to other unmarked ones; outermost arcs of
 #: the stretch between; that stretch, if an end of it may go on; if none may; numbers of unmarked vertices by degrees.
@@ -36,7 +40,7 @@ _LETTERS = np.frombuffer(dna.LETTERS.encode(), np.uint8)
 
 
 class Graph(NamedTuple):
-    """marked: vertices (word, coverage, parents, children, home). rows: all other rows, of the kinds above."""
+    """marked: vertices (word, coverage, parents, children, home). rows: all other rows, of the kinds above, parted by kind."""
 
     marked: DataFrame
     rows: DataFrame
@@ -44,6 +48,11 @@ class Graph(NamedTuple):
     def of(self, kind: int) -> DataFrame:
         return self.rows.where(F.col("kind") == kind)
 
+    def without(self, *kinds: int) -> None:
+        """Removes rows of some kinds that nothing reads any more."""
+        for kind in kinds:
+            dropped(self.rows, part=f"kind={kind}")
+
     def vertices(self) -> DataFrame:
         """Marked vertices and those beside them, of whose masks only the sides that face marked ones are set."""
         beside = self.of(BESIDE).select("word", F.lit(1).alias("coverage"), F.col("parents").cast("int"), F.col("children").cast("int"), "home")
@@ -89,7 +98,7 @@ def _groups(reads: DataFrame, k: int, seq: str, part: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([_pressed(codes)]), pa.array([sizes.astype(np.int64).tobytes()])], ["codes", "sizes"])
 
     rows = reads.where(F.length(seq) >= k).select(seq).mapInArrow(run, "codes binary, sizes binary")
-    return written(rows.withColumn("g", F.monotonically_increasing_id()))
+    return settled(rows.withColumn("g", F.monotonically_increasing_id()))
 
 
 def _prints(groups: DataFrame, k: int, bits: int) -> DataFrame:
@@ -98,7 +107,8 @@ def _prints(groups: DataFrame, k: int, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for group in batch.to_pylist():
-                h = np.unique(_hashes(Windows(*_read(group), k)))
+                h = np.sort(_hashes(Windows(*_read(group), k)))
+                h = h[np.diff(h, prepend=~h[:1]) != 0]
                 cuts, short = _cuts(h, bits), (h >> np.uint64(64 - PRINT - bits)).astype(np.uint32)
                 some = np.flatnonzero(np.diff(cuts))
                 made = [_pressed(np.diff(short[cuts[b] : cuts[b + 1]], prepend=np.uint32(0))) for b in some]
@@ -143,7 +153,7 @@ def _texts_at(codes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Stri
 
 def _rows(w: Windows, marked: np.ndarray) -> Iterator[pa.Table]:
     """Rows of a group whose windows are marked or not."""
-    k, home, ahead_side = w.k, w.home(), w.ahead <= w.back
+    k, home, ahead_side = w.k, w.home() & ((1 << HOME) - 1), w.ahead <= w.back
     first, last = w.nth == 0, w.nth == w.of - 1
     once = ~marked
     before, after = np.roll(marked, 1) & ~first, np.roll(marked, -1) & ~last
@@ -159,8 +169,9 @@ def _rows(w: Windows, marked: np.ndarray) -> Iterator[pa.Table]:
 
     parents, children = w.masks()
     yield table(MARKED, word=word[marked], parents=parents[marked], children=children[marked], home=home[marked])
-    number, size = np.unique(np.stack([parents[once] > 0, children[once] > 0]), axis=1, return_counts=True) if once.any() else (np.zeros((2, 0)), np.zeros(0))
-    yield table(CLASS, word=size, parents=number[0].astype(np.int8), children=number[1].astype(np.int8))
+    size = np.bincount((parents[once] > 0) * 2 + (children[once] > 0), minlength=4)
+    number = np.flatnonzero(size)
+    yield table(CLASS, word=size[number], parents=(number >> 1).astype(np.int8), children=(number & 1).astype(np.int8))
     near = meets_left | meets_right
     parents, children = w.masks(meets_left, meets_right)
     yield table(BESIDE, word=word[near], parents=parents[near], children=children[near], home=home[near])
@@ -178,12 +189,12 @@ def _rows(w: Windows, marked: np.ndarray) -> Iterator[pa.Table]:
         yield table(kind, word=w.ahead[a].view(np.int64), ahead=w.ahead[z].view(np.int64), home=home[a], text=_texts_at(w.codes, w.at[a], w.at[z] + k))
 
 
-def graph(reads: DataFrame, k: int, seq: str = "seq", part: int = words.PART, bucket: int = BUCKET) -> Graph:
+def graph(reads: DataFrame, k: int, seq: str = "seq", part: int = PART, bucket: int = BUCKET) -> Graph:
     """The graph of reads for k up to words.MOST, from groups of about `part` letters and buckets of about `bucket`
     windows."""
     groups = _groups(reads, k, seq, part)
     bits = (groups.count() * part // bucket).bit_length()
-    flags = _repeated(_prints(groups, k, bits))
+    flags = settled(_repeated(_prints(groups, k, bits)))
 
     def run(group: pa.Table, answers: pa.Table) -> pa.Table:
         (row,) = group.to_pylist()
@@ -197,9 +208,11 @@ def graph(reads: DataFrame, k: int, seq: str = "seq", part: int = words.PART, bu
         marked |= (w.nth == 0) & w.present[w.at - 1] | (w.nth == w.of - 1) & w.present[w.at + k]
         return pa.concat_tables(_rows(w, marked))
 
-    rows = written(groups.groupBy("g").cogroup(flags.groupBy("g")).applyInArrow(run, ROW))
+    rows = settled(groups.groupBy("g").cogroup(flags.groupBy("g")).applyInArrow(run, ROW), groups, flags, by="kind")
     marked = rows.where(F.col("kind") == MARKED).groupBy("word").agg(
         F.least(F.count(F.lit(1)), F.lit(MAX_COVERAGE)).cast("int").alias("coverage"),
         F.bit_or("parents").cast("int").alias("parents"), F.bit_or("children").cast("int").alias("children"), F.min("home").alias("home"),
     )
-    return Graph(written(marked), rows)
+    whole = Graph(settled(marked), rows)
+    whole.without(MARKED)
+    return whole

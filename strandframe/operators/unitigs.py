@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from strandframe.functions import dna, words
 from strandframe.functions.words import Text
 from strandframe.operators import graph, unique
-from strandframe.session import checkpointed, written
+from strandframe.session import Steps, checkpointed, dropped, settled
 
 #: Fixed values of the heuristic: the repeat multiplier (exclusive) and the divisor of the noise threshold.
 REPEAT = 8
@@ -33,8 +33,9 @@ CHUNK = 1 << 16
 #: The same, in bytes.
 CHUNK_BYTES = 1 << 26
 
-#: vertices (word, coverage, children, parents, home), words and least coverage to the choice (src, code, home).
-Strategy = Callable[[DataFrame, Text, int], DataFrame]
+#: vertices (word, coverage, children, parents, home), words, least coverage and what keeps a table between two exchanges,
+#: if anything does, to the choice (src, code, home).
+Strategy = Callable[[DataFrame, Text, int, Callable[[DataFrame], DataFrame] | None], DataFrame]
 
 
 def _by_arc(out: DataFrame, w: Text, *more: str) -> DataFrame:
@@ -58,7 +59,7 @@ def _leaving(arcs: DataFrame, w: Text, *more: tuple[str, Column, Column]) -> Dat
     return both.select(own.alias("x"), "home", *ends).select(w.prefix(F.col("x")).alias("src"), w.last(F.col("x")).alias("code"), "home", *[n for n, *_ in more])
 
 
-def arcs_with_coverage(vertices: DataFrame, w: Text) -> DataFrame:
+def arcs_with_coverage(vertices: DataFrame, w: Text, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Oriented arcs (src, code, home, src_coverage, dst_coverage); code is that of the letter that dst adds. Every arc
     is sent by both of its vertices, so one aggregation brings their coverages together."""
     letters = F.col("children").bitwiseOR(F.shiftleft(graph.mirror(F.col("parents")), 4)).alias("letters")
@@ -66,11 +67,12 @@ def arcs_with_coverage(vertices: DataFrame, w: Text) -> DataFrame:
     ends = each.select(F.when(F.col("i") < 4, F.col("word")).otherwise(F.col("t")).alias("src"), (F.col("i") % 4).alias("code"), "coverage", "home")
     side = lambda flag: F.max(F.when(F.col(flag), F.col("coverage"))).alias(flag)
     arcs = _by_arc(ends, w, "coverage").groupBy("arc").agg(side("forward"), side("backward"), F.min("home").alias("home"))
+    arcs = keep(arcs) if keep else arcs
     a, b = F.col("forward"), F.col("backward")
     return _leaving(arcs, w, ("src_coverage", a, b), ("dst_coverage", b, a))
 
 
-def flow_split(vertices: DataFrame, w: Text, minimum_coverage: int = 1) -> DataFrame:
+def flow_split(vertices: DataFrame, w: Text, minimum_coverage: int = 1, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """choice (src, code, home): the arc taken from each oriented vertex, if any. With c the coverage of the source, a
     candidate is taken if it is the only one of coverage >= c div 4, and neither coverage reaches 8 times the
     other. (No other candidate can then have the same coverage.)
@@ -81,17 +83,17 @@ def flow_split(vertices: DataFrame, w: Text, minimum_coverage: int = 1) -> DataF
     cc, nc = F.col("src_coverage").cast("long"), F.col("dst_coverage").cast("long")
     strong = nc >= F.floor(cc / NOISE)
     one = lambda x: F.max(F.when(strong, x))
-    grouped = arcs_with_coverage(vertices, w).groupBy("src").agg(
+    grouped = arcs_with_coverage(vertices, w, keep).groupBy("src").agg(
         F.count_if(strong).alias("strong"), one(F.col("code")).alias("code"), one(cc).alias("cc"), one(nc).alias("nc"), F.min("home").alias("home")
     )
     fits = (F.col("nc") < F.col("cc") * REPEAT) & (F.col("cc") < F.col("nc") * REPEAT) & (F.col("nc") >= minimum_coverage)
     return grouped.where((F.col("strong") == 1) & fits).select("src", "code", "home")
 
 
-def highest_coverage(vertices: DataFrame, w: Text, minimum_coverage: int = 1) -> DataFrame:
+def highest_coverage(vertices: DataFrame, w: Text, minimum_coverage: int = 1, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The other strategy: the child of highest coverage, the first letter on ties."""
     rank = F.col("dst_coverage").cast("long") * 4 + (3 - F.col("code"))
-    best = arcs_with_coverage(vertices, w).groupBy("src").agg(F.max(rank).alias("r"), F.min("home").alias("home"))
+    best = arcs_with_coverage(vertices, w, keep).groupBy("src").agg(F.max(rank).alias("r"), F.min("home").alias("home"))
     return best.where(F.floor(F.col("r") / 4) >= minimum_coverage).select("src", (3 - F.col("r") % 4).cast("int").alias("code"), "home")
 
 
@@ -197,15 +199,17 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def segments(edges: DataFrame, w: Text) -> DataFrame:
     """(first, last, letters, closed): chains of edges (arc, home), on both strands. Edges of one home, which is one piece
     of a read, lie together; a chain may also go on into the next home. Edges may have columns (first, last, text) too:
-    then rows without an arc are chains already, on one strand."""
-    steps = _leaving(edges.where("arc is not null"), w).withColumn("dst", w.suffix(w.extend(F.col("src"), F.col("code"))))
-    steps = steps.select("src", "dst", dna.letter(F.col("code")).alias("letters"), "home")
+    then rows without an arc are chains already, on one strand. They are exchanged on one strand."""
+    placed = w.with_rc(edges.repartition("home").sortWithinPartitions("home"), "arc", "r", w.k + 1)
+    first, arc = F.col("i") == 0, F.col("x")
+    src, dst, letters = w.prefix(arc), w.suffix(arc), dna.letter(w.last(arc))
     if "text" in edges.columns:
-        runs = w.with_rc(w.with_rc(edges.where("arc is null"), "first", "first_rc"), "last", "last_rc").withColumn("text_rc", dna.reverse_complement(F.col("text")))
-        for a, b, text in (("first", "last", "text"), ("last_rc", "first_rc", "text_rc")):
-            steps = steps.unionByName(runs.select(F.col(a).alias("src"), F.col(b).alias("dst"), F.substr(text, F.lit(w.k + 1)).alias("letters"), "home"))
-    placed = steps.repartition("home").sortWithinPartitions("home").select("src", "dst", "letters")
-    return placed.mapInArrow(_chain, f"first {w.kind}, last {w.kind}, letters string, closed boolean")
+        placed = w.with_rc(w.with_rc(placed, "first", "first_rc"), "last", "last_rc")
+        run = lambda a, b, step: F.when(F.col("x").isNotNull(), step).when(first, a).otherwise(b)
+        src, dst = run(F.col("first"), F.col("last_rc"), src), run(F.col("last"), F.col("first_rc"), dst)
+        letters = run(F.substr("text", F.lit(w.k + 1)), dna.reverse_complement(F.substr("text", F.lit(1), F.length("text") - w.k)), letters)
+    both = placed.select("*", _number(2)).where("i = 0 or arc is null or arc != r").withColumn("x", F.when(first, F.col("arc")).otherwise(F.col("r")))
+    return both.select(src.alias("src"), dst.alias("dst"), letters.alias("letters")).mapInArrow(_chain, f"first {w.kind}, last {w.kind}, letters string, closed boolean")
 
 
 # ---- ranks of segments -----------------------------------------------------------------------------------------
@@ -242,26 +246,30 @@ def _assemble(ranked: DataFrame, parts: DataFrame, w: Text) -> DataFrame:
     return runs.select(F.concat(w.text(F.col("a")[0]["n"]), F.array_join(F.transform("a", lambda x: x["letters"]), "")).alias("seq"))
 
 
-def unitig_paths(mutual_: DataFrame, k: int, kept: unique.Graph | None = None) -> DataFrame:
+def unitig_paths(mutual_: DataFrame, k: int, kept: unique.Graph | None = None, keep: Callable[[DataFrame], DataFrame] | None = None, own: bool = False) -> DataFrame:
     """(seq, circular): each maximal path of mutual arcs (arc, home) between unitig vertices once, on the strand that is
     lower by letters; a vertex without such arcs is a path. A cycle of L vertices gives L+k-1 letters from its lowest
     k-mer on, and circular = 1. kept: a graph of which mutual_ has the arcs of marked vertices, and of whose other
-    arcs all are mutual."""
-    w = words.of(k)
-    sides = _sides(mutual_, w, kept and kept.of(unique.INNER))
+    arcs all are mutual. keep: what keeps the table of each step; mutual_ is not read after the first. own: whether kept
+    may lose what is used up."""
+    w, keep, done = words.of(k), keep or Steps(), kept.without if kept and own else lambda *_: None
+    sides = keep(_sides(mutual_, w, kept and kept.of(unique.INNER)))
+    done(unique.INNER)
     ends = sides.select("word", "home", F.explode(F.array("ahead", "behind")).alias("arc"))
     if kept:
         ends = ends.unionByName(kept.of(unique.END).select("word", "home", F.col("ahead").alias("arc")))
     links = ends.groupBy("arc").agg(F.count(F.lit(1)).alias("n"), F.max("word").alias("word"), F.min("home").alias("home"))
     links = w.with_rc(links, "arc", "r", k + 1)
-    links = written(links.select("arc", "word", "home", ((F.col("n") == 2) | (F.col("arc") == F.col("r"))).alias("edge")))
+    links = keep(links.select("arc", "word", "home", ((F.col("n") == 2) | (F.col("arc") == F.col("r"))).alias("edge")))
+    done(unique.END)
     lone = links.where(~F.col("edge")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n = 2")
-    alone = lone.select(w.text(F.col("word")).alias("seq"))
+    alone = settled(lone.select("word")).select(w.text(F.col("word")).alias("seq"))
     edges = links.where("edge").select("arc", "home")
     if kept:
         edges = edges.unionByName(kept.of(unique.RUN).select(F.col("word").alias("first"), F.col("ahead").alias("last"), "text", "home"), allowMissingColumns=True)
         alone = alone.unionByName(kept.of(unique.WHOLE).select(F.least("text", dna.reverse_complement(F.col("text"))).alias("seq")))
-    all_parts = written(segments(edges, w))
+    all_parts = keep(segments(edges, w))
+    done(unique.RUN)
     parts = all_parts.where(~F.col("closed")).select("first", "last", "letters", F.lit(False).alias("stops"))
     ranked = _rank(_start(parts))
     seq = F.col("seq")
@@ -333,20 +341,23 @@ def lowest_rotation(path: Column, k: Column) -> Column:
 def assemble(reads: DataFrame, k: int, minimum_coverage: int = 1, minimum_length: int = 100, strategy: Strategy = flow_split) -> DataFrame:
     """(seq, circular): unitigs of at least minimum_length letters."""
     if k <= words.MOST:
-        return assemble_graph(unique.graph(reads, k), k, minimum_coverage, minimum_length, strategy)
+        return assemble_graph(unique.graph(reads, k), k, minimum_coverage, minimum_length, strategy, own=True)
     return assemble_vertices(graph.word_vertices(reads, k, home=True), k, minimum_coverage, minimum_length, strategy)
 
 
 def assemble_vertices(vertices: DataFrame, k: int, minimum_coverage: int = 1, minimum_length: int = 100, strategy: Strategy = flow_split) -> DataFrame:
     """The same of vertices (word, coverage, parents, children, home)."""
-    w = words.of(k)
-    return unitig_paths(mutual(strategy(vertices, w, minimum_coverage), w), k).where(F.length("seq") >= minimum_length)
+    w, steps = words.of(k), Steps()
+    return unitig_paths(steps(mutual(steps(strategy(vertices, w, minimum_coverage, steps)), w)), k, keep=steps).where(F.length("seq") >= minimum_length)
 
 
-def assemble_graph(graph_: unique.Graph, k: int, minimum_coverage: int = 1, minimum_length: int = 100, strategy: Strategy = flow_split) -> DataFrame:
+def assemble_graph(graph_: unique.Graph, k: int, minimum_coverage: int = 1, minimum_length: int = 100, strategy: Strategy = flow_split, own: bool = False) -> DataFrame:
     """The same of a graph of reads. Two vertices of coverage 1 with one arc between them choose each other by either
-    strategy, if that coverage is enough."""
-    w = words.of(k)
-    arcs = mutual(strategy(graph_.vertices(), w, minimum_coverage), w)
+    strategy, if that coverage is enough. own: whether the graph, which nothing else reads, may lose what is used up."""
+    w, steps = words.of(k), Steps()
     kept = graph_ if minimum_coverage <= 1 else graph_._replace(rows=graph_.rows.where("false"))
-    return unitig_paths(arcs, k, kept).where(F.length("seq") >= minimum_length)
+    choice = steps(strategy(graph_.vertices(), w, minimum_coverage, steps))
+    if own:
+        dropped(graph_.marked)
+        graph_.without(unique.BESIDE, unique.CLASS)
+    return unitig_paths(steps(mutual(choice, w)), k, kept, steps, own).where(F.length("seq") >= minimum_length)

@@ -314,6 +314,39 @@ def test_names_without_a_table_of_all_vertices(spark, tmp_path, monkeypatch):
     assert got == {s: str(sinks.path_name(s, 21)) for s, _ in plain_unitigs(texts, 21) if len(s) >= 100} and len(got) >= 2
 
 
+def table_of_reads(spark, place, seed):
+    """Reads that share stretches, as a table in a folder, and their texts."""
+    rng = random.Random(seed)
+    some = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    shared = [some(130) for _ in range(3)]
+    texts = [some(rng.randrange(90)) + rng.choice([x, rc(x)]) + some(rng.randrange(90)) for x in shared * 3] + [some(200)]
+    spark.createDataFrame(list(enumerate(texts)), "read_id long, buffer_for_sequence string").write.parquet(str(place / "sequence_reads.parquet"))
+    return texts
+
+
+def test_tables_of_paths_go_when_used_up(spark, tmp_path):
+    """unitig_paths leaves what its result reads: segments, lone vertices and whole reads, not the tables of its steps."""
+    texts = table_of_reads(spark, tmp_path, 29)
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("table-*"))
+    df = REG.queries["unitig_paths"](spark, str(tmp_path))
+    left = set(folder.glob("table-*")) - before
+    assert len(left) == 3
+    assert [x.name for t in left for x in t.glob("kind=*")] == [f"kind={unique.WHOLE}"]
+    assert sorted(r["seq"] for r in df.collect()) == [s for s, _ in plain_unitigs(texts, 21)]
+
+
+def test_used_up_graph_keeps_what_others_read(spark):
+    """A graph that isn't given away can be assembled again, at another least coverage too."""
+    rng = random.Random(31)
+    some = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    shared = some(40)
+    texts = [some(30) + shared + some(30), some(20) + rc(shared), some(50)]
+    g = unique.graph(reads_of(spark, *texts), 9)
+    found = [sorted(tuple(r) for r in unitigs.assemble_graph(g, 9, least, 0).collect()) for least in (1, 2, 1)]
+    assert found[0] == found[2] == plain_unitigs(texts, 9) and found[1] != found[0]
+
+
 def test_flow_split(spark):
     rng = random.Random(5)
     left, right = ("".join(rng.choice("ACGT") for _ in range(30)) for _ in range(2))
