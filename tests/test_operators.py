@@ -2,6 +2,7 @@
 
 import gzip
 import random
+import time
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -336,6 +337,26 @@ def test_tables_of_paths_go_when_used_up(spark, tmp_path):
     assert sorted(r["seq"] for r in df.collect()) == [s for s, _ in plain_unitigs(texts, 21)]
 
 
+def test_exchanges_of_names_go_before_segments_are_ranked(spark, tmp_path, monkeypatch):
+    """unitig_names: when segments are ranked, no file of an exchange before is left, and the names are right."""
+    texts = table_of_reads(spark, tmp_path, 37)
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    exchanged = lambda: {n for f in files.getAllFiles().mkString("\n").split("\n") if (n := Path(f).name).startswith("shuffle_")}
+    before, left, start = exchanged(), [], unitigs._start
+
+    def seen(parts):
+        for _ in range(50):
+            if not left or left[-1]:
+                left.append(len(exchanged() - before))  # removed a moment after the write
+                time.sleep(0.1 if left[-1] else 0)
+        return start(parts)
+
+    monkeypatch.setattr(unitigs, "_start", seen)
+    got = {r["seq"]: r["name"] for r in REG.queries["unitig_names"](spark, str(tmp_path)).collect()}
+    assert left[-1] == 0
+    assert got == {s: str(sinks.path_name(s, 21)) for s, _ in plain_unitigs(texts, 21) if len(s) >= 100} and got
+
+
 def test_used_up_graph_keeps_what_others_read(spark):
     """A graph that isn't given away can be assembled again, at another least coverage too."""
     rng = random.Random(31)
