@@ -126,14 +126,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _texts(batches: Iterator[pa.RecordBatch], k: int, part: int = PART) -> Iterator[list[tuple[str, str, str]]]:
-    """(letter before, text, letter after) in groups of about `part` letters; longer sequences are cut, with k-1 letters
-    of overlap and the letters around each cut."""
+    """(letter before, text, letter after) and other columns, if any, in groups of about `part` letters; longer sequences
+    are cut, with k-1 letters of overlap and the letters around each cut."""
     held, size = [], 0
     for b in batches:
-        for s in b.column(0):
-            s = s.as_py()
+        for s, *more in zip(*b.to_pydict().values(), strict=True):
             for at in range(0, len(s) - k + 1, part):
-                held.append((s[at - 1 : at] if at else "", s[at : at + part + k - 1], s[at + part + k - 1 : at + part + k]))
+                held.append((s[at - 1 : at] if at else "", s[at : at + part + k - 1], s[at + part + k - 1 : at + part + k], *more))
                 size += len(held[-1][1])
                 if size >= part:
                     yield held
@@ -144,8 +143,8 @@ def _texts(batches: Iterator[pa.RecordBatch], k: int, part: int = PART) -> Itera
 
 def _packed(held: list[tuple[str, str, str]]) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all texts of a group with the letter on either side, 255 where there is none; sizes with these two."""
-    raw = np.frombuffer("".join(f"{a or ' '}{t}{z or ' '}" for a, t, z in held).encode("latin-1", "replace"), np.uint8)
-    sizes = np.array([len(t) + 2 for _, t, _ in held])
+    raw = np.frombuffer("".join(f"{a or ' '}{t}{z or ' '}" for a, t, z, *_ in held).encode("latin-1", "replace"), np.uint8)
+    sizes = np.array([len(h[1]) + 2 for h in held])
     codes = _CODES[raw]
     ends = np.cumsum(sizes)
     for at, i in ((ends - sizes, 0), (ends - 1, 2)):
@@ -161,7 +160,7 @@ class Windows:
         self.k, self.present = k, codes != NONE
         self.codes = np.where(self.present, codes, 0).astype(np.uint8)
         begin = np.cumsum(sizes) - sizes
-        counts = sizes - 2 - k + 1
+        self.counts = counts = sizes - 2 - k + 1
         self.nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         self.of = np.repeat(counts, counts)
         self.at = np.repeat(begin + 1, counts) + self.nth

@@ -1,6 +1,7 @@
 """The graph of reads, with k-mers that occur once kept in the read that holds them.
 
-A k-mer that occurs once has coverage 1 and the neighbours that its read shows, so nothing about it needs an exchange.
+Reads of equal text are one text with their number. A k-mer that occurs once in all texts has the number of its text as
+coverage and the neighbours that this text shows, so nothing about it needs an exchange.
 Which ones occur more than once is found from fingerprints: reads are written in groups, each group sends the sorted
 hashes of its different k-mers to buckets, some three bytes each, and gets one bit back for each. Equal fingerprints of
 different k-mers only mark more k-mers than need be, and all marked ones are treated exactly, as vertices with total
@@ -34,13 +35,14 @@ HOME = 24
 #: Kinds of rows: marked vertices; the unmarked ones beside them; their arcs to other unmarked ones; outermost arcs of
 #: the stretch between; that stretch, if an end of it may go on; if none may; numbers of unmarked vertices by degrees.
 MARKED, BESIDE, INNER, END, RUN, WHOLE, CLASS = range(7)
-ROW = "kind byte, word long, ahead long, behind long, parents byte, children byte, home long, text string"
-_FIELDS = [("kind", pa.int8()), ("word", pa.int64()), ("ahead", pa.int64()), ("behind", pa.int64()), ("parents", pa.int8()), ("children", pa.int8()), ("home", pa.int64()), ("text", pa.string())]
+ROW = "kind byte, coverage int, word long, ahead long, behind long, parents byte, children byte, home long, text string"
+_FIELDS = [("kind", pa.int8()), ("coverage", pa.int32()), ("word", pa.int64()), ("ahead", pa.int64()), ("behind", pa.int64()), ("parents", pa.int8()), ("children", pa.int8()), ("home", pa.int64()), ("text", pa.string())]
 _LETTERS = np.frombuffer(dna.LETTERS.encode(), np.uint8)
 
 
 class Graph(NamedTuple):
-    """marked: vertices (word, coverage, parents, children, home). rows: all other rows, of the kinds above, parted by kind."""
+    """marked: vertices (word, coverage, parents, children, home). rows: all other rows, of the kinds above, parted by kind,
+    with the number of the text that they come from as coverage."""
 
     marked: DataFrame
     rows: DataFrame
@@ -55,12 +57,12 @@ class Graph(NamedTuple):
 
     def vertices(self) -> DataFrame:
         """Marked vertices and those beside them, of whose masks only the sides that face marked ones are set."""
-        beside = self.of(BESIDE).select("word", F.lit(1).alias("coverage"), F.col("parents").cast("int"), F.col("children").cast("int"), "home")
+        beside = self.of(BESIDE).select("word", "coverage", F.col("parents").cast("int"), F.col("children").cast("int"), "home")
         return self.marked.unionByName(beside)
 
     def classes(self) -> DataFrame:
         """(coverage, parents, children, n): n vertices with that coverage and as many neighbours as the masks say."""
-        once = self.of(CLASS).select(F.lit(1).alias("coverage"), F.col("parents").cast("int"), F.col("children").cast("int"), F.col("word").alias("n"))
+        once = self.of(CLASS).select("coverage", F.col("parents").cast("int"), F.col("children").cast("int"), F.col("word").alias("n"))
         return self.marked.select("coverage", "parents", "children", F.lit(1).cast("long").alias("n")).unionByName(once)
 
 
@@ -85,19 +87,26 @@ def _loosed(b: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
+def _plain(a: np.ndarray) -> bytes:
+    return a.astype(np.int64).tobytes()
+
+
 def _read(group: dict) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(_loosed(group["codes"], np.uint8), np.uint8), np.frombuffer(group["sizes"], np.int64)
 
 
 def _groups(reads: DataFrame, k: int, seq: str, part: int) -> DataFrame:
-    """(g, codes, sizes): the texts in groups, written, so that later steps see the same groups."""
+    """(g, codes, sizes, times): the different texts in groups, with the number of reads of each, written, so that later
+    steps see the same groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in words._texts(batches, k, part):
             codes, sizes = words._packed(held)
-            yield pa.RecordBatch.from_arrays([pa.array([_pressed(codes)]), pa.array([sizes.astype(np.int64).tobytes()])], ["codes", "sizes"])
+            times = np.array([n for *_, n in held])
+            yield pa.RecordBatch.from_arrays([pa.array([_pressed(codes)]), pa.array([_plain(sizes)]), pa.array([_plain(times)])], ["codes", "sizes", "times"])
 
-    rows = reads.where(F.length(seq) >= k).select(seq).mapInArrow(run, "codes binary, sizes binary")
+    texts = reads.where(F.length(seq) >= k).groupBy(seq).agg(F.least(F.count(F.lit(1)), F.lit(MAX_COVERAGE)).alias("n"))
+    rows = texts.select(seq, "n").mapInArrow(run, "codes binary, sizes binary, times binary")
     return settled(rows.withColumn("g", F.monotonically_increasing_id()))
 
 
@@ -151,8 +160,8 @@ def _texts_at(codes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Stri
     return pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(_LETTERS[codes[at]].tobytes()))
 
 
-def _rows(w: Windows, marked: np.ndarray) -> Iterator[pa.Table]:
-    """Rows of a group whose windows are marked or not."""
+def _rows(w: Windows, marked: np.ndarray, times: np.ndarray) -> Iterator[pa.Table]:
+    """Rows of a group whose windows are marked or not, each in a text of so many reads."""
     k, home, ahead_side = w.k, w.home() & ((1 << HOME) - 1), w.ahead <= w.back
     first, last = w.nth == 0, w.nth == w.of - 1
     once = ~marked
@@ -168,25 +177,24 @@ def _rows(w: Windows, marked: np.ndarray) -> Iterator[pa.Table]:
         return pa.table({name: pa.array(np.full(n, kind, np.int8)) if name == "kind" else columns[name] if isinstance(columns.get(name), pa.Array) else pa.array(columns[name], of, from_pandas=True) if name in columns else pa.nulls(n, of) for name, of in _FIELDS})
 
     parents, children = w.masks()
-    yield table(MARKED, word=word[marked], parents=parents[marked], children=children[marked], home=home[marked])
-    size = np.bincount((parents[once] > 0) * 2 + (children[once] > 0), minlength=4)
-    number = np.flatnonzero(size)
-    yield table(CLASS, word=size[number], parents=(number >> 1).astype(np.int8), children=(number & 1).astype(np.int8))
+    yield table(MARKED, word=word[marked], parents=parents[marked], children=children[marked], home=home[marked], coverage=times[marked])
+    number, size = np.unique(times[once] * 4 + (parents[once] > 0) * 2 + (children[once] > 0), return_counts=True)
+    yield table(CLASS, word=size, parents=(number >> 1 & 1).astype(np.int8), children=(number & 1).astype(np.int8), coverage=number >> 2)
     near = meets_left | meets_right
     parents, children = w.masks(meets_left, meets_right)
-    yield table(BESIDE, word=word[near], parents=parents[near], children=children[near], home=home[near])
+    yield table(BESIDE, word=word[near], parents=parents[near], children=children[near], home=home[near], coverage=times[near])
     for at, inner in ((np.flatnonzero(meets_left & goes_right), 0), (np.flatnonzero(meets_right & goes_left), -1)):
         leaves = ahead_side[at] == (inner == 0)
-        yield table(INNER, word=word[at], home=home[at], ahead=pa.array(arc[at + inner], mask=~leaves), behind=pa.array(arc[at + inner], mask=leaves))
+        yield table(INNER, word=word[at], home=home[at], coverage=times[at], ahead=pa.array(arc[at + inner], mask=~leaves), behind=pa.array(arc[at + inner], mask=leaves))
     start, stop = np.flatnonzero(once & ~goes_left), np.flatnonzero(once & ~goes_right)
     size = stop - start + 1
     for at, arcs, meets in ((start + 1, start, meets_left[start]), (stop - 1, stop - 1, meets_right[stop])):
         some = (size == 3) | (size > 3) & meets
-        yield table(END, word=word[at[some]], ahead=arc[arcs[some]], home=home[at[some]])
+        yield table(END, word=word[at[some]], ahead=arc[arcs[some]], home=home[at[some]], coverage=times[at[some]])
     open_ = meets_left[start] | meets_right[stop]
     for kind, some in ((RUN, open_), (WHOLE, ~open_)):
         a, z = (start + 1)[(size > 3) & some], (stop - 1)[(size > 3) & some]
-        yield table(kind, word=w.ahead[a].view(np.int64), ahead=w.ahead[z].view(np.int64), home=home[a], text=_texts_at(w.codes, w.at[a], w.at[z] + k))
+        yield table(kind, word=w.ahead[a].view(np.int64), ahead=w.ahead[z].view(np.int64), home=home[a], coverage=times[a], text=_texts_at(w.codes, w.at[a], w.at[z] + k))
 
 
 def graph(reads: DataFrame, k: int, seq: str = "seq", part: int = PART, bucket: int = BUCKET) -> Graph:
@@ -206,11 +214,11 @@ def graph(reads: DataFrame, k: int, seq: str = "seq", part: int = PART, bucket:
         marked = ((n > 1) | np.concatenate(found))[of] | (w.ahead == w.back)
         # where a long text was cut, the next window lies in another group
         marked |= (w.nth == 0) & w.present[w.at - 1] | (w.nth == w.of - 1) & w.present[w.at + k]
-        return pa.concat_tables(_rows(w, marked))
+        return pa.concat_tables(_rows(w, marked, np.repeat(np.frombuffer(row["times"], np.int64), w.counts)))
 
     rows = settled(groups.groupBy("g").cogroup(flags.groupBy("g")).applyInArrow(run, ROW), groups, flags, by="kind")
     marked = rows.where(F.col("kind") == MARKED).groupBy("word").agg(
-        F.least(F.count(F.lit(1)), F.lit(MAX_COVERAGE)).cast("int").alias("coverage"),
+        F.least(F.sum("coverage"), F.lit(MAX_COVERAGE)).cast("int").alias("coverage"),
         F.bit_or("parents").cast("int").alias("parents"), F.bit_or("children").cast("int").alias("children"), F.min("home").alias("home"),
     )
     whole = Graph(settled(marked), rows)

@@ -352,10 +352,10 @@ def assemble_vertices(vertices: DataFrame, k: int, minimum_coverage: int = 1, mi
 
 
 def assemble_graph(graph_: unique.Graph, k: int, minimum_coverage: int = 1, minimum_length: int = 100, strategy: Strategy = flow_split, own: bool = False) -> DataFrame:
-    """The same of a graph of reads. Two vertices of coverage 1 with one arc between them choose each other by either
+    """The same of a graph of reads. Two vertices of equal coverage with one arc between them choose each other by either
     strategy, if that coverage is enough. own: whether the graph, which nothing else reads, may lose what is used up."""
     w, steps = words.of(k), Steps()
-    kept = graph_ if minimum_coverage <= 1 else graph_._replace(rows=graph_.rows.where("false"))
+    kept = graph_ if minimum_coverage <= 1 else graph_._replace(rows=graph_.rows.where(F.col("coverage") >= minimum_coverage))
     choice = steps(strategy(graph_.vertices(), w, minimum_coverage, steps))
     if own:
         dropped(graph_.marked)

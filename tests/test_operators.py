@@ -357,6 +357,25 @@ def test_exchanges_of_names_go_before_segments_are_ranked(spark, tmp_path, monke
     assert got == {s: str(sinks.path_name(s, 21)) for s, _ in plain_unitigs(texts, 21) if len(s) >= 100} and got
 
 
+@pytest.mark.parametrize("least", [1, 3])
+def test_reads_of_equal_text_mark_no_kmers(spark, tmp_path, least):
+    """unitig_names: a table that holds each read under several ids marks as many k-mers as one that holds it once; names,
+    totals and unitigs count every read."""
+    texts = table_of_reads(spark, tmp_path, 41)
+    reads = reads_of(spark, *texts * 3, *texts[:4], texts[-1] + "A" * 3)
+    once, g = (unique.graph(df, 21) for df in (reads_of(spark, *texts, texts[-1] + "A" * 3), reads))
+    assert g.marked.count() == once.marked.count() and g.of(unique.RUN).count() == once.of(unique.RUN).count() > 0
+    every = graph.word_vertices(reads, 21, home=True)
+    count = lambda d: sorted(tuple(r) for r in d.collect())
+    assert count(g.classes().groupBy("coverage").agg(F.sum("n"))) == count(every.groupBy("coverage").agg(F.count(F.lit(1))))
+    mine = count(unitigs.assemble_graph(g, 21, least, 0))
+    assert mine == count(unitigs.assemble_vertices(every, 21, least, 0)) and len(mine) > 5
+    table = spark.read.parquet(str(tmp_path / "sequence_reads.parquet"))
+    table.select(F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("i"), "*").select((F.col("read_id") + F.col("i") * 1000).alias("read_id"), "buffer_for_sequence").write.parquet(str(tmp_path / "more/sequence_reads.parquet"))
+    got = {r["seq"]: r["name"] for r in REG.queries["unitig_names"](spark, str(tmp_path / "more")).collect()}
+    assert got == {s: str(sinks.path_name(s, 21)) for s, _ in plain_unitigs(texts * 3, 21) if len(s) >= 100} and got
+
+
 def test_used_up_graph_keeps_what_others_read(spark):
     """A graph that isn't given away can be assembled again, at another least coverage too."""
     rng = random.Random(31)
